@@ -68,7 +68,7 @@ def parse_lenient(s: Column) -> Column:
     """the leading number of a string as a double, 0 when there is none
     (what a browser's parseFloat(x) || 0 gives)."""
     num = F.regexp_extract(s, _NUMBER_PREFIX, 1)
-    return F.coalesce(F.try_cast(F.nullif(num, F.lit("")), "double"), F.lit(0.0))
+    return F.coalesce(F.nullif(num, F.lit("")).try_cast("double"), F.lit(0.0))
 
 
 def parse_strict(s: Column) -> Column:

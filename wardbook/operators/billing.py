@@ -126,13 +126,15 @@ def billing_rejects(T: dict[str, DataFrame], keys: DataFrame | None = None) -> D
             .select("AppointmentID", "RejectReason"))
 
 
-def merge_billing(billing: DataFrame, derived: DataFrame, now: Column | None = None) -> DataFrame:
+def merge_billing(billing: DataFrame, derived: DataFrame, now: Column | None = None,
+                  id_source: DataFrame | None = None) -> DataFrame:
     """B2: upsert derived bills into ``billing`` keyed by AppointmentID.
 
     On a match only TotalCost, InsuranceCoverage, AmountOwed, PaymentStatus and
     BillingDate change; PatientID, AmountPaid, PaymentMethod stay. New bills
     start with AmountPaid 0 and get BillingIDs after the current maximum.
-    UpdatedAt moves only on rows whose values changed.
+    UpdatedAt moves only on rows whose values changed. ``id_source`` is the
+    table whose maximum BillingID new ids follow (default: ``billing``).
     """
     now = now if now is not None else F.current_timestamp()
     upd = ["TotalCost", "InsuranceCoverage", "AmountOwed", "PaymentStatus", "BillingDate"]
@@ -159,7 +161,8 @@ def merge_billing(billing: DataFrame, derived: DataFrame, now: Column | None = N
         else:
             cols.append(F.col(c))
     merged = j.select(*cols)
-    return assign_ids(merged, billing, "BillingID", order=["AppointmentID"])
+    return assign_ids(merged, id_source if id_source is not None else billing, "BillingID",
+                      order=["AppointmentID"])
 
 
 def refresh_billing(T: dict[str, DataFrame], changed_treatments: DataFrame,
