@@ -37,8 +37,19 @@ def _out(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
+_TABLE_CACHE: dict[tuple[int, str], dict[str, DataFrame]] = {}
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return from_testdata(spark, sf_dir)
+    """The mapped tables (lazy plans, no data) built once per session and folder.
+
+    Building them costs about a second of driver-side analysis; the plans are
+    immutable, so every query reuses them. Callers get their own dict.
+    """
+    key = (id(spark._jsparkSession), sf_dir)
+    if key not in _TABLE_CACHE:
+        _TABLE_CACHE[key] = from_testdata(spark, sf_dir)
+    return dict(_TABLE_CACHE[key])
 
 
 def _raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
