@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.schema import MONEY, RATE, UNINSURED_COVERAGE
-from wardbook.operators.changes import assign_ids, latest_per_key
+from wardbook.operators.changes import latest_per_key, number_new_rows
+from wardbook.session import cut_lineage
 
 BILL_COLUMNS = ["BillingID", "PatientID", "AppointmentID", "TotalCost", "InsuranceCoverage",
                 "AmountOwed", "AmountPaid", "PaymentStatus", "PaymentMethod", "BillingDate",
@@ -68,10 +69,15 @@ def _derive(T: dict[str, DataFrame], existing: DataFrame | None,
     else:
         x = x.select("*", F.lit(None).cast(MONEY).alias("_prev_AmountPaid"),
                      F.lit(None).cast("boolean").alias("_has_prev"))
+    if keys is not None:
+        # Keyed run: only the patients of these appointments are joined, so a
+        # small key set never shuffles the whole Patient table.
+        cover = cover.join(x.select("PatientID").distinct(), "PatientID", "left_semi")
     x = x.join(cover, "PatientID", "left")
     if keys is not None:
-        # keys that name no appointment at all
-        missing = (keys.join(T["Appointment"].select("AppointmentID"), "AppointmentID", "left_anti")
+        # keys that name no appointment at all (checked against the already
+        # key-filtered appointments, not the whole table)
+        missing = (keys.join(appt.select("AppointmentID"), "AppointmentID", "left_anti")
                    .select("AppointmentID", F.lit(True).alias("_unknown")))
         x = x.unionByName(missing, allowMissingColumns=True)
     else:
@@ -135,6 +141,10 @@ def merge_billing(billing: DataFrame, derived: DataFrame, now: Column | None = N
     start with AmountPaid 0 and get BillingIDs after the current maximum.
     UpdatedAt moves only on rows whose values changed. ``id_source`` is the
     table whose maximum BillingID new ids follow (default: ``billing``).
+
+    Plan: one full outer join, materialized once in the checkpoint folder;
+    the rows that need an id are numbered from that copy, so the derivation
+    upstream runs once.
     """
     now = now if now is not None else F.current_timestamp()
     upd = ["TotalCost", "InsuranceCoverage", "AmountOwed", "PaymentStatus", "BillingDate"]
@@ -143,26 +153,29 @@ def merge_billing(billing: DataFrame, derived: DataFrame, now: Column | None = N
                          F.lit(True).alias("_in_src"))
     tgt = billing.select(*BILL_COLUMNS, F.lit(True).alias("_in_tgt"))
     j = tgt.join(src, "AppointmentID", "full_outer")
-    matched = F.col("_in_tgt") & F.col("_in_src")
+    in_src, in_tgt = F.col("_in_src").isNotNull(), F.col("_in_tgt").isNotNull()
     changed = F.lit(False)
     for c in upd:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"_n_{c}"))
     cols = []
     for c in BILL_COLUMNS:
         if c in upd:
-            cols.append(F.when(F.col("_in_src"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c))
+            cols.append(F.when(in_src, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c))
         elif c == "PatientID":
-            cols.append(F.coalesce(F.col("PatientID"), F.col("_n_PatientID")).alias(c))
+            cols.append(F.when(in_tgt, F.col(c)).otherwise(F.col("_n_PatientID")).alias(c))
         elif c == "AmountPaid":
-            cols.append(F.when(F.col("_in_tgt"), F.col(c)).otherwise(F.lit(0).cast(MONEY)).alias(c))
+            cols.append(F.when(in_tgt, F.col(c)).otherwise(F.lit(0).cast(MONEY)).alias(c))
         elif c == "UpdatedAt":
-            cols.append(F.when(F.col("_in_tgt").isNull() | (matched & changed), now)
-                        .otherwise(F.col(c)).cast("timestamp").alias(c))
+            cols.append(F.when(~in_tgt | changed, now).otherwise(F.col(c))
+                        .cast("timestamp").alias(c))
         else:
             cols.append(F.col(c))
-    merged = j.select(*cols)
-    return assign_ids(merged, id_source if id_source is not None else billing, "BillingID",
-                      order=["AppointmentID"])
+    merged = cut_lineage(j.select(*cols, in_tgt.alias("_old")))
+    keep = merged.filter(F.col("_old")).drop("_old")
+    new = merged.filter(~F.col("_old")).drop("_old")
+    numbered = number_new_rows(new, id_source if id_source is not None else billing, "BillingID",
+                               order=["AppointmentID"])
+    return keep.unionByName(numbered)
 
 
 def refresh_billing(T: dict[str, DataFrame], changed_treatments: DataFrame,
@@ -170,12 +183,17 @@ def refresh_billing(T: dict[str, DataFrame], changed_treatments: DataFrame,
     """Recompute bills only for appointments touched by ``changed_treatments``.
 
     ``T['Treatment']`` must already hold the new treatment rows (inserted or
-    deleted); the changes only name the affected appointments.
+    deleted); the changes only name the affected appointments. The key set
+    filters every big table (semi-joins, broadcast when Spark's size check
+    allows), the merge runs on the touched bills only, and the result is the
+    untouched bills plus the re-derived ones.
     """
     keys = changed_treatments.select("AppointmentID").distinct()
     billing = T["BillingRecord"]
-    derived = derive_billing(T, existing=billing, keys=keys)
-    return merge_billing(billing, derived, now)
+    touched = billing.join(keys, "AppointmentID", "left_semi")
+    derived = derive_billing(T, existing=touched, keys=keys)
+    fresh = merge_billing(touched, derived, now, id_source=billing)
+    return billing.join(keys, "AppointmentID", "left_anti").unionByName(fresh)
 
 
 def apply_payments(billing: DataFrame, ledger: DataFrame, key: str = "BillingID",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wardbook.schema import DEFAULTS, FOREIGN_KEYS, PRIMARY_KEYS, topological_order
 from wardbook.functions.scalars import split_full_name
+from wardbook.session import cut_lineage
 
 
 # ---------------------------------------------------------------------------
@@ -23,17 +24,24 @@ def assign_ids(df: DataFrame, target: DataFrame | None, id_col: str, order: list
     """Give rows whose ``id_col`` is NULL the keys MAX(target)+1, +2, ...
 
     Rows that already carry a key keep it. New keys follow ``order``.
+    """
+    need = df.filter(F.col(id_col).isNull())
+    keep = df.filter(F.col(id_col).isNotNull())
+    return keep.unionByName(number_new_rows(need, target, id_col, order, num_partitions))
+
+
+def number_new_rows(need: DataFrame, target: DataFrame | None, id_col: str, order: list[str],
+                    num_partitions: int | None = None) -> DataFrame:
+    """Number every row of ``need`` as MAX(target.id_col) + its rank in ``order``.
+
     Scales without a single-partition window: the rows are range-partitioned
     on ``order`` and written once to the checkpoint folder (so partition
     contents are fixed even if an executor is lost), counted per partition
     (one row per partition), and numbered as partition offset + position.
     """
-    spark = df.sparkSession
-    need = df.filter(F.col(id_col).isNull())
-    keep = df.filter(F.col(id_col).isNotNull())
+    spark = need.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (need.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .checkpoint(eager=True))
+    ranged = cut_lineage(need.repartitionByRange(n, *order).sortWithinPartitions(*order))
     pid = F.spark_partition_id()
     x = ranged.select("*", pid.alias("_pid"),
                       (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
@@ -48,11 +56,10 @@ def assign_ids(df: DataFrame, target: DataFrame | None, id_col: str, order: list
         base = target.select(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()
     else:
         base = F.lit(0).cast("long")
-    numbered = (x.join(F.broadcast(offs), "_pid")
-                .withColumn(id_col, (base + F.col("_off") + F.col("_pos") + 1)
-                            .cast(df.schema[id_col].dataType))
-                .select(*df.columns))
-    return keep.unionByName(numbered)
+    return (x.join(F.broadcast(offs), "_pid")
+            .withColumn(id_col, (base + F.col("_off") + F.col("_pos") + 1)
+                        .cast(need.schema[id_col].dataType))
+            .select(*need.columns))
 
 
 # ---------------------------------------------------------------------------
@@ -154,14 +161,14 @@ def insert_ignore(target: DataFrame, source: DataFrame, key: str,
 # ---------------------------------------------------------------------------
 
 def cascade_delete(T: dict[str, DataFrame], root: str, keys: DataFrame,
-                   cut_lineage: bool = False) -> dict[str, DataFrame]:
+                   materialize: bool = False) -> dict[str, DataFrame]:
     """Delete ``keys`` from ``root`` and apply the foreign-key actions.
 
     All dropped key sets are computed first from the original tables, walking
     the FK graph parents-first (CASCADE edges); then each table drops its own
     keys (anti-join) and NULLs references to dropped parents (SET NULL edges).
     So a treatment dropped through its appointment is dropped even though its
-    diagnosis edge says SET NULL. With ``cut_lineage`` each key set is written
+    diagnosis edge says SET NULL. With ``materialize`` each key set is written
     to the checkpoint folder once instead of being recomputed by every user.
     """
     pk = PRIMARY_KEYS
@@ -179,8 +186,8 @@ def cascade_delete(T: dict[str, DataFrame], root: str, keys: DataFrame,
             for p in parts[1:]:
                 ks = ks.unionByName(p)
             dropped[table] = ks.distinct()
-        if cut_lineage and table in dropped:
-            dropped[table] = dropped[table].checkpoint(eager=True)
+        if materialize and table in dropped:
+            dropped[table] = cut_lineage(dropped[table])
 
     out = {}
     for table, df in T.items():

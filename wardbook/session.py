@@ -76,3 +76,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder (never machine-local)."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df):
+    """Materialize ``df`` once in the shared checkpoint folder and return the
+    re-read DataFrame (lineage cut, safe against executor loss).
+
+    The persist makes the checkpoint write reuse the computed blocks instead
+    of running the plan a second time; it is dropped right after.
+    """
+    from pyspark import StorageLevel
+    checkpoint_root(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
