@@ -92,3 +92,13 @@ def test_empty_billing_summary(spark, seed):
     s = rows(R.billing_summary(t))[0]
     assert s["TotalBillings"] == 0 and s["TotalBilled"] is None and s["AvgBill"] is None
     assert rows(R.kpis(t))[0]["InsuredSharePct"] == 0
+
+
+def test_case_insensitive_status(spark, seed):
+    from pyspark.sql import functions as F
+    t = dict(seed)
+    t["BillingRecord"] = seed["BillingRecord"].withColumn(
+        "PaymentStatus", F.when(F.col("BillingID") == 4, F.lit("paid ")).otherwise(F.col("PaymentStatus")))
+    assert R.billing_by_status(t).count() == 5
+    got = {r["PaymentStatus"]: r["TotalRecords"] for r in R.billing_by_status(t, ci=True).collect()}
+    assert len(got) == 4 and got["Paid"] == 15

@@ -23,6 +23,15 @@ STATUS_CLASSES = {
 DASH = "—"  # shown for a missing value
 
 
+CI_COLLATION = "UNICODE_CI_AI_RTRIM"
+
+
+def text_key(x: Column, ci: bool = False) -> Column:
+    """A string for comparing and grouping. With ``ci`` it ignores case,
+    accents and trailing spaces, like the service database's collation."""
+    return F.collate(x, CI_COLLATION) if ci else x
+
+
 def split_full_name(full_name: Column, fallback: Column | None = None) -> tuple[Column, Column]:
     """(first, last) split at the first space of the trimmed name; last is
     '' without a space. An empty or NULL name gives (fallback, '')."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardbook.functions.scalars import text_key
 from wardbook.schema import MONEY, RATE, UNINSURED_COVERAGE
 from wardbook.operators.changes import latest_per_key, number_new_rows
 from wardbook.session import cut_lineage
@@ -26,7 +27,7 @@ def paid_per_appointment(ledger: DataFrame, key: str = "AppointmentID",
             .agg(F.sum(amount).cast(MONEY).alias("AmountPaid")))
 
 
-def bill_status(appt_status: Column, owed: Column, paid: Column) -> Column:
+def bill_status(appt_status: Column, owed: Column, paid: Column, ci: bool = False) -> Column:
     """Rules 5 and 6 of the derivation as one CASE.
 
     A payment already made overrides even Canceled; with no earlier bill
@@ -34,13 +35,13 @@ def bill_status(appt_status: Column, owed: Column, paid: Column) -> Column:
     """
     return (F.when((paid > 0) & (paid < owed), F.lit("Partial"))
              .when((paid >= owed) & (owed > 0), F.lit("Paid"))
-             .when(appt_status == "Canceled", F.lit("Canceled"))
+             .when(text_key(appt_status, ci) == "Canceled", F.lit("Canceled"))
              .when(owed <= 0, F.lit("Paid"))
              .otherwise(F.lit("Unpaid")))
 
 
 def _derive(T: dict[str, DataFrame], existing: DataFrame | None,
-            keys: DataFrame | None) -> DataFrame:
+            keys: DataFrame | None, ci: bool = False) -> DataFrame:
     appt = T["Appointment"].select("AppointmentID", "PatientID", "Status", "AppointmentDate")
     treat = T["Treatment"].select("AppointmentID", "TreatmentCost")
     if keys is not None:
@@ -102,12 +103,12 @@ def _derive(T: dict[str, DataFrame], existing: DataFrame | None,
         *([F.col("_prev_BillingID").alias("_prev_id")]
           if existing is not None and "BillingID" in existing.columns else []))
     out = out.withColumn("PaymentStatus",
-                         bill_status(F.col("_appt_status"), F.col("AmountOwed"), F.col("_paid")))
+                         bill_status(F.col("_appt_status"), F.col("AmountOwed"), F.col("_paid"), ci))
     return out
 
 
 def derive_billing(T: dict[str, DataFrame], existing: DataFrame | None = None,
-                   keys: DataFrame | None = None) -> DataFrame:
+                   keys: DataFrame | None = None, ci: bool = False) -> DataFrame:
     """B1: one bill per appointment (all, or those in ``keys``).
 
     ``existing`` holds earlier bills (AppointmentID, AmountPaid[, PaymentMethod,
@@ -115,7 +116,7 @@ def derive_billing(T: dict[str, DataFrame], existing: DataFrame | None = None,
     layout; BillingID is the earlier bill's id, else the AppointmentID.
     Rows that would break NOT NULL are left out (see ``billing_rejects``).
     """
-    d = _derive(T, existing, keys).filter(F.col("RejectReason").isNull())
+    d = _derive(T, existing, keys, ci).filter(F.col("RejectReason").isNull())
     bid = F.coalesce(F.col("_prev_id"), F.col("AppointmentID")) if "_prev_id" in d.columns \
         else F.col("AppointmentID")
     method = F.col("_prev_method") if "_prev_method" in d.columns else F.lit(None).cast("string")

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardbook.functions.scalars import DASH, hhmm
+from wardbook.functions.scalars import DASH, hhmm, text_key
 
 Tables = dict[str, DataFrame]
 
@@ -49,9 +49,10 @@ def empty_like(df: DataFrame) -> DataFrame:
     return df.filter(F.lit(False))
 
 
-def cancellable_appointments(appts: DataFrame) -> DataFrame:
+def cancellable_appointments(appts: DataFrame, ci: bool = False) -> DataFrame:
     """Appointments a patient may still cancel."""
-    return appts.filter(F.col("Status").isin("Requested", "Scheduled"))
+    s = text_key(F.col("Status"), ci)
+    return appts.filter((s == "Requested") | (s == "Scheduled"))
 
 
 def payable_bills(billing: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardbook.functions.scalars import text_key
+
 Tables = dict[str, DataFrame]
 
 
@@ -32,10 +34,13 @@ def _count_if_known(cond: Column, value: Column) -> Column:
     return F.when(cond, F.lit(1)).when(value.isNotNull(), F.lit(0))
 
 
-def billing_by_status(T: Tables) -> DataFrame:
-    """Bills grouped by PaymentStatus, largest total billed first."""
+def billing_by_status(T: Tables, ci: bool = False) -> DataFrame:
+    """Bills grouped by PaymentStatus, largest total billed first.
+    With ``ci`` spellings that differ only in case, accents or trailing
+    spaces form one group, shown by their smallest spelling."""
     b = T["BillingRecord"]
-    return (b.groupBy("PaymentStatus").agg(
+    return (b.groupBy(text_key(F.col("PaymentStatus"), ci).alias("_status")).agg(
+        F.min("PaymentStatus").alias("PaymentStatus"),
         F.count(F.lit(1)).alias("TotalRecords"),
         F.sum("TotalCost").alias("_billed"),
         F.sum("InsuranceCoverage").alias("_covered"),
@@ -57,9 +62,9 @@ def billing_by_status(T: Tables) -> DataFrame:
         .orderBy(F.desc("TotalBilled"), F.asc("PaymentStatus")))
 
 
-def _appointments_per_doctor(T: Tables) -> DataFrame:
+def _appointments_per_doctor(T: Tables, ci: bool = False) -> DataFrame:
     a = T["Appointment"]
-    s = F.col("Status")
+    s = text_key(F.col("Status"), ci)
     return (a.filter(F.col("DoctorID").isNotNull()).groupBy("DoctorID").agg(
         F.count("AppointmentID").alias("_cnt"),
         F.sum(_count_if_known(s == "Completed", s)).alias("_completed"),
@@ -69,10 +74,10 @@ def _appointments_per_doctor(T: Tables) -> DataFrame:
         F.max("AppointmentDate").alias("_last")))
 
 
-def appointments_by_dept(T: Tables) -> DataFrame:
+def appointments_by_dept(T: Tables, ci: bool = False) -> DataFrame:
     """R2: every department; empty ones keep count 0 and NULL sums and dates.
     Scheduled counts Scheduled and Requested."""
-    per_doc = _appointments_per_doctor(T)
+    per_doc = _appointments_per_doctor(T, ci)
     docs = T["Doctor"].select("DoctorID", "DepartmentID").filter(F.col("DepartmentID").isNotNull())
     per_dept = (docs.join(per_doc, "DoctorID", "left").groupBy("DepartmentID").agg(
         F.sum("_cnt").alias("_cnt"), F.sum("_completed").alias("Completed"),
