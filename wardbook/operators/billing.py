@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardbook.functions.money import money_sum
 from wardbook.functions.scalars import text_key
 from wardbook.schema import MONEY, RATE, UNINSURED_COVERAGE
 from wardbook.operators.changes import latest_per_key, number_new_rows
@@ -24,7 +25,7 @@ def paid_per_appointment(ledger: DataFrame, key: str = "AppointmentID",
                          amount: str = "Amount") -> DataFrame:
     """Sum a payment ledger per bill key: (key, AmountPaid). Partial sums map-side."""
     return (ledger.groupBy(key)
-            .agg(F.sum(amount).cast(MONEY).alias("AmountPaid")))
+            .agg(money_sum(F.col(amount)).cast(MONEY).alias("AmountPaid")))
 
 
 def bill_status(appt_status: Column, owed: Column, paid: Column, ci: bool = False) -> Column:
@@ -51,7 +52,7 @@ def _derive(T: dict[str, DataFrame], existing: DataFrame | None,
 
     # Rule 3: total per appointment, aggregated before the joins.
     totals = (treat.groupBy("AppointmentID")
-              .agg(F.sum("TreatmentCost").alias("_sum")))
+              .agg(money_sum(F.col("TreatmentCost")).alias("_sum")))
     # Rule 2: the patient's provider rate, 0.70 without a provider.
     cover = (T["Patient"].select("PatientID", "ProviderID")
              .join(T["InsuranceProvider"].select("ProviderID", "CoveragePercent"),
@@ -206,7 +207,7 @@ def apply_payments(billing: DataFrame, ledger: DataFrame, key: str = "BillingID"
     else Unpaid, also over Canceled. The method is the last non-empty one,
     else the bill's own. Bills without payments are untouched.
     """
-    aggs = [F.sum("Amount").alias("_add")]
+    aggs = [money_sum(F.col("Amount")).alias("_add")]
     if "PaymentMethod" in ledger.columns:
         m = F.when(F.length(F.coalesce(F.col("PaymentMethod"), F.lit(""))) > 0,
                    F.col("PaymentMethod"))

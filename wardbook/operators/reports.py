@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardbook.functions.money import cents_sum, from_cents
 from wardbook.functions.scalars import text_key
 
 Tables = dict[str, DataFrame]
@@ -25,10 +26,19 @@ def _money(c: Column) -> Column:
     return c.cast("double")
 
 
+def _money_cents(c: Column) -> Column:
+    """A BIGINT cents total leaves as DOUBLE dollars (exact decimal in between)."""
+    return from_cents(c).cast("double")
+
+
 def _avg(sum_col: Column, cnt_col: Column) -> Column:
     return F.when(cnt_col > 0, sum_col.cast("double") / cnt_col)
 
 
+def _avg_cents(cents_col: Column, cnt_col: Column) -> Column:
+    return F.when(cnt_col > 0, from_cents(cents_col).cast("double") / cnt_col)
+
+
 def _count_if_known(cond: Column, value: Column) -> Column:
     """SUM(boolean) semantics: 1/0 per row, NULL when the value is NULL."""
     return F.when(cond, F.lit(1)).when(value.isNotNull(), F.lit(0))
@@ -42,21 +52,21 @@ def billing_by_status(T: Tables, ci: bool = False) -> DataFrame:
     return (b.groupBy(text_key(F.col("PaymentStatus"), ci).alias("_status")).agg(
         F.min("PaymentStatus").alias("PaymentStatus"),
         F.count(F.lit(1)).alias("TotalRecords"),
-        F.sum("TotalCost").alias("_billed"),
-        F.sum("InsuranceCoverage").alias("_covered"),
-        F.sum("AmountOwed").alias("_owed"),
-        F.sum("AmountPaid").alias("_paid"),
-        F.sum(F.col("AmountOwed") - F.col("AmountPaid")).alias("_out"),
+        cents_sum(F.col("TotalCost")).alias("_billed"),
+        cents_sum(F.col("InsuranceCoverage")).alias("_covered"),
+        cents_sum(F.col("AmountOwed")).alias("_owed"),
+        cents_sum(F.col("AmountPaid")).alias("_paid"),
+        cents_sum(F.col("AmountOwed") - F.col("AmountPaid")).alias("_out"),
         F.count("TotalCost").alias("_n"),
         F.min("TotalCost").alias("_min"),
         F.max("TotalCost").alias("_max"))
         .select("PaymentStatus", "TotalRecords",
-                _money(F.col("_billed")).alias("TotalBilled"),
-                _money(F.col("_covered")).alias("TotalCovered"),
-                _money(F.col("_owed")).alias("TotalOwed"),
-                _money(F.col("_paid")).alias("TotalCollected"),
-                _money(F.col("_out")).alias("OutstandingBalance"),
-                _avg(F.col("_billed"), F.col("_n")).alias("AvgCost"),
+                _money_cents(F.col("_billed")).alias("TotalBilled"),
+                _money_cents(F.col("_covered")).alias("TotalCovered"),
+                _money_cents(F.col("_owed")).alias("TotalOwed"),
+                _money_cents(F.col("_paid")).alias("TotalCollected"),
+                _money_cents(F.col("_out")).alias("OutstandingBalance"),
+                _avg_cents(F.col("_billed"), F.col("_n")).alias("AvgCost"),
                 _money(F.col("_min")).alias("MinCost"),
                 _money(F.col("_max")).alias("MaxCost"))
         .orderBy(F.desc("TotalBilled"), F.asc("PaymentStatus")))
@@ -99,7 +109,7 @@ def treatment_by_dept(T: Tables) -> DataFrame:
     """Treatments through appointment, doctor and department (inner chain)."""
     per_appt = (T["Treatment"].groupBy("AppointmentID").agg(
         F.count("TreatmentID").alias("_n_id"), F.count("TreatmentCost").alias("_n_cost"),
-        F.sum("TreatmentCost").alias("_sum"), F.min("TreatmentCost").alias("_min"),
+        cents_sum(F.col("TreatmentCost")).alias("_sum"), F.min("TreatmentCost").alias("_min"),
         F.max("TreatmentCost").alias("_max")))
     per_doc = (per_appt.join(T["Appointment"].select("AppointmentID", "DoctorID"), "AppointmentID")
                .groupBy("DoctorID").agg(
@@ -113,8 +123,8 @@ def treatment_by_dept(T: Tables) -> DataFrame:
                     F.max("_max").alias("_max")))
     return (per_dept.join(T["Department"].select("DepartmentID", "DepartmentName"), "DepartmentID")
             .select("DepartmentName", F.col("_n_id").cast("long").alias("TotalTreatments"),
-                    _money(F.col("_sum")).alias("TotalCost"),
-                    _avg(F.col("_sum"), F.col("_n_cost")).alias("AvgCost"),
+                    _money_cents(F.col("_sum")).alias("TotalCost"),
+                    _avg_cents(F.col("_sum"), F.col("_n_cost")).alias("AvgCost"),
                     _money(F.col("_min")).alias("MinCost"),
                     _money(F.col("_max")).alias("MaxCost"), "DepartmentID")
             .orderBy(F.desc("TotalCost"), "DepartmentName", "DepartmentID")
@@ -129,7 +139,7 @@ def doctor_workload(T: Tables) -> DataFrame:
                .filter(F.col("DoctorID").isNotNull())
                .join(bills, "AppointmentID", "left")
                .groupBy("DoctorID").agg(
-                   F.count("AppointmentID").alias("_cnt"), F.sum("TotalCost").alias("_sum"),
+                   F.count("AppointmentID").alias("_cnt"), cents_sum(F.col("TotalCost")).alias("_sum"),
                    F.count("TotalCost").alias("_n"), F.min("TotalCost").alias("_min"),
                    F.max("TotalCost").alias("_max"),
                    F.min("AppointmentDate").alias("EarliestAppt"),
@@ -141,8 +151,8 @@ def doctor_workload(T: Tables) -> DataFrame:
             .select(F.concat(F.col("FirstName"), F.lit(" "), F.col("LastName")).alias("DoctorName"),
                     "Specialty", "DepartmentName",
                     F.coalesce(F.col("_cnt"), zero).cast("long").alias("TotalAppointments"),
-                    F.coalesce(_money(F.col("_sum")), zero.cast("double")).alias("TotalRevenue"),
-                    F.coalesce(_avg(F.col("_sum"), F.col("_n")), zero.cast("double")).alias("AvgRevenue"),
+                    F.coalesce(_money_cents(F.col("_sum")), zero.cast("double")).alias("TotalRevenue"),
+                    F.coalesce(_avg_cents(F.col("_sum"), F.col("_n")), zero.cast("double")).alias("AvgRevenue"),
                     F.coalesce(_money(F.col("_min")), zero.cast("double")).alias("MinBill"),
                     F.coalesce(_money(F.col("_max")), zero.cast("double")).alias("MaxBill"),
                     "EarliestAppt", "LatestAppt", "DoctorID")
@@ -158,8 +168,8 @@ def insurance_analysis(T: Tables) -> DataFrame:
     counting patient rows per provider is the distinct patient count.
     """
     per_patient = (T["BillingRecord"].groupBy("PatientID").agg(
-        F.count("BillingID").alias("_claims"), F.sum("TotalCost").alias("_billed"),
-        F.sum("InsuranceCoverage").alias("_covered"), F.sum("AmountOwed").alias("_owed"),
+        F.count("BillingID").alias("_claims"), cents_sum(F.col("TotalCost")).alias("_billed"),
+        cents_sum(F.col("InsuranceCoverage")).alias("_covered"), cents_sum(F.col("AmountOwed")).alias("_owed"),
         F.count("InsuranceCoverage").alias("_n_cov"),
         F.min("InsuranceCoverage").alias("_min"), F.max("InsuranceCoverage").alias("_max")))
     per_provider = (T["Patient"].select("PatientID", "ProviderID")
@@ -177,10 +187,10 @@ def insurance_analysis(T: Tables) -> DataFrame:
             .select("ProviderName", F.col("CoveragePercent").cast("double").alias("CoveragePercent"),
                     F.coalesce(F.col("_patients"), F.lit(0)).cast("long").alias("TotalPatients"),
                     F.coalesce(F.col("_claims"), F.lit(0)).cast("long").alias("TotalClaims"),
-                    F.coalesce(_money(F.col("_billed")), zero).alias("TotalBilled"),
-                    F.coalesce(_money(F.col("_covered")), zero).alias("TotalCovered"),
-                    F.coalesce(_money(F.col("_owed")), zero).alias("TotalPatientOwe"),
-                    F.coalesce(_avg(F.col("_covered"), F.col("_n_cov")), zero).alias("AvgCoverage"),
+                    F.coalesce(_money_cents(F.col("_billed")), zero).alias("TotalBilled"),
+                    F.coalesce(_money_cents(F.col("_covered")), zero).alias("TotalCovered"),
+                    F.coalesce(_money_cents(F.col("_owed")), zero).alias("TotalPatientOwe"),
+                    F.coalesce(_avg_cents(F.col("_covered"), F.col("_n_cov")), zero).alias("AvgCoverage"),
                     F.coalesce(_money(F.col("_min")), zero).alias("MinCoverage"),
                     F.coalesce(_money(F.col("_max")), zero).alias("MaxCoverage"), "ProviderID")
             .orderBy(F.desc("TotalCovered"), "ProviderID")
@@ -191,18 +201,18 @@ def billing_summary(T: Tables) -> DataFrame:
     """One row over all bills; on an empty table count 0 and the rest NULL."""
     b = T["BillingRecord"]
     return (b.agg(F.count("BillingID").alias("TotalBillings"),
-                  F.sum("TotalCost").alias("_billed"), F.count("TotalCost").alias("_n"),
+                  cents_sum(F.col("TotalCost")).alias("_billed"), F.count("TotalCost").alias("_n"),
                   F.min("TotalCost").alias("_min"), F.max("TotalCost").alias("_max"),
-                  F.sum("InsuranceCoverage").alias("_cov"), F.sum("AmountOwed").alias("_owed"),
-                  F.sum("AmountPaid").alias("_paid"),
-                  F.sum(F.col("AmountOwed") - F.col("AmountPaid")).alias("_out"))
-            .select("TotalBillings", _money(F.col("_billed")).alias("TotalBilled"),
-                    _avg(F.col("_billed"), F.col("_n")).alias("AvgBill"),
+                  cents_sum(F.col("InsuranceCoverage")).alias("_cov"), cents_sum(F.col("AmountOwed")).alias("_owed"),
+                  cents_sum(F.col("AmountPaid")).alias("_paid"),
+                  cents_sum(F.col("AmountOwed") - F.col("AmountPaid")).alias("_out"))
+            .select("TotalBillings", _money_cents(F.col("_billed")).alias("TotalBilled"),
+                    _avg_cents(F.col("_billed"), F.col("_n")).alias("AvgBill"),
                     _money(F.col("_min")).alias("MinBill"), _money(F.col("_max")).alias("MaxBill"),
-                    _money(F.col("_cov")).alias("TotalInsuranceCoverage"),
-                    _money(F.col("_owed")).alias("TotalOwed"),
-                    _money(F.col("_paid")).alias("TotalCollected"),
-                    _money(F.col("_out")).alias("OutstandingBalance")))
+                    _money_cents(F.col("_cov")).alias("TotalInsuranceCoverage"),
+                    _money_cents(F.col("_owed")).alias("TotalOwed"),
+                    _money_cents(F.col("_paid")).alias("TotalCollected"),
+                    _money_cents(F.col("_out")).alias("OutstandingBalance")))
 
 
 def kpis(T: Tables) -> DataFrame:
