@@ -23,6 +23,7 @@ from wardbook.operators import listings as L
 from wardbook.operators import reports as R
 from wardbook.operators import scope as X
 from wardbook.sources import json_io
+from wardbook.session import cut_lineage
 from wardbook.sources.tables import from_testdata, payments_from_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -447,7 +448,8 @@ def stream_billing(spark, d):
     li_schema = _raw(spark, d, "lineitem").schema
     base = dict(t)
     base["Treatment"] = t["Treatment"].limit(0)
-    base["BillingRecord"] = B.derive_billing(base)   # every appointment, nothing billed yet
+    # every appointment, nothing billed yet; stored once, as a billing table would be
+    base["BillingRecord"] = cut_lineage(B.derive_billing(base))
     src = (spark.readStream.schema(li_schema).option("pathGlobFilter", "lineitem.parquet")
            .option("maxFilesPerTrigger", 1).parquet(d))
 
