@@ -64,6 +64,14 @@ def stream_billing(spark: SparkSession, T: dict[str, DataFrame], treatment_strea
         return current_table(spark, base_bill, bill_path, "AppointmentID",
                              _exists(spark, bill_path))
 
+    def all_bill_ids() -> DataFrame:
+        # a bill keeps its id across versions, so the max over every stored
+        # version equals the max of the current table -- without a shuffle
+        ids = base_bill.select("BillingID")
+        if _exists(spark, bill_path):
+            ids = ids.unionByName(spark.read.parquet(bill_path).select("BillingID"))
+        return ids
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         rows = to_treatment(batch) if to_treatment else batch
         rows = rows.select(*base_treat.columns)
@@ -71,11 +79,12 @@ def stream_billing(spark: SparkSession, T: dict[str, DataFrame], treatment_strea
         keys = spark.read.parquet(f"{treat_path}/batch={batch_id}").select("AppointmentID").distinct()
         tables = dict(T)
         tables["Treatment"] = cur_treatments()
-        bills = cur_bills()
-        touched = bills.join(keys, "AppointmentID", "left_semi")
+        # the semi-join is pushed below the latest-per-key aggregate, so only
+        # the touched keys' versions are shuffled
+        touched = cur_bills().join(keys, "AppointmentID", "left_semi")
         derived = derive_billing(tables, existing=touched, keys=keys)
         # new bills take ids after the maximum of the whole table, not of `touched`
-        changed = (merge_billing(touched, derived, id_source=bills)
+        changed = (merge_billing(touched, derived, id_source=all_bill_ids())
                    .join(keys, "AppointmentID", "left_semi"))
         changed.write.mode("overwrite").parquet(f"{bill_path}/batch={batch_id}")
 
