@@ -28,9 +28,6 @@ from wardbook.sources.tables import from_testdata, payments_from_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_NO_TIME = ("UpdatedAt",)
-
-
 def _out(df: DataFrame) -> DataFrame:
     """Result boundary: decimals leave as doubles."""
     return df.select(*[F.col(f.name).cast("double").alias(f.name)
@@ -38,7 +35,7 @@ def _out(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
-_TABLE_CACHE: dict[tuple[int, str], dict[str, DataFrame]] = {}
+_TABLE_CACHE: dict[tuple[str, int, str], dict[str, DataFrame]] = {}
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -47,7 +44,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     Building them costs about a second of driver-side analysis; the plans are
     immutable, so every query reuses them. Callers get their own dict.
     """
-    key = (id(spark._jsparkSession), sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark._jsparkSession), sf_dir)
     if key not in _TABLE_CACHE:
         _TABLE_CACHE[key] = from_testdata(spark, sf_dir)
     return dict(_TABLE_CACHE[key])
