@@ -94,13 +94,17 @@ def billing_for_patient(T: Tables, patient_id) -> DataFrame:
             .orderBy(F.desc("BillingDate"), F.desc("BillingID")))
 
 
-def billing_with_patient(T: Tables) -> DataFrame:
-    """Every bill with its patient's name (when known), newest first."""
+def bills_with_patient_names(T: Tables) -> DataFrame:
+    """Every bill with its balance and its patient's name (when known), unsorted."""
     b = T["BillingRecord"]
     p = T["Patient"].select("PatientID", "FirstName", "LastName")
     return (with_balance(b).join(p, "PatientID", "left")
-            .select(*b.columns, "BalanceDue", "FirstName", "LastName")
-            .orderBy(F.desc("BillingDate"), F.desc("BillingID")))
+            .select(*b.columns, "BalanceDue", "FirstName", "LastName"))
+
+
+def billing_with_patient(T: Tables) -> DataFrame:
+    """Every bill with its patient's name (when known), newest first."""
+    return bills_with_patient_names(T).orderBy(F.desc("BillingDate"), F.desc("BillingID"))
 
 
 def my_patients(scoped_appts: DataFrame, patients: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardbook.operators.listings import billing_with_patient, with_balance
+from wardbook.operators.listings import bills_with_patient_names, with_balance
 
 Tables = dict[str, DataFrame]
 
@@ -110,7 +110,7 @@ def scope_billing(T: Tables, viewers: DataFrame) -> DataFrame:
     p = T["Patient"].select("PatientID", "FirstName", "LastName")
     own = with_balance(b).join(p, "PatientID", "inner")
     own = own.select(*b.columns, "BalanceDue", "FirstName", "LastName")
-    everyone = billing_with_patient(T)
+    everyone = bills_with_patient_names(T)
     # the "all" branch includes staff without a link: only patients are filtered
     staff = s.withColumn("scope", F.when(F.col("role") == "patient", F.col("scope"))
                          .otherwise(F.lit("all")))
