@@ -102,3 +102,10 @@ def test_case_insensitive_status(spark, seed):
     assert R.billing_by_status(t).count() == 5
     got = {r["PaymentStatus"]: r["TotalRecords"] for r in R.billing_by_status(t, ci=True).collect()}
     assert len(got) == 4 and got["Paid"] == 15
+
+
+def test_all_reports_with_shared_inputs(seed):
+    plain = R.all_reports(seed)
+    shared = R.all_reports(seed, share_inputs=True)
+    for k in plain:
+        assert sorted(map(tuple, plain[k].collect())) == sorted(map(tuple, shared[k].collect())), k

@@ -237,7 +237,15 @@ def bar_share(df: DataFrame, label: str, value: str) -> DataFrame:
                      F.greatest(F.lit(4.0), F.round(v / top * 100)).cast("long").alias("pct"))
 
 
-def all_reports(T: Tables) -> dict[str, DataFrame]:
+def all_reports(T: Tables, share_inputs: bool = False) -> dict[str, DataFrame]:
+    """R1-R6 together. With ``share_inputs`` the bills and appointments, which
+    most reports read, are materialized once in the checkpoint folder first
+    (worth it when they are derived rather than stored)."""
+    if share_inputs:
+        from wardbook.session import cut_lineage
+        T = dict(T)
+        for name in ("BillingRecord", "Appointment"):
+            T[name] = cut_lineage(T[name])
     return {"billing_by_status": billing_by_status(T),
             "appointments_by_dept": appointments_by_dept(T),
             "treatment_by_dept": treatment_by_dept(T),
