@@ -168,8 +168,12 @@ def cascade_delete(T: dict[str, DataFrame], root: str, keys: DataFrame,
     the FK graph parents-first (CASCADE edges); then each table drops its own
     keys (anti-join) and NULLs references to dropped parents (SET NULL edges).
     So a treatment dropped through its appointment is dropped even though its
-    diagnosis edge says SET NULL. With ``materialize`` each key set is written
-    to the checkpoint folder once instead of being recomputed by every user.
+    diagnosis edge says SET NULL. The result is lazy: reading one table only
+    computes the key sets it depends on. When all tables are written out,
+    pass ``materialize=True``: each key set is then written to the
+    checkpoint folder once, since it feeds its children's key sets and the
+    final anti- and SET NULL joins, which would otherwise each recompute the
+    chain of semi-joins above it.
     """
     pk = PRIMARY_KEYS
     dropped: dict[str, DataFrame] = {root: keys.select(pk[root]).distinct()}
