@@ -34,18 +34,21 @@ def number_new_rows(need: DataFrame, target: DataFrame | None, id_col: str, orde
                     num_partitions: int | None = None) -> DataFrame:
     """Number every row of ``need`` as MAX(target.id_col) + its rank in ``order``.
 
+    ``order`` should end with a unique column, so the rank is well defined
+    and range partitioning can split any run of equal leading values.
     Scales without a single-partition window: the rows are range-partitioned
-    on ``order`` and written once to the checkpoint folder (so partition
-    contents are fixed even if an executor is lost), counted per partition
-    (one row per partition), and numbered as partition offset + position.
+    on ``order`` and sorted inside each partition; each row's partition and
+    position are computed there and written once with the rows to the shared
+    checkpoint folder (so a lost executor cannot reshuffle them); then the
+    per-partition counts (one row per partition) give each partition's offset.
     """
     spark = need.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(need.repartitionByRange(n, *order).sortWithinPartitions(*order))
     pid = F.spark_partition_id()
-    x = ranged.select("*", pid.alias("_pid"),
-                      (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
-                      .alias("_pos"))
+    x = cut_lineage(
+        need.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        .select("*", pid.alias("_pid"),
+                (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)).alias("_pos")))
     # one row per partition: bounded by n, so the window and broadcast are safe
     offs = (x.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
             .select("_pid", F.coalesce(

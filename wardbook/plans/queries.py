@@ -374,12 +374,13 @@ def billing_rejects(spark, d):
 
 def _old_bills(t: dict[str, DataFrame]) -> DataFrame:
     """Bills as they were before the 'R' treatments arrived, with PatientID
-    shifted (to show a regenerate keeps it) and every ninth bill missing."""
+    shifted (to show a regenerate keeps it). Stored once, as the billing
+    table the merge and refresh then work on."""
     old_t = dict(t)
     old_t["Treatment"] = t["Treatment"].filter(F.col("TreatmentName") != "R")
     from wardbook.operators.billing import paid_per_appointment
     old = B.derive_billing(old_t, existing=paid_per_appointment(t["Payments"]))
-    return old.withColumn("PatientID", F.col("PatientID") + 1)
+    return cut_lineage(old.withColumn("PatientID", F.col("PatientID") + 1))
 
 
 def billing_merge(spark, d):

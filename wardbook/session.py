@@ -81,15 +81,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df):
-    """Materialize ``df`` once in the shared checkpoint folder and return the
-    re-read DataFrame (lineage cut, safe against executor loss).
-
-    The persist makes the checkpoint write reuse the computed blocks instead
-    of running the plan a second time; it is dropped right after.
-    """
-    from pyspark import StorageLevel
-    checkpoint_root(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+    """Write ``df`` once as a Parquet table under the shared checkpoint folder
+    and return it re-read: the lineage is cut (an executor lost later does not
+    recompute the plan), and the re-read is a columnar scan with pruning and
+    statistics."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
