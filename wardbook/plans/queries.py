@@ -369,7 +369,46 @@ def billing_derive(spark, d):
 
 
 def billing_rejects(spark, d):
-    return B.billing_rejects(_tables(spark, d))
+    """B1.1/B2: appointments whose patient row is gone (removed without a
+    cascade) or whose date is missing cannot be billed; each gets a reason."""
+    t = _tables(spark, d)
+    t["Patient"] = t["Patient"].filter(F.col("PatientID") % 10 != 3)
+    t["Appointment"] = t["Appointment"].withColumn(
+        "AppointmentDate", F.when(F.col("AppointmentID") % 97 == 0, F.lit(None).cast("date"))
+        .otherwise(F.col("AppointmentDate")))
+    return B.billing_rejects(t)
+
+
+def _account_feed(spark, d) -> DataFrame:
+    c = _raw(spark, d, "customer")
+    k = F.col("c_custkey")
+    return c.select(
+        k.alias("seq"),
+        F.when(k % 3 == 0, F.lit("register")).otherwise(F.lit("admin")).alias("source"),
+        F.concat(F.lit("user"), k.cast("string")).alias("username"),
+        F.when(k % 3 == 1, F.when(k % 5 == 4, F.lit("patient")).otherwise(F.lit("doctor")))
+         .when(k % 3 == 2, F.lit("nurse")).alias("role"),
+        F.when(k % 7 == 0, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.col("c_name"), F.lit(" "), F.col("c_mktsegment"))).alias("full_name"),
+        F.lit(None).cast("string").alias("specialty"), F.lit(None).cast("string").alias("phone"),
+        (F.col("c_nationkey") % 5).cast("long").alias("department_id"))
+
+
+def expand_accounts(spark, d):
+    """An account feed (self-registrations and admin-created staff) as new
+    Users rows linked to new Patient, Doctor and Nurse keys."""
+    return D.expand_accounts(_account_feed(spark, d), _tables(spark, d))["Users"]
+
+
+def expand_accounts_staff(spark, d):
+    """The Doctor and Nurse rows the same feed creates (names split at the
+    first space, or the username when there is no name)."""
+    out = D.expand_accounts(_account_feed(spark, d), _tables(spark, d))
+    doc = out["Doctor"].select(F.lit("doctor").alias("kind"), F.col("DoctorID").alias("id"),
+                               "FirstName", "LastName", "DepartmentID")
+    nur = out["Nurse"].select(F.lit("nurse").alias("kind"), F.col("NurseID").alias("id"),
+                              "FirstName", "LastName", "DepartmentID")
+    return doc.unionByName(nur)
 
 
 def _old_bills(t: dict[str, DataFrame]) -> DataFrame:
