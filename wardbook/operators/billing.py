@@ -175,6 +175,8 @@ def merge_billing(billing: DataFrame, derived: DataFrame, now: Column | None = N
     merged = cut_lineage(j.select(*cols, in_tgt.alias("_old")))
     keep = merged.filter(F.col("_old")).drop("_old")
     new = merged.filter(~F.col("_old")).drop("_old")
+    if new.isEmpty():  # a scan of the stored merge result, stops at the first new bill
+        return keep
     numbered = number_new_rows(new, id_source if id_source is not None else billing, "BillingID",
                                order=["AppointmentID"])
     return keep.unionByName(numbered)
