@@ -109,3 +109,57 @@ def test_all_reports_with_shared_inputs(seed):
     shared = R.all_reports(seed, share_inputs=True)
     for k in plain:
         assert sorted(map(tuple, plain[k].collect())) == sorted(map(tuple, shared[k].collect())), k
+
+
+def _with_edge_rows(spark, seed):
+    import datetime as dt
+    from decimal import Decimal
+    t = dict(seed)
+    t["Department"] = seed["Department"].unionByName(
+        spark.createDataFrame([(6, "Radiology", None, None)], seed["Department"].schema))
+    # doctor 11 has no department; doctor 12 has the same name as doctor 1
+    t["Doctor"] = seed["Doctor"].unionByName(spark.createDataFrame(
+        [(11, "Meredith", "Grey", "Surgery", None, None), (12, "Gregory", "House", "Other", None, 3)],
+        seed["Doctor"].schema))
+    d = dt.date(2026, 6, 1)
+    t["Appointment"] = seed["Appointment"].unionByName(spark.createDataFrame(
+        [(31, 1, 11, 1, d, 0, "Completed", None), (32, 1, 12, 1, d, 0, "Completed", None),
+         (33, 1, 12, 1, d, 0, None, None)], seed["Appointment"].schema))
+    t["Treatment"] = seed["Treatment"].unionByName(spark.createDataFrame(
+        [(31, None, 31, "x", None, Decimal("10.00")), (32, None, 32, "x", None, Decimal("20.00"))],
+        seed["Treatment"].schema))
+    from wardbook.operators.billing import derive_billing
+    t["BillingRecord"] = derive_billing(t, existing=seed["BillingRecord"])
+    return t
+
+
+def test_report_edge_cases(spark, seed):
+    t = _with_edge_rows(spark, seed)
+    r2 = {r["DepartmentName"]: r for r in rows(R.appointments_by_dept(t))}
+    rad = r2["Radiology"]
+    assert rad["TotalAppointments"] == 0 and rad["Completed"] is None and rad["Scheduled"] is None
+    assert rad["EarliestAppt"] is None and rad["LatestAppt"] is None
+    # doctor 11 (no department) is absent from R2 and R3: Emergency gains only doctor 12's two
+    assert r2["Emergency"]["TotalAppointments"] == 11 and r2["Emergency"]["Completed"] == 10
+    r3 = {r["DepartmentName"]: r for r in rows(R.treatment_by_dept(t))}
+    assert "Radiology" not in r3 and r3["Emergency"]["TotalTreatments"] == 10
+    assert sum(r["TotalTreatments"] for r in r3.values()) == 31  # treatment 31 drops out
+    r4 = rows(R.doctor_workload(t))
+    assert len(r4) == 12
+    houses = [r for r in r4 if r["DoctorName"] == "Gregory House"]
+    assert len(houses) == 2 and sorted(r["TotalAppointments"] for r in houses) == [2, 3]
+    grey = [r for r in r4 if r["DoctorName"] == "Meredith Grey"][0]
+    assert grey["DepartmentName"] is None and grey["TotalAppointments"] == 1
+    # patient 1 now holds three bills: one patient, three claims for BlueCross
+    r5 = {r["ProviderName"]: r for r in rows(R.insurance_analysis(t))}
+    assert r5["BlueCross Health"]["TotalPatients"] == 7 and r5["BlueCross Health"]["TotalClaims"] == 10
+
+
+def test_payment_ignores_requested_status(spark, seed):
+    from decimal import Decimal
+    from wardbook.operators.billing import apply_payments
+    ledger = spark.createDataFrame([(8, Decimal("16.00"), "Unpaid")],
+                                   "BillingID int, Amount decimal(10,2), PaymentStatus string")
+    got = {r["BillingID"]: r for r in apply_payments(seed["BillingRecord"], ledger).collect()}
+    assert got[8]["PaymentStatus"] == "Paid" and got[8]["AmountPaid"] == Decimal("36.00")
+    assert got[8]["AmountOwed"] - got[8]["AmountPaid"] == Decimal("0.00")
