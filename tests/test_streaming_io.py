@@ -72,3 +72,18 @@ def test_defaults_and_small_scalars(spark, seed):
     got = df.select(S.default_if_missing(F.col("m"), "Cash"), S.default_if_empty(F.col("e"), "old"),
                     S.role_allowed(F.col("r"))).collect()
     assert tuple(got[0]) == ("Cash", "old", True) and tuple(got[1]) == ("Card", "x", False)
+
+
+def test_partitioned_save_and_compact(spark, seed):
+    from wardbook.streaming.billing_stream import compact
+    root = scratch_path(spark, "parts")
+    save_tables({"Appointment": seed["Appointment"]}, root,
+                partition_by={"Appointment": ["AppointmentDate"]})
+    back = spark.read.parquet(f"{root}/Appointment")
+    assert back.filter("AppointmentDate = DATE'2026-04-21'").count() == 2
+    deltas = scratch_path(spark, "deltas")
+    seed["BillingRecord"].filter("BillingID = 4").withColumn("PaymentStatus", F.lit("Unpaid")) \
+        .write.parquet(f"{deltas}/batch=0")
+    out = spark.read.parquet(compact(spark, seed["BillingRecord"], deltas, "AppointmentID"))
+    assert out.count() == 30
+    assert out.filter("AppointmentID = 1").collect()[0]["PaymentStatus"] == "Unpaid"

@@ -14,9 +14,11 @@ Tables = dict[str, DataFrame]
 
 def load_tables(spark: SparkSession, directory: str, names: list[str] | None = None,
                 fmt: str = "parquet") -> Tables:
-    """Read each clinic table from ``directory/<Table>`` with its declared schema.
+    """Read each clinic table from ``directory/<Table>``.
 
-    Columns a stored table lacks (older layouts) come back as typed NULLs (S5).
+    The files' own schema is used (key widths may differ between stores);
+    declared columns a stored table lacks (older layouts) come back as typed
+    NULLs (S5).
     """
     out: Tables = {}
     for name in names or list(SCHEMAS):
@@ -35,10 +37,13 @@ def ensure_columns(df: DataFrame, schema: T.StructType | list[tuple[str, T.DataT
 
 
 def save_tables(tables: Tables, directory: str | None = None, spark: SparkSession | None = None,
-                fmt: str = "parquet") -> dict[str, str]:
+                fmt: str = "parquet",
+                partition_by: dict[str, list[str]] | None = None) -> dict[str, str]:
     """Write a new version of each table into a fresh folder; return the paths.
 
     Writing is the lineage cut: callers re-read the returned paths.
+    ``partition_by`` names folder-partition columns per table (for example
+    AppointmentDate), so later filters on them prune whole folders.
     """
     paths = {}
     for name, df in tables.items():
@@ -46,7 +51,10 @@ def save_tables(tables: Tables, directory: str | None = None, spark: SparkSessio
             path = scratch_path(spark or df.sparkSession, f"table-{name}")
         else:
             path = f"{directory.rstrip('/')}/{name}"
-        df.write.mode("overwrite").format(fmt).save(path)
+        w = df.write.mode("overwrite").format(fmt)
+        if partition_by and partition_by.get(name):
+            w = w.partitionBy(*partition_by[name])
+        w.save(path)
         paths[name] = path
     return paths
 

@@ -121,3 +121,15 @@ def stream_payments(spark: SparkSession, payment_stream: DataFrame, root: str |
     q.awaitTermination()
     empty = spark.createDataFrame([], f"{key} bigint, AmountPaid decimal(10,2)")
     return current_table(spark, empty, out_path, key, _exists(spark, out_path))
+
+
+def compact(spark: SparkSession, base: DataFrame, deltas_path: str, key: str,
+            out_path: str | None = None) -> str:
+    """Fold the batch folders into a new base table (latest row per key) and
+    return its path. Run now and then so per-batch reads stay proportional to
+    the changes, not to the number of batches; restart the stream with the
+    new base and an empty delta folder."""
+    out_path = out_path or scratch_path(spark, "compacted")
+    current_table(spark, base, deltas_path, key, _exists(spark, deltas_path)) \
+        .write.mode("overwrite").parquet(out_path)
+    return out_path
