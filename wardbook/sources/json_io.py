@@ -10,16 +10,18 @@ from wardbook.functions.scalars import hhmm
 
 
 def read_json_batch(df: DataFrame, col: str, schema: T.StructType,
-                    keep: list[str] | None = None) -> DataFrame:
+                    keep: list[str] | None = None, position: str | None = None) -> DataFrame:
     """S3: parse a JSON text column holding one object or a list of objects
-    into one row per object (fields of ``schema``); ``keep`` columns ride along.
+    into one row per object (fields of ``schema``); ``keep`` columns ride along,
+    and ``position`` (if named) holds each object's index in its list.
 
     Rows whose text is not valid JSON give no items (a batch check can flag them).
     """
     items = F.from_json(F.col(col), T.ArrayType(schema))
     keep = keep or []
-    return (df.select(*keep, F.explode(items).alias("_item"))
-            .select(*keep, *[F.col(f"_item.{f.name}").alias(f.name) for f in schema.fields]))
+    pos = [F.col("_pos").alias(position)] if position else []
+    return (df.select(*keep, F.posexplode(items).alias("_pos", "_item"))
+            .select(*keep, *pos, *[F.col(f"_item.{f.name}").alias(f.name) for f in schema.fields]))
 
 
 def read_json_files(spark, path: str, schema: T.StructType) -> DataFrame:
