@@ -436,6 +436,26 @@ def billing_refresh(spark, d):
     return _bills(B.refresh_billing(t, changed, now=F.lit(None)))
 
 
+def add_treatments_flow(spark, d):
+    """The add-treatments flow: every 'R' line item arrives as a JSON request
+    against bills built without them; requests of orders with key % 101 = 0
+    lack their AppointmentID and are rejected whole. Result: the new bills."""
+    from wardbook.operators.flows import add_treatments
+    t = _tables(spark, d)
+    t["BillingRecord"] = _old_bills(t)
+    t["Treatment"] = t["Treatment"].filter(F.col("TreatmentName") != "R")
+    li = _raw(spark, d, "lineitem").filter(F.col("l_returnflag") == "R")
+    item = F.struct(
+        F.col("l_partkey").alias("DiagnosisID"),
+        F.when(F.col("l_orderkey") % 101 != 0, F.col("l_orderkey")).alias("AppointmentID"),
+        F.col("l_returnflag").alias("TreatmentName"),
+        F.col("l_extendedprice").cast("decimal(10,2)").alias("TreatmentCost"))
+    reqs = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("request_id"),
+                     F.to_json(item).alias("body"))
+    out, _rejected = add_treatments(t, reqs)
+    return _bills(out["BillingRecord"])
+
+
 def _ledger(t: dict[str, DataFrame]) -> DataFrame:
     p = t["Payments"]
     return p.select("AppointmentID", "Amount", F.col("event_id").alias("seq"),
