@@ -3,8 +3,8 @@
 ``viewers``: (viewer_id, role, linked_record_id, patient_record_id).
 
 A restricted viewer (a linked patient, doctor or nurse) gets its rows by an
-equi-join on the matching column; the four branches are unioned instead of
-one OR-join, which Spark could only run as a nested loop. Viewers who see
+equi-join on the matching column, never by one OR-join (which Spark could
+only run as a nested loop). Viewers who see
 everything are *not* crossed with the table: the full table is emitted once
 with ``scope = 'all'`` and ``viewer_id`` NULL, and ``viewer_scopes`` tells
 which viewers hold that scope. Output grows with the data, never with
@@ -91,15 +91,31 @@ def _all_branch(scopes: DataFrame, rows: DataFrame) -> DataFrame:
         F.lit("all").alias("scope"), *rows.columns)
 
 
+_APPOINTMENT_LINKS = (("patient", "PatientID"), ("doctor", "DoctorID"), ("nurse", "NurseID"))
+
+
 def scope_appointments(appts: DataFrame, viewers: DataFrame, unlinked: str = "all") -> DataFrame:
     """Appointments visible per viewer. Patients see their own (none when
     unlinked), doctors and nurses those they are booked on, everyone else
-    (and unlinked staff, by default) all of them."""
+    (and unlinked staff, by default) all of them.
+
+    One scan serves all restricted viewers: each appointment emits its
+    (scope, id) match keys -- patient, doctor, nurse -- by a narrow explode,
+    and a single equi-join on (scope, id) pairs them with the viewers. A
+    viewer has one scope, so it meets each appointment at most once.
+    """
     s = viewer_scopes(viewers, unlinked)
-    return (_branch(s, appts, "patient", "PatientID")
-            .unionByName(_branch(s, appts, "doctor", "DoctorID"))
-            .unionByName(_branch(s, appts, "nurse", "NurseID"))
-            .unionByName(_all_branch(s, appts)))
+    links = F.explode(F.array(*[
+        F.struct(F.lit(scope).alias("_scope"), F.col(col).cast("long").alias("_rid"))
+        for scope, col in _APPOINTMENT_LINKS]))
+    keyed = (appts.select("*", links.alias("_k"))
+             .select(*appts.columns, F.col("_k._scope").alias("_scope"), F.col("_k._rid").alias("_rid"))
+             .filter(F.col("_rid").isNotNull()))
+    v = (s.filter(F.col("scope").isin(*[scope for scope, _ in _APPOINTMENT_LINKS]))
+         .select("viewer_id", "scope", F.col("scope").alias("_scope"),
+                 F.col("record_id").cast("long").alias("_rid")))
+    restricted = v.join(keyed, ["_scope", "_rid"]).select("viewer_id", "scope", *appts.columns)
+    return restricted.unionByName(_all_branch(s, appts))
 
 
 def scope_billing(T: Tables, viewers: DataFrame) -> DataFrame:
