@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardbook.operators.billing import refresh_billing
-from wardbook.operators.changes import assign_ids, delete_by_key
+from wardbook.operators.changes import delete_by_key, number_new_rows
 from wardbook.operators.checks import batch_flags
 from wardbook.schema import MONEY
+from wardbook.session import cut_lineage
 from wardbook.sources.json_io import read_json_batch
 
 TREATMENT_REQUEST = T.StructType([
@@ -36,11 +37,13 @@ def add_treatments(tables: dict[str, DataFrame], requests: DataFrame, body: str
     flags = batch_flags(items, request_id, bad)
     good = items.join(flags.filter(~F.col("rejected")).select(request_id), request_id, "left_semi")
     treat = tables["Treatment"]
-    new = good.select(F.lit(None).cast(treat.schema["TreatmentID"].dataType).alias("TreatmentID"),
-                      "DiagnosisID", "AppointmentID", "TreatmentName", "Description",
-                      F.coalesce(F.col("TreatmentCost"), F.lit(0).cast(MONEY)).alias("TreatmentCost"),
-                      request_id, "_item")
-    numbered = assign_ids(new, treat, "TreatmentID", order=[request_id, "_item"])
+    # parsed and validated once; numbering and the refresh read this copy
+    new = cut_lineage(good.select(
+        F.lit(None).cast(treat.schema["TreatmentID"].dataType).alias("TreatmentID"),
+        "DiagnosisID", "AppointmentID", "TreatmentName", "Description",
+        F.coalesce(F.col("TreatmentCost"), F.lit(0).cast(MONEY)).alias("TreatmentCost"),
+        request_id, "_item"))
+    numbered = number_new_rows(new, treat, "TreatmentID", order=[request_id, "_item"])
     added = numbered.select(*[F.col(c).cast(treat.schema[c].dataType) for c in treat.columns])
     out = dict(tables)
     out["Treatment"] = treat.unionByName(added)
