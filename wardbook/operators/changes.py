@@ -24,6 +24,8 @@ def assign_ids(df: DataFrame, target: DataFrame | None, id_col: str, order: list
     """Give rows whose ``id_col`` is NULL the keys MAX(target)+1, +2, ...
 
     Rows that already carry a key keep it. New keys follow ``order``.
+    Both halves read ``df``; when it is costly to compute, pass it
+    materialized (``session.cut_lineage``), as ``merge_billing`` does.
     """
     need = df.filter(F.col(id_col).isNull())
     keep = df.filter(F.col(id_col).isNotNull())
