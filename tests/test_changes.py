@@ -103,3 +103,24 @@ def test_expand_accounts(spark, seed):
     assert users["doc"]["linked_record_id"] == 11 and users["nur"]["linked_record_id"] == 11
     assert users["pat"]["patient_record_id"] is None
     assert out["Patient"].count() == 1 and out["Doctor"].collect()[0]["LastName"] == "Grey"
+
+
+def test_validate_insert(spark, seed):
+    rows = [(31, "Ann", "Lee", None, None, None, None, 1),      # good
+            (32, "Bo", "Ng", None, None, None, None, 9),       # unknown provider
+            (1, "Cy", "Doe", None, None, None, None, None),    # key exists
+            (33, None, "X", None, None, None, None, None),     # NOT NULL
+            (34, "D" * 51, "X", None, None, None, None, None),  # too long
+            (35, "E", "X", None, None, None, None, None),      # repeated in the batch
+            (35, "F", "X", None, None, None, None, None)]
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in seed["Patient"].schema])
+    df = spark.createDataFrame(rows, schema)  # incoming rows are not yet checked
+    good, bad = V.validate_insert(df, "Patient", seed)
+    assert [r["PatientID"] for r in good.collect()] == [31]
+    reasons = {(r["PatientID"], r["FirstName"]): r["reason"] for r in bad.collect()}
+    assert reasons[(32, "Bo")] == "ProviderID has no InsuranceProvider"
+    assert reasons[(1, "Cy")] == "PatientID already exists"
+    assert reasons[(33, None)] == "FirstName is NULL"
+    assert reasons[(34, "D" * 51)] == "FirstName longer than 50"
+    assert reasons[(35, "E")] == reasons[(35, "F")] == "PatientID repeated in the batch"
