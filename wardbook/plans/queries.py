@@ -355,6 +355,26 @@ def too_long(spark, d):
     return V.too_long(dg, {"DiagnosisName": 10}).select("DiagnosisID", "DiagnosisName", "reason")
 
 
+def validate_patients(spark, d):
+    """V1-V4 on a batch of new patients built from the customers: new keys,
+    keys that exist, unknown providers, and two hot repeated keys. Every row
+    comes back, with its reason or NULL when it may be inserted."""
+    t = _tables(spark, d)
+    c = _raw(spark, d, "customer")
+    k = F.col("c_custkey")
+    pid = (F.when(k % 4 == 0, k + 1000000).when(k % 4 == 1, k)
+            .when(k % 8 == 2, k + 2000000).otherwise(F.lit(3000000) + k % 16))
+    prov = F.when(k % 8 == 2, F.col("c_nationkey") + 100).otherwise(F.col("c_nationkey")).cast("bigint")
+    batch = c.select(pid.alias("PatientID"), F.col("c_name").alias("FirstName"),
+                     F.col("c_mktsegment").alias("LastName"), F.lit(None).cast("date").alias("DOB"),
+                     F.lit(None).cast("string").alias("Gender"), F.lit(None).cast("string").alias("Phone"),
+                     F.lit(None).cast("string").alias("Address"), prov.alias("ProviderID"))
+    good, bad = V.validate_insert(batch, "Patient", t)
+    cols = ["PatientID", "FirstName", "ProviderID"]
+    return (good.select(*cols, F.lit(None).cast("string").alias("reason"))
+            .unionByName(bad.select(*cols, "reason")))
+
+
 def batch_reject(spark, d):
     li = _raw(spark, d, "lineitem")
     return V.batch_flags(li, "l_orderkey", F.col("l_quantity") < 2)
