@@ -87,3 +87,11 @@ def test_partitioned_save_and_compact(spark, seed):
     out = spark.read.parquet(compact(spark, seed["BillingRecord"], deltas, "AppointmentID"))
     assert out.count() == 30
     assert out.filter("AppointmentID = 1").collect()[0]["PaymentStatus"] == "Unpaid"
+
+
+def test_register_views(spark, seed):
+    from wardbook.sources.tables import register_views
+    assert "BillingRecord" in register_views(seed)
+    got = {r[0]: r[1] for r in spark.sql(
+        "SELECT PaymentStatus, COUNT(*) FROM BillingRecord GROUP BY PaymentStatus").collect()}
+    assert got == {"Paid": 15, "Unpaid": 8, "Partial": 4, "Canceled": 3}

@@ -59,6 +59,17 @@ def save_tables(tables: Tables, directory: str | None = None, spark: SparkSessio
     return paths
 
 
+def register_views(tables: Tables, prefix: str = "") -> list[str]:
+    """Expose the clinic tables as temporary views (``Patient``,
+    ``BillingRecord``, ...) so plain ``spark.sql`` can query them; returns
+    the view names."""
+    names = []
+    for name, df in tables.items():
+        df.createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    return names
+
+
 # ---------------------------------------------------------------------------
 # Test-data mapping: the driver's TPC-H-like tables projected as clinic tables.
 # ---------------------------------------------------------------------------
