@@ -18,6 +18,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot key's join partition even when that costs an extra shuffle:
+    # with a third of all rows on one key, one task would otherwise do it all
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     # Spark's own size check for broadcast joins (plan statistics, and
     # AQE re-checks with the real shuffle sizes). Above it: sort-merge.
