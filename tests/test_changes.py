@@ -94,15 +94,33 @@ def test_expand_accounts(spark, seed):
         [(1, "register", "ann", None, "Ann Lee", None, None, None),
          (2, "admin", "doc", "doctor", "Meredith Grey", "Surgery", "555", 1),
          (3, "admin", "pat", "patient", "Bob", None, None, None),
-         (4, "admin", "nur", "nurse", "Nina", None, None, 2)],
+         (4, "admin", "nur", "nurse", "Nina", None, None, 2),
+         (5, "register", "zed", None, None, None, None, None),
+         (6, "admin", "doc2", "doctor", None, None, None, 0),
+         (7, "admin", "jan", "janitor", "Jo", None, None, None),
+         (8, "register", "ann", None, "Ann Again", None, None, None),
+         (9, "admin", "taken", "nurse", "T", None, None, None)],
         "seq int, source string, username string, role string, full_name string, "
         "specialty string, phone string, department_id int")
-    out = D.expand_accounts(feed, seed)
+    t = dict(seed)
+    t["Users"] = spark.createDataFrame([(1, "taken", "x", "admin", None, None, None)],
+                                       "id int, username string, password_hash string, role string, "
+                                       "full_name string, patient_record_id int, linked_record_id int")
+    out = D.expand_accounts(feed, t)
     users = {r["username"]: r for r in out["Users"].collect()}
     assert users["ann"]["role"] == "patient" and users["ann"]["patient_record_id"] == 31
     assert users["doc"]["linked_record_id"] == 11 and users["nur"]["linked_record_id"] == 11
-    assert users["pat"]["patient_record_id"] is None
-    assert out["Patient"].count() == 1 and out["Doctor"].collect()[0]["LastName"] == "Grey"
+    assert users["pat"]["patient_record_id"] is None and users["pat"]["linked_record_id"] is None
+    assert users["zed"]["full_name"] is None and users["doc2"]["full_name"] == ""
+    assert sorted(u["id"] for u in users.values()) == [2, 3, 4, 5, 6, 7]
+    rejected = {r["seq"]: r["reason"] for r in out["Rejected"].collect()}
+    assert rejected == {7: "invalid role", 8: "username already exists", 9: "username already exists"}
+    patients = {r["PatientID"]: r for r in out["Patient"].collect()}
+    assert (patients[31]["FirstName"], patients[31]["LastName"]) == ("Ann", "Lee")
+    assert (patients[32]["FirstName"], patients[32]["LastName"]) == ("zed", "")
+    docs = {r["DoctorID"]: r for r in out["Doctor"].collect()}
+    assert docs[11]["LastName"] == "Grey" and docs[11]["DepartmentID"] == 1
+    assert (docs[12]["FirstName"], docs[12]["LastName"], docs[12]["DepartmentID"]) == ("", "", None)
 
 
 def test_validate_insert(spark, seed):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardbook.schema import DEFAULTS, FOREIGN_KEYS, PRIMARY_KEYS, topological_order
-from wardbook.functions.scalars import split_full_name
+from wardbook.functions.scalars import role_allowed, split_full_name
 from wardbook.session import cut_lineage
 
 
@@ -245,16 +245,43 @@ def expand_accounts(feed: DataFrame, T: dict[str, DataFrame]) -> dict[str, DataF
 
     ``feed``: (seq, source 'register'|'admin', username, role, full_name,
     specialty, phone, department_id). Self-registration always makes a
-    patient with a Patient row; admin-created doctors and nurses get a Doctor
-    or Nurse row; admin-created patients get none. Names split at the first
-    space; a missing name falls back to the username. Returns the new rows of
-    Users, Patient, Doctor and Nurse (keys assigned after each table's max).
+    patient with a Patient row, named from the full name split at the first
+    space, or the username when there is no name. Admin-created doctors and
+    nurses get a Doctor or Nurse row named from the full name ('' when there
+    is none); admin-created patients get no row. A missing full name is
+    stored as NULL for a registration and '' for an admin-created account;
+    a department id of 0 means none.
+
+    Rejected (in ``Rejected``, with a reason): an empty username, an unknown
+    role, and a username that already exists or appeared earlier in the feed
+    (in ``seq`` order). Returns the new rows of Users, Patient, Doctor and
+    Nurse (keys assigned after each table's maximum) and ``Rejected``.
     """
-    f = feed.withColumn("role", F.when(F.col("source") == "register", F.lit("patient"))
-                        .otherwise(F.coalesce(F.nullif(F.col("role"), F.lit("")),
-                                              F.lit("patient"))))
-    first, last = split_full_name(F.col("full_name"), F.col("username"))
-    f = f.withColumn("_first", first).withColumn("_last", last)
+    reg_src = F.col("source") == "register"
+    f = feed.withColumn("role", F.when(reg_src, F.lit("patient"))
+                        .otherwise(F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("patient"))))
+    # earliest feed row per username; later ones collide with it
+    first_seq = (f.filter(F.col("username").isNotNull()).groupBy("username")
+                 .agg(F.min("seq").alias("_first_seq")))
+    f = f.join(first_seq, "username", "left")
+    reason = F.when(F.length(F.coalesce(F.col("username"), F.lit(""))) == 0,
+                    F.lit("username required"))
+    reason = reason.when(~role_allowed(F.col("role")), F.lit("invalid role"))
+    reason = reason.when(F.col("seq") != F.col("_first_seq"), F.lit("username already exists"))
+    if "Users" in T:
+        taken = T["Users"].select("username").distinct().withColumn("_taken", F.lit(True))
+        f = f.join(taken, "username", "left")
+        reason = reason.when(F.col("_taken"), F.lit("username already exists"))
+    f = f.withColumn("_reason", reason)
+    rejected = f.filter(F.col("_reason").isNotNull()).select("seq", "username", F.col("_reason").alias("reason"))
+    f = f.filter(F.col("_reason").isNull())
+
+    reg_first, reg_last = split_full_name(F.col("full_name"), F.col("username"))
+    staff_first, staff_last = split_full_name(F.coalesce(F.col("full_name"), F.lit("")))
+    f = (f.withColumn("_first", F.when(reg_src, reg_first).otherwise(F.coalesce(staff_first, F.lit(""))))
+          .withColumn("_last", F.when(reg_src, reg_last).otherwise(F.coalesce(staff_last, F.lit(""))))
+          .withColumn("full_name", F.when(reg_src, F.nullif(F.col("full_name"), F.lit("")))
+                      .otherwise(F.coalesce(F.col("full_name"), F.lit("")))))
 
     def staff(role: str, table: str, extra: str) -> DataFrame:
         rows = f.filter((F.col("source") == "admin") & (F.col("role") == role))
@@ -263,13 +290,13 @@ def expand_accounts(feed: DataFrame, T: dict[str, DataFrame]) -> dict[str, DataF
                           F.col("_first").alias("FirstName"), F.col("_last").alias("LastName"),
                           F.coalesce(F.col("specialty"), F.lit("")).alias(extra),
                           F.coalesce(F.col("phone"), F.lit("")).alias("Phone"),
-                          F.col("department_id").alias("DepartmentID"))
-        return assign_ids(new, T.get(table), pk, order=["seq"])
+                          F.nullif(F.col("department_id"), F.lit(0)).alias("DepartmentID"))
+        return number_new_rows(new, T.get(table), pk, order=["seq"])
 
     doctors = staff("doctor", "Doctor", "Specialty")
     nurses = staff("nurse", "Nurse", "Certification")
-    reg = f.filter(F.col("source") == "register")
-    patients = assign_ids(
+    reg = f.filter(reg_src)
+    patients = number_new_rows(
         reg.select(F.lit(None).cast("long").alias("PatientID"), "seq",
                    F.col("_first").alias("FirstName"), F.col("_last").alias("LastName")),
         T.get("Patient"), "PatientID", order=["seq"])
@@ -280,9 +307,9 @@ def expand_accounts(feed: DataFrame, T: dict[str, DataFrame]) -> dict[str, DataF
              .select(F.lit(None).cast("long").alias("id"), "seq", "username", "role",
                      "full_name", F.col("_pid").alias("patient_record_id"),
                      F.col("_link").alias("linked_record_id")))
-    users = assign_ids(users, T.get("Users"), "id", order=["seq"])
+    users = number_new_rows(users, T.get("Users"), "id", order=["seq"])
     return {"Users": users.drop("seq"), "Patient": patients.drop("seq"),
-            "Doctor": doctors.drop("seq"), "Nurse": nurses.drop("seq")}
+            "Doctor": doctors.drop("seq"), "Nurse": nurses.drop("seq"), "Rejected": rejected}
 
 
 def with_defaults(df: DataFrame, table: str) -> DataFrame:

@@ -407,7 +407,7 @@ def _account_feed(spark, d) -> DataFrame:
         F.when(k % 3 == 0, F.lit("register")).otherwise(F.lit("admin")).alias("source"),
         F.concat(F.lit("user"), k.cast("string")).alias("username"),
         F.when(k % 3 == 1, F.when(k % 5 == 4, F.lit("patient")).otherwise(F.lit("doctor")))
-         .when(k % 3 == 2, F.lit("nurse")).alias("role"),
+         .when(k % 3 == 2, F.when(k % 5 == 4, F.lit("janitor")).otherwise(F.lit("nurse"))).alias("role"),
         F.when(k % 7 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.col("c_name"), F.lit(" "), F.col("c_mktsegment"))).alias("full_name"),
         F.lit(None).cast("string").alias("specialty"), F.lit(None).cast("string").alias("phone"),
@@ -416,7 +416,8 @@ def _account_feed(spark, d) -> DataFrame:
 
 def expand_accounts(spark, d):
     """An account feed (self-registrations and admin-created staff) as new
-    Users rows linked to new Patient, Doctor and Nurse keys."""
+    Users rows linked to new Patient, Doctor and Nurse keys; rows with an
+    unknown role are rejected."""
     return D.expand_accounts(_account_feed(spark, d), _tables(spark, d))["Users"]
 
 
