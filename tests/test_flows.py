@@ -29,3 +29,24 @@ def test_remove_treatments(spark, seed):
     b = {r["AppointmentID"]: r for r in out["BillingRecord"].collect()}[2]
     assert b["TotalCost"] == Decimal("0.00") and b["PaymentStatus"] == "Paid"
     assert b["AmountPaid"] == Decimal("25.00")
+
+
+def test_book_appointments(spark, seed):
+    import datetime as dt
+    from wardbook.operators.flows import book_appointments
+    d = dt.date(2026, 7, 1)
+    reqs = spark.createDataFrame([
+        (1, "receptionist", None, 3, 2, 5, d, 36000, None, "check"),    # staff booking
+        (2, "patient", 12, 99, 4, None, d, 36000, "Completed", "pain"),  # own record, portal nurse
+        (3, "patient", None, 5, 4, None, d, 36000, None, "x"),           # no patient record
+        (4, "doctor", None, 3, 77, None, d, 36000, "Scheduled", "y"),    # unknown doctor
+    ], "seq int, role string, patient_record_id int, PatientID int, DoctorID int, NurseID int, "
+       "AppointmentDate date, AppointmentTime int, Status string, Purpose string")
+    out, rejected = book_appointments(seed, reqs)
+    assert {r["seq"]: r["reason"] for r in rejected.collect()} == {
+        3: "Patient record not found for this account", 4: "DoctorID has no Doctor"}
+    new = {r["AppointmentID"]: r for r in out["Appointment"].filter("AppointmentID > 30").collect()}
+    assert sorted(new) == [31, 32]
+    assert (new[31]["PatientID"], new[31]["Status"], new[31]["NurseID"]) == (3, "Scheduled", 5)
+    # doctor 4 works in department 2, whose first nurse is 4
+    assert (new[32]["PatientID"], new[32]["Status"], new[32]["NurseID"]) == (12, "Requested", 4)

@@ -80,21 +80,25 @@ def validate(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
             tagged.filter(F.col("reason").isNotNull()))
 
 
-def validate_insert(df: DataFrame, table: str,
-                    T: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+def validate_insert(df: DataFrame, table: str, T: dict[str, DataFrame],
+                    generated_key: bool = False) -> tuple[DataFrame, DataFrame]:
     """Split rows to insert into ``table`` into (good, rejected with reason),
     by every rule the table declares: NOT NULL (V2), VARCHAR length (V4),
     key uniqueness within the batch and against the table (V1), and parent
     rows for non-NULL references (V3). The first failing rule is the reason.
+    With ``generated_key`` the primary key is assigned afterwards (D1), so it
+    is neither required nor checked here.
 
     Every rule is a column test or an equi-join against a distinct key set;
     duplicates are found by a per-key count (a partial aggregate), so a hot
     key costs one row per map task before the shuffle.
     """
-    keys = [PRIMARY_KEYS[table]] + UNIQUE_KEYS.get(table, [])
+    pk = PRIMARY_KEYS[table]
+    keys = ([] if generated_key else [pk]) + UNIQUE_KEYS.get(table, [])
     x = df
     reasons = [F.when(F.col(c).isNull(), F.lit(f"{c} is NULL"))
-               for c in not_null_columns(table) if c in df.columns]
+               for c in not_null_columns(table)
+               if c in df.columns and not (generated_key and c == pk)]
     reasons += [F.when(F.char_length(F.col(c)) > n, F.lit(f"{c} longer than {n}"))
                 for c, n in VARCHAR_LIMITS.get(table, {}).items() if c in df.columns]
     for k in keys:

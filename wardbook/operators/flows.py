@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from wardbook.operators.billing import refresh_billing
 from wardbook.operators.changes import delete_by_key, number_new_rows
-from wardbook.operators.checks import batch_flags
+from wardbook.operators.checks import batch_flags, validate_insert
+from wardbook.operators.listings import assign_nurse
 from wardbook.schema import MONEY
 from wardbook.session import cut_lineage
 from wardbook.sources.json_io import read_json_batch
@@ -60,3 +61,42 @@ def remove_treatments(tables: dict[str, DataFrame], keys: DataFrame) -> dict[str
     out["Treatment"] = delete_by_key(treat, keys, "TreatmentID")
     out["BillingRecord"] = refresh_billing(out, gone)
     return out
+
+
+def book_appointments(tables: dict[str, DataFrame],
+                      requests: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Book a batch of appointments; returns (new tables, rejected with reason).
+
+    ``requests``: (seq, role, patient_record_id, PatientID, DoctorID, NurseID,
+    AppointmentDate, AppointmentTime, Status, Purpose) -- ``role`` and
+    ``patient_record_id`` describe the requester. Every request gets a new
+    AppointmentID after the current maximum, in ``seq`` order. Status
+    defaults to Scheduled. A patient books for their own record with status
+    Requested and a nurse chosen as the portal does (the doctor's
+    department's first nurse, else the first nurse); a patient account
+    without a record is rejected. References must exist (NULL passes).
+    """
+    appts = tables["Appointment"]
+    is_pat = F.col("role") == "patient"
+    own = F.nullif(F.col("patient_record_id"), F.lit(0))
+    r = requests.select(
+        "seq", F.when(is_pat & own.isNull(),
+                      F.lit("Patient record not found for this account")).alias("_reason"),
+        F.when(is_pat, own).otherwise(F.col("PatientID")).alias("PatientID"), "DoctorID",
+        "NurseID", "AppointmentDate", "AppointmentTime",
+        F.when(is_pat, F.lit("Requested")).otherwise(F.coalesce(F.col("Status"), F.lit("Scheduled")))
+        .alias("Status"), "Purpose", is_pat.alias("_portal"))
+    no_record = r.filter(F.col("_reason").isNotNull()).select("seq", F.col("_reason").alias("reason"))
+    r = r.filter(F.col("_reason").isNull())
+    portal = assign_nurse(r.filter(F.col("_portal")), tables["Doctor"], tables["Nurse"])
+    r = r.filter(~F.col("_portal")).unionByName(portal)
+    typed = r.select("seq", *[F.col(c).cast(appts.schema[c].dataType).alias(c)
+                              for c in appts.columns if c != "AppointmentID"])
+    good, bad = validate_insert(typed, "Appointment", tables, generated_key=True)
+    new = cut_lineage(good.withColumn("AppointmentID", F.lit(None).cast(
+        appts.schema["AppointmentID"].dataType)))
+    numbered = number_new_rows(new, appts, "AppointmentID", order=["seq"])
+    out = dict(tables)
+    out["Appointment"] = appts.unionByName(numbered.select(*appts.columns))
+    rejected = no_record.unionByName(bad.select("seq", "reason"))
+    return out, rejected
