@@ -477,6 +477,29 @@ def add_treatments_flow(spark, d):
     return _bills(out["BillingRecord"])
 
 
+def book_appointments_flow(spark, d):
+    """The booking flow: every low-priority order is re-booked 30 days later,
+    by its patient (even keys; no linked record when the customer key ends
+    in 5) or by reception (odd keys); some name unknown doctors. Result: the
+    new appointment rows with their keys and nurses."""
+    from wardbook.operators.flows import book_appointments
+    t = _tables(spark, d)
+    o = _raw(spark, d, "orders").filter(F.col("o_orderpriority") == "5-LOW")
+    n_supp = _raw(spark, d, "supplier").select(F.count(F.lit(1))).scalar()
+    reqs = o.select(
+        F.col("o_orderkey").alias("seq"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit("patient")).otherwise(F.lit("receptionist")).alias("role"),
+        F.when(F.col("o_custkey") % 10 == 5, F.lit(None)).otherwise(F.col("o_custkey"))
+         .alias("patient_record_id"),
+        F.col("o_custkey").alias("PatientID"), (F.col("o_orderkey") % (n_supp + 3)).alias("DoctorID"),
+        (F.col("o_custkey") % n_supp).alias("NurseID"),
+        F.date_add(F.col("o_orderdate").cast("date"), 30).alias("AppointmentDate"),
+        F.lit(36000).alias("AppointmentTime"), F.lit(None).cast("string").alias("Status"),
+        F.col("o_orderpriority").alias("Purpose"))
+    out, _rejected = book_appointments(t, reqs)
+    return out["Appointment"].join(t["Appointment"].select("AppointmentID"), "AppointmentID", "left_anti")
+
+
 def _ledger(t: dict[str, DataFrame]) -> DataFrame:
     p = t["Payments"]
     return p.select("AppointmentID", "Amount", F.col("event_id").alias("seq"),
