@@ -151,3 +151,13 @@ def test_set_status_and_approve(spark, seed):
     appts = seed["Appointment"].withColumn(
         "Status", F.when(F.col("AppointmentID") == 3, F.lit("Requested")).otherwise(F.col("Status")))
     assert B.approve_requests(appts).filter(F.col("Status") == "Requested").count() == 0
+
+
+def test_regenerate_repairs_stale_bills(spark, seed):
+    stale = seed["BillingRecord"].withColumn(
+        "TotalCost", F.when(F.col("AppointmentID") == 6, F.lit(Decimal("1.00"))).otherwise(F.col("TotalCost")))
+    t = dict(seed)
+    t["BillingRecord"] = stale
+    keys = spark.createDataFrame([(6,)], "AppointmentID int")
+    got = by_appt(B.regenerate_billing(t, keys, now=F.lit(None)))
+    assert got[6]["TotalCost"] == Decimal("300.00") and len(got) == 30

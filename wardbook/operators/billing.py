@@ -200,6 +200,13 @@ def refresh_billing(T: dict[str, DataFrame], changed_treatments: DataFrame,
     return billing.join(keys, "AppointmentID", "left_anti").unionByName(fresh)
 
 
+def regenerate_billing(T: dict[str, DataFrame], appointment_ids: DataFrame,
+                       now: Column | None = None) -> DataFrame:
+    """B1 + B2 for the given appointments (the repair for bills left stale):
+    the keyed refresh with an explicit key set (a column AppointmentID)."""
+    return refresh_billing(T, appointment_ids.select("AppointmentID"), now)
+
+
 def apply_payments(billing: DataFrame, ledger: DataFrame, key: str = "BillingID",
                    seq: str | None = None) -> DataFrame:
     """Add each bill's payments to AmountPaid and re-derive its status.
