@@ -97,3 +97,15 @@ def test_ensure_columns(spark):
     out = ensure_columns(df, [("a", T.IntegerType()), ("b", T.StringType())])
     assert out.columns == ["a", "b"] and out.collect()[0]["b"] is None
     assert ensure_columns(out, [("b", T.StringType())]).columns == ["a", "b"]
+
+
+def test_json_files_roundtrip(spark, seed):
+    from wardbook.session import scratch_path
+    path = scratch_path(spark, "json")
+    json_io.write_json(seed["Appointment"], path)
+    schema = T.StructType([T.StructField("AppointmentID", T.IntegerType()),
+                           T.StructField("AppointmentTime", T.StringType()),
+                           T.StructField("AppointmentDate", T.StringType())])
+    back = {r["AppointmentID"]: r for r in json_io.read_json_files(spark, path, schema).collect()}
+    assert len(back) == 30
+    assert back[1]["AppointmentTime"] == "09:00" and back[1]["AppointmentDate"] == "2026-04-20"
