@@ -4,7 +4,7 @@ micro-batches, with checkpoints under the shared ``spark.checkpoint.dir``.
 Both sinks are merge-on-read tables: each micro-batch writes only the rows it
 changed into its own ``batch=<id>`` folder (overwritten if the batch is
 replayed after a failure, so replays are idempotent), and the current table
-is the latest row per key across the base and all batch folders.
+is the newest batch row per key plus the base rows no batch touched.
 """
 
 from __future__ import annotations
@@ -31,14 +31,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def current_table(spark: SparkSession, base: DataFrame, deltas_path: str, key: str,
                   has_deltas: bool) -> DataFrame:
-    """Merge-on-read: the latest row per key over the base and batch folders."""
+    """Merge-on-read: the latest row per key over the base and batch folders.
+
+    A batch folder holds whole rows for the keys it touched, so the result is
+    the newest batch row per key plus the base rows no batch touched. Only
+    the batch rows are aggregated; the (large) base is filtered by an
+    anti-join on the batch keys and never shuffled as a whole.
+    """
     if not has_deltas:
         return base
     deltas = spark.read.parquet(deltas_path)  # partition column: batch
     cols = [c for c in base.columns if c != key]
-    both = (base.select(*base.columns, F.lit(-1).cast("long").alias("batch"))
-            .unionByName(deltas.select(*base.columns, F.col("batch").cast("long"))))
-    return latest_per_key(both, key, cols, seq="batch")
+    newest = latest_per_key(deltas.select(*base.columns, F.col("batch").cast("long")), key, cols,
+                            seq="batch")
+    untouched = base.join(newest.select(key), key, "left_anti")
+    return untouched.unionByName(newest.select(*base.columns))
 
 
 def stream_billing(spark: SparkSession, T: dict[str, DataFrame], treatment_stream: DataFrame,
