@@ -95,3 +95,17 @@ def test_register_views(spark, seed):
     got = {r[0]: r[1] for r in spark.sql(
         "SELECT PaymentStatus, COUNT(*) FROM BillingRecord GROUP BY PaymentStatus").collect()}
     assert got == {"Paid": 15, "Unpaid": 8, "Partial": 4, "Canceled": 3}
+
+
+def test_command_line(spark, seed):
+    from wardbook.__main__ import main
+    root = scratch_path(spark, "cli")
+    save_tables(seed, f"{root}/tables")
+    assert main(["reports", "--tables", f"{root}/tables", "--out", f"{root}/reports"]) == 0
+    kpi = spark.read.json(f"{root}/reports/kpis").collect()[0]
+    assert kpi["TotalBillings"] == 30 and kpi["InsuredSharePct"] == 77
+    assert spark.read.json(f"{root}/reports/billing_by_status").count() == 4
+    spark.createDataFrame([(6,)], "AppointmentID int").write.parquet(f"{root}/changes")
+    assert main(["refresh-billing", "--tables", f"{root}/tables", "--changes", f"{root}/changes",
+                 "--out", f"{root}/v2"]) == 0
+    assert spark.read.parquet(f"{root}/v2/BillingRecord").count() == 30
