@@ -78,6 +78,8 @@ def test_scalars(spark):
                     S.parse_lenient(F.col("p")), S.hhmm(F.col("t"))).collect()
     assert tuple(got[0]) == ("$1,234.50", "80.0%", "badge-paid", 12.0, "09:05")
     assert tuple(got[1]) == ("—", "—", "", 0.0, None)
+    strict = spark.createDataFrame([("12.5",)], "p string").select(S.parse_strict(F.col("p"))).collect()
+    assert strict[0][0] == 12.5
 
 
 def test_json_roundtrip(spark, seed):

@@ -124,7 +124,3 @@ def validate_insert(df: DataFrame, table: str, T: dict[str, DataFrame],
     tagged = x.select(*df.columns, reason.alias("reason"))
     return (tagged.filter(F.col("reason").isNull()).drop("reason"),
             tagged.filter(F.col("reason").isNotNull()))
-
-
-def primary_key(table: str) -> str:
-    return PRIMARY_KEYS[table]
