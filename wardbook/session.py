@@ -17,6 +17,9 @@ from pyspark.sql import SparkSession
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # coalesce small post-shuffle partitions to the advisory size rather than
+    # keeping many tiny tasks (the setting Spark recommends for busy clusters)
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot key's join partition even when that costs an extra shuffle:
     # with a third of all rows on one key, one task would otherwise do it all
