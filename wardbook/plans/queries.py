@@ -77,6 +77,7 @@ VIEWER_SCHEMA = "viewer_id int, role string, linked_record_id bigint, patient_re
 
 
 def viewers(spark: SparkSession) -> DataFrame:
+    """The fixed viewers as a DataFrame."""
     return spark.createDataFrame(VIEWERS, VIEWER_SCHEMA)
 
 
@@ -85,61 +86,75 @@ def viewers(spark: SparkSession) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def scan_patients(spark, d):
+    """The Patient table, all columns."""
     return _out(_tables(spark, d)["Patient"])
 
 
 def scan_doctors(spark, d):
+    """The Doctor table, all columns."""
     return _out(_tables(spark, d)["Doctor"])
 
 
 def scan_nurses(spark, d):
+    """The Nurse table, all columns."""
     return _out(_tables(spark, d)["Nurse"])
 
 
 def ingest_json_props(spark, d):
+    """S3: the JSON text of every event's props parsed to its field k."""
     ev = _raw(spark, d, "events")
     schema = T.StructType([T.StructField("k", T.LongType())])
     return json_io.read_json_batch(ev, "props", schema, keep=["event_id"])
 
 
 def billing_json(spark, d):
+    """Every bill as one JSON object (numbers for money, ISO dates)."""
     return json_io.to_json_rows(_tables(spark, d)["BillingRecord"])
 
 
 def project_public(spark, d):
+    """Customers without the secret-standing column c_acctbal."""
     return L.public_users(_raw(spark, d, "customer"), secret="c_acctbal")
 
 
 def balance_due(spark, d):
+    """Each bill's balance, owed minus paid."""
     b = L.with_balance(_tables(spark, d)["BillingRecord"])
     return _out(b.select("AppointmentID", "BalanceDue"))
 
 
 def appts_by_doctor(spark, d):
+    """The appointments of doctor 1."""
     return L.by_key(_tables(spark, d)["Appointment"], "DoctorID", 1)
 
 
 def appts_sorted(spark, d):
+    """O1: all appointments, newest date and time first."""
     return L.appointments_sorted(_tables(spark, d)["Appointment"])
 
 
 def treatments_list(spark, d):
+    """J1 + P5: the treatments of appointment 1 with diagnosis names."""
     return _out(L.treatments_with_diagnosis(_tables(spark, d), appointment_id=1))
 
 
 def empty_scope(spark, d):
+    """The appointments under a false filter (no rows, schema kept)."""
     return L.empty_like(_tables(spark, d)["Appointment"])
 
 
 def cancellable_appts(spark, d):
+    """Appointments still Requested or Scheduled."""
     return L.cancellable_appointments(_tables(spark, d)["Appointment"])
 
 
 def payable_bills(spark, d):
+    """Bills not Canceled with a positive balance."""
     return _bills(L.payable_bills(_tables(spark, d)["BillingRecord"]))
 
 
 def search_customers(spark, d):
+    """P10: customers whose name and segment text contains 'build' in any case."""
     return L.search_rows(_raw(spark, d, "customer"), "build", ["c_name", "c_mktsegment"])
 
 
@@ -148,38 +163,46 @@ def search_customers(spark, d):
 # ---------------------------------------------------------------------------
 
 def treatments_with_diagnosis(spark, d):
+    """Every treatment with its diagnosis name."""
     return _out(L.treatments_with_diagnosis(_tables(spark, d)))
 
 
 def billing_for_patient(spark, d):
+    """Patient 1's bills with the patient's name, newest first."""
     return _bills(L.billing_for_patient(_tables(spark, d), 1))
 
 
 def billing_with_patient(spark, d):
+    """Every bill with its patient's name, newest first."""
     return _bills(L.billing_with_patient(_tables(spark, d)))
 
 
 def my_patients(spark, d):
+    """The patients of doctor 1's appointments."""
     t = _tables(spark, d)
     mine = L.by_key(t["Appointment"], "DoctorID", 1)
     return L.my_patients(mine, t["Patient"])
 
 
 def appts_with_names(spark, d):
+    """Appointments with patient, doctor and nurse display names."""
     return L.appointments_with_names(_tables(spark, d))
 
 
 def patient_provider_label(spark, d):
+    """Patients with their provider's name (or the raw id)."""
     return L.patients_with_provider_label(_tables(spark, d))
 
 
 def assign_nurse(spark, d):
+    """A nurse for every Requested appointment."""
     t = _tables(spark, d)
     req = t["Appointment"].filter(F.col("Status") == "Requested")
     return L.assign_nurse(req, t["Doctor"], t["Nurse"])
 
 
 def assign_ids(spark, d):
+    """Pending orders as new rows keyed after the largest order key, by date and key."""
     o = _raw(spark, d, "orders")
     new = (o.filter(F.col("o_orderstatus") == "P")
            .select(F.lit(None).cast("long").alias("new_key"), "o_orderkey", "o_custkey",
@@ -193,34 +216,42 @@ def assign_ids(spark, d):
 # ---------------------------------------------------------------------------
 
 def report_billing_by_status(spark, d):
+    """Bills by payment status."""
     return R.billing_by_status(_tables(spark, d))
 
 
 def report_appointments_by_dept(spark, d):
+    """R2: appointments by department."""
     return R.appointments_by_dept(_tables(spark, d))
 
 
 def report_treatment_by_dept(spark, d):
+    """Treatments by department."""
     return R.treatment_by_dept(_tables(spark, d))
 
 
 def report_doctor_workload(spark, d):
+    """Workload and revenue per doctor."""
     return R.doctor_workload(_tables(spark, d))
 
 
 def report_insurance_analysis(spark, d):
+    """Patients, claims and coverage per provider."""
     return R.insurance_analysis(_tables(spark, d))
 
 
 def report_billing_summary(spark, d):
+    """The one-row billing summary."""
     return R.billing_summary(_tables(spark, d))
 
 
 def report_kpis(spark, d):
+    """The summary plus insured share and number of doctors."""
     return R.kpis(_tables(spark, d))
 
 
 def report_bar_share(spark, d):
+    """Bar widths for R3's total cost per department."""
     return R.bar_share(R.treatment_by_dept(_tables(spark, d)), "DepartmentName", "TotalCost")
 
 
@@ -229,6 +260,7 @@ def report_bar_share(spark, d):
 # ---------------------------------------------------------------------------
 
 def fmt_money_pct(spark, d):
+    """order totals as money, percent and integer text."""
     o = _raw(spark, d, "orders")
     return o.select("o_orderkey", S.fmt_money(F.col("o_totalprice")).alias("money"),
                     S.fmt_pct(F.col("o_totalprice") / 1000000).alias("pct"),
@@ -236,17 +268,20 @@ def fmt_money_pct(spark, d):
 
 
 def split_names(spark, d):
+    """part names split into first and last name."""
     p = _raw(spark, d, "part")
     first, last = S.split_full_name(F.col("p_name"), F.col("p_brand"))
     return p.select("p_partkey", first.alias("first_name"), last.alias("last_name"))
 
 
 def status_class(spark, d):
+    """the badge class of every bill's status."""
     b = _tables(spark, d)["BillingRecord"]
     return b.select("BillingID", "PaymentStatus", S.status_class(F.col("PaymentStatus")).alias("css"))
 
 
 def parse_amounts(spark, d):
+    """lenient number parsing of priorities and brands."""
     o = _raw(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"),
         S.parse_lenient(F.substring("o_orderpriority", 1, 1)).alias("amount"),
@@ -271,11 +306,13 @@ def _customer_changes(c: DataFrame) -> DataFrame:
 
 
 def update_customers(spark, d):
+    """Customers with key % 7 = 0 replaced by the later of two versions."""
     c = _raw(spark, d, "customer")
     return D.update_by_key(c, _customer_changes(c), "c_custkey", seq="seq")
 
 
 def cancel_orders(spark, d):
+    """D3: appointments with key % 11 = 0 set to Canceled."""
     a = _tables(spark, d)["Appointment"]
     ch = a.filter(F.col("AppointmentID") % 11 == 0).select("AppointmentID",
                                                             F.lit("Canceled").alias("Status"))
@@ -283,6 +320,7 @@ def cancel_orders(spark, d):
 
 
 def delete_orders(spark, d):
+    """Appointments minus those with key % 13 = 0."""
     a = _tables(spark, d)["Appointment"]
     return D.delete_by_key(a, a.filter(F.col("AppointmentID") % 13 == 0), "AppointmentID")
 
@@ -300,11 +338,13 @@ def _upsert_source(c: DataFrame) -> DataFrame:
 
 
 def upsert_customers(spark, d):
+    """Existing keys get a new segment; new keys are inserted (latest wins)."""
     c = _raw(spark, d, "customer")
     return D.merge_upsert(c, _upsert_source(c), "c_custkey", ["c_mktsegment"], seq="seq")
 
 
 def insert_ignore(spark, d):
+    """New keys are inserted (first wins); existing rows stay."""
     c = _raw(spark, d, "customer")
     return D.insert_ignore(c, _upsert_source(c), "c_custkey", seq="seq")
 
@@ -316,14 +356,17 @@ def _after_patient_delete(spark, d) -> dict[str, DataFrame]:
 
 
 def cascade_delete_orders(spark, d):
+    """The appointments left after deleting customers with key % 10 = 3."""
     return _after_patient_delete(spark, d)["Appointment"]
 
 
 def cascade_delete_lineitems(spark, d):
+    """The treatments left after the same delete."""
     return _out(_after_patient_delete(spark, d)["Treatment"])
 
 
 def rekey_nation(spark, d):
+    """Provider keys + 100 carried into the patients."""
     t = _tables(spark, d)
     mapping = t["InsuranceProvider"].select(F.col("ProviderID").alias("old_key"),
                                             (F.col("ProviderID") + 100).alias("new_key"))
@@ -335,15 +378,18 @@ def rekey_nation(spark, d):
 # ---------------------------------------------------------------------------
 
 def dup_lineitem_keys(spark, d):
+    """V1: (order, line number) pairs held by more than one line item."""
     return V.duplicate_keys(_raw(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 def null_checks(spark, d):
+    """V2: appointments without a doctor."""
     a = _tables(spark, d)["Appointment"]
     return V.null_violations(a, ["DoctorID"]).select("AppointmentID", "reason")
 
 
 def orphan_rows(spark, d):
+    """V3: treatments whose appointment is gone (deleted without a cascade)."""
     t = _tables(spark, d)
     kept = D.delete_by_key(t["Appointment"], t["Appointment"].filter(
         F.col("AppointmentID") % 13 == 0), "AppointmentID")
@@ -351,6 +397,7 @@ def orphan_rows(spark, d):
 
 
 def too_long(spark, d):
+    """V4: diagnosis names longer than 10 characters."""
     dg = _tables(spark, d)["Diagnosis"]
     return V.too_long(dg, {"DiagnosisName": 10}).select("DiagnosisID", "DiagnosisName", "reason")
 
@@ -376,6 +423,7 @@ def validate_patients(spark, d):
 
 
 def batch_reject(spark, d):
+    """V7: line items batched by order; a batch with any quantity below 2 is rejected."""
     li = _raw(spark, d, "lineitem")
     return V.batch_flags(li, "l_orderkey", F.col("l_quantity") < 2)
 
@@ -385,6 +433,7 @@ def batch_reject(spark, d):
 # ---------------------------------------------------------------------------
 
 def billing_derive(spark, d):
+    """B1: the bills derived from treatments, coverage and payments."""
     return _bills(_tables(spark, d)["BillingRecord"])
 
 
@@ -444,6 +493,7 @@ def _old_bills(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def billing_merge(spark, d):
+    """B2: re-derived bills merged into older ones (ids, payer and payments kept)."""
     t = _tables(spark, d)
     old = _old_bills(t).filter(F.col("AppointmentID") % 9 != 0)
     derived = B.derive_billing(t, existing=old)
@@ -451,6 +501,7 @@ def billing_merge(spark, d):
 
 
 def billing_refresh(spark, d):
+    """Only the appointments with 'R' treatments re-derived."""
     t = _tables(spark, d)
     t["BillingRecord"] = _old_bills(t)
     changed = t["Treatment"].filter(F.col("TreatmentName") == "R")
@@ -508,18 +559,21 @@ def _ledger(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def payments_apply(spark, d):
+    """The purchase ledger applied to fresh bills."""
     t = _tables(spark, d)
     bills = B.derive_billing(t)
     return _bills(B.apply_payments(bills, _ledger(t), key="AppointmentID", seq="seq"))
 
 
 def billing_set_status(spark, d):
+    """Bills with key % 17 = 0 set to Paid by hand."""
     b = _tables(spark, d)["BillingRecord"]
     ch = b.filter(F.col("BillingID") % 17 == 0).select("BillingID", F.lit("Paid").alias("PaymentStatus"))
     return _bills(B.set_status(b, ch))
 
 
 def approve_requests(spark, d):
+    """Requested appointments become Scheduled."""
     return B.approve_requests(_tables(spark, d)["Appointment"])
 
 
@@ -528,14 +582,17 @@ def approve_requests(spark, d):
 # ---------------------------------------------------------------------------
 
 def scope_appointments(spark, d):
+    """Appointments visible to each of twelve viewers."""
     return X.scope_appointments(_tables(spark, d)["Appointment"], viewers(spark))
 
 
 def scope_billing(spark, d):
+    """Bills visible to each of twelve viewers."""
     return _bills(X.scope_billing(_tables(spark, d), viewers(spark)))
 
 
 def role_matrix(spark, d):
+    """Every role x table x verb with its permission and readable rows."""
     return X.role_matrix(_tables(spark, d))
 
 
@@ -544,6 +601,7 @@ def role_matrix(spark, d):
 # ---------------------------------------------------------------------------
 
 def stream_billing(spark, d):
+    """Line items streamed as treatment batches keep the bills current."""
     from wardbook.streaming.billing_stream import stream_billing as run
     t = _tables(spark, d)
     li_schema = _raw(spark, d, "lineitem").schema
@@ -566,6 +624,7 @@ def stream_billing(spark, d):
 
 
 def stream_payments(spark, d):
+    """Purchase events streamed into running paid totals."""
     from wardbook.streaming.billing_stream import stream_payments as run
     ev_schema = _raw(spark, d, "events").schema
     src = (spark.readStream.schema(ev_schema).option("pathGlobFilter", "events.parquet")
