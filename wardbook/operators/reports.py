@@ -237,6 +237,20 @@ def bar_share(df: DataFrame, label: str, value: str) -> DataFrame:
                      F.greatest(F.lit(4.0), F.round(v / top * 100)).cast("long").alias("pct"))
 
 
+def dashboard_bars(T: Tables) -> DataFrame:
+    """R8 for the five charts of the reports screen: (chart, label, value, pct)."""
+    charts = [("billing", billing_by_status(T), "PaymentStatus", "TotalBilled"),
+              ("appointments", appointments_by_dept(T), "DepartmentName", "TotalAppointments"),
+              ("treatments", treatment_by_dept(T), "DepartmentName", "TotalCost"),
+              ("doctors", doctor_workload(T), "DoctorName", "TotalAppointments"),
+              ("insurance", insurance_analysis(T), "ProviderName", "TotalCovered")]
+    out = None
+    for name, df, label, value in charts:
+        bars = bar_share(df, label, value).select(F.lit(name).alias("chart"), "*")
+        out = bars if out is None else out.unionByName(bars)
+    return out
+
+
 def all_reports(T: Tables, share_inputs: bool = False) -> dict[str, DataFrame]:
     """R1-R6 together. With ``share_inputs`` the bills and appointments, which
     most reports read, are materialized once in the checkpoint folder first

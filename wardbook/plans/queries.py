@@ -255,6 +255,11 @@ def report_bar_share(spark, d):
     return R.bar_share(R.treatment_by_dept(_tables(spark, d)), "DepartmentName", "TotalCost")
 
 
+def report_dashboard_bars(spark, d):
+    """R8 for all five charts of the reports screen."""
+    return R.dashboard_bars(_tables(spark, d))
+
+
 # ---------------------------------------------------------------------------
 # scalars
 # ---------------------------------------------------------------------------
