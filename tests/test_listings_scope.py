@@ -111,3 +111,10 @@ def test_json_files_roundtrip(spark, seed):
     back = {r["AppointmentID"]: r for r in json_io.read_json_files(spark, path, schema).collect()}
     assert len(back) == 30
     assert back[1]["AppointmentTime"] == "09:00" and back[1]["AppointmentDate"] == "2026-04-20"
+
+
+def test_choice_labels(seed):
+    got = {(r["kind"], r["id"]): r["label"] for r in L.choice_labels(seed).collect()}
+    assert got[("patient", 1)] == "John Doe"
+    assert got[("doctor", 1)] == "Dr. Gregory House — Diagnostic Medicine"
+    assert got[("nurse", 1)] == "Carla Espinosa (RN)"

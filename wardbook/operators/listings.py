@@ -146,6 +146,25 @@ def patients_with_provider_label(T: Tables) -> DataFrame:
                     .alias("ProviderLabel")))
 
 
+def choice_labels(T: Tables) -> DataFrame:
+    """the pick-list label of every patient, doctor and nurse:
+    (kind, id, label). Doctors show their specialty after a dash when they
+    have one; nurses their certification in brackets."""
+    full = lambda: F.concat(F.col("FirstName"), F.lit(" "), F.col("LastName"))
+    spec = F.col("Specialty")
+    p = T["Patient"].select(F.lit("patient").alias("kind"), F.col("PatientID").alias("id"),
+                            full().alias("label"))
+    d = T["Doctor"].select(F.lit("doctor").alias("kind"), F.col("DoctorID").alias("id"),
+                           F.concat(F.lit("Dr. "), full(),
+                                    F.when(F.length(F.coalesce(spec, F.lit(""))) > 0,
+                                           F.concat(F.lit(" — "), spec)).otherwise(F.lit("")))
+                           .alias("label"))
+    n = T["Nurse"].select(F.lit("nurse").alias("kind"), F.col("NurseID").alias("id"),
+                          F.concat(full(), F.lit(" ("), F.coalesce(F.col("Certification"), F.lit("")),
+                                   F.lit(")")).alias("label"))
+    return p.unionByName(d).unionByName(n)
+
+
 def assign_nurse(requests: DataFrame, doctors: DataFrame, nurses: DataFrame) -> DataFrame:
     """A nurse for each request: the lowest NurseID in the doctor's
     department (NULL departments match each other), else the lowest NurseID

@@ -194,6 +194,11 @@ def patient_provider_label(spark, d):
     return L.patients_with_provider_label(_tables(spark, d))
 
 
+def choice_labels(spark, d):
+    """pick-list labels of every patient, doctor and nurse."""
+    return L.choice_labels(_tables(spark, d))
+
+
 def assign_nurse(spark, d):
     """A nurse for every Requested appointment."""
     t = _tables(spark, d)
