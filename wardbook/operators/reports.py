@@ -237,8 +237,14 @@ def bar_share(df: DataFrame, label: str, value: str) -> DataFrame:
                      F.greatest(F.lit(4.0), F.round(v / top * 100)).cast("long").alias("pct"))
 
 
-def dashboard_bars(T: Tables) -> DataFrame:
-    """R8 for the five charts of the reports screen: (chart, label, value, pct)."""
+def dashboard_bars(T: Tables, share_inputs: bool = False) -> DataFrame:
+    """R8 for the five charts of the reports screen: (chart, label, value, pct).
+    ``share_inputs`` as in ``all_reports``."""
+    if share_inputs:
+        from wardbook.session import cut_lineage
+        T = dict(T)
+        for name in ("BillingRecord", "Appointment"):
+            T[name] = cut_lineage(T[name])
     charts = [("billing", billing_by_status(T), "PaymentStatus", "TotalBilled"),
               ("appointments", appointments_by_dept(T), "DepartmentName", "TotalAppointments"),
               ("treatments", treatment_by_dept(T), "DepartmentName", "TotalCost"),
