@@ -163,3 +163,12 @@ def test_payment_ignores_requested_status(spark, seed):
     got = {r["BillingID"]: r for r in apply_payments(seed["BillingRecord"], ledger).collect()}
     assert got[8]["PaymentStatus"] == "Paid" and got[8]["AmountPaid"] == Decimal("36.00")
     assert got[8]["AmountOwed"] - got[8]["AmountPaid"] == Decimal("0.00")
+
+
+def test_dashboard_bars(seed):
+    plain = sorted(map(tuple, R.dashboard_bars(seed).collect()))
+    shared = sorted(map(tuple, R.dashboard_bars(seed, share_inputs=True).collect()))
+    assert plain == shared and len(plain) == 4 + 5 + 5 + 10 + 5
+    top = {(r[0], r[1]): r[3] for r in plain}
+    assert top[("billing", "Partial")] == 100 and top[("treatments", "Oncology")] == 100
+    assert top[("billing", "Canceled")] == 4  # at least 4 even for zero
