@@ -10,9 +10,11 @@ def test_add_treatments(spark, seed):
         (1, '{"AppointmentID": 5, "TreatmentCost": 40.00, "TreatmentName": "x"}'),
         (2, '[{"AppointmentID": 9, "TreatmentCost": 10}, {"AppointmentID": 9, "TreatmentCost": 5}]'),
         (3, '[{"AppointmentID": 4, "TreatmentCost": 99}, {"TreatmentCost": 1}]'),
+        (4, '{"AppointmentID": 4, "TreatmentCost": '),
     ], "request_id int, body string")
     out, rejected = add_treatments(seed, reqs)
-    assert [r["request_id"] for r in rejected.collect()] == [3]
+    assert {r["request_id"]: r["reason"] for r in rejected.collect()} == {
+        3: "AppointmentID is required", 4: "invalid JSON"}
     new = out["Treatment"].filter("TreatmentID > 30").orderBy("TreatmentID").collect()
     assert [(r["TreatmentID"], r["AppointmentID"]) for r in new] == [(31, 5), (32, 9), (33, 9)]
     bills = {r["AppointmentID"]: r for r in out["BillingRecord"].collect()}

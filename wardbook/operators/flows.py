@@ -32,11 +32,18 @@ TREATMENT_REQUEST = T.StructType([
 
 def add_treatments(tables: dict[str, DataFrame], requests: DataFrame, body: str = "body",
                    request_id: str = "request_id") -> tuple[dict[str, DataFrame], DataFrame]:
-    """Apply a batch of treatment requests; returns (new tables, rejected request ids)."""
+    """Apply a batch of treatment requests; returns (new tables, rejected
+    requests with a reason: the body is not JSON, or an item lacks its
+    AppointmentID -- one such item rejects its whole request)."""
+    parsed = F.from_json(F.col(body), T.ArrayType(TREATMENT_REQUEST))
+    unreadable = (requests.filter(parsed.isNull())
+                  .select(request_id, F.lit("invalid JSON").alias("reason")))
     items = read_json_batch(requests, body, TREATMENT_REQUEST, keep=[request_id], position="_item")
     bad = F.col("AppointmentID").isNull() | (F.col("AppointmentID") == 0)
     flags = batch_flags(items, request_id, bad)
     good = items.join(flags.filter(~F.col("rejected")).select(request_id), request_id, "left_semi")
+    rejected = unreadable.unionByName(
+        flags.filter(F.col("rejected")).select(request_id, F.lit("AppointmentID is required").alias("reason")))
     treat = tables["Treatment"]
     # parsed and validated once; numbering and the refresh read this copy
     new = cut_lineage(good.select(
@@ -49,7 +56,7 @@ def add_treatments(tables: dict[str, DataFrame], requests: DataFrame, body: str
     out = dict(tables)
     out["Treatment"] = treat.unionByName(added)
     out["BillingRecord"] = refresh_billing(out, added)
-    return out, flags.filter(F.col("rejected")).select(request_id)
+    return out, rejected
 
 
 def remove_treatments(tables: dict[str, DataFrame], keys: DataFrame) -> dict[str, DataFrame]:
