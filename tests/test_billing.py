@@ -161,3 +161,10 @@ def test_regenerate_repairs_stale_bills(spark, seed):
     keys = spark.createDataFrame([(6,)], "AppointmentID int")
     got = by_appt(B.regenerate_billing(t, keys, now=F.lit(None)))
     assert got[6]["TotalCost"] == Decimal("300.00") and len(got) == 30
+
+
+def test_unmatched_changes(spark, seed):
+    ledger = spark.createDataFrame([(4, Decimal("1.00")), (99, Decimal("2.00"))],
+                                   "BillingID int, Amount decimal(10,2)")
+    assert [r["BillingID"] for r in B.unmatched_changes(seed["BillingRecord"], ledger).collect()] == [99]
+    assert B.apply_payments(seed["BillingRecord"], ledger).count() == 30

@@ -243,6 +243,13 @@ def apply_payments(billing: DataFrame, ledger: DataFrame, key: str = "BillingID"
     return j.select(*out)
 
 
+def unmatched_changes(billing: DataFrame, changes: DataFrame, key: str = "BillingID") -> DataFrame:
+    """Payments or status changes naming a bill that does not exist (the
+    service answers those with 'not found'); ``apply_payments`` and
+    ``set_status`` leave them out, this lists them."""
+    return changes.join(billing.select(key), key, "left_anti")
+
+
 def set_status(billing: DataFrame, changes: DataFrame, key: str = "BillingID",
                seq: str | None = None) -> DataFrame:
     """Status set by hand (no amount): taken as given, unvalidated.
