@@ -89,9 +89,11 @@ def validate_insert(df: DataFrame, table: str, T: dict[str, DataFrame],
     With ``generated_key`` the primary key is assigned afterwards (D1), so it
     is neither required nor checked here.
 
-    Every rule is a column test or an equi-join against a distinct key set;
-    duplicates are found by a per-key count (a partial aggregate), so a hot
-    key costs one row per map task before the shuffle.
+    Every rule is a column test or an equi-join against the keys the batch
+    mentions (the target and parent tables are semi-joined to them first, so
+    a small batch never shuffles a large table); duplicates are found by a
+    per-key count (a partial aggregate), so a hot key costs one row per map
+    task before the shuffle.
     """
     pk = PRIMARY_KEYS[table]
     keys = ([] if generated_key else [pk]) + UNIQUE_KEYS.get(table, [])
@@ -109,13 +111,19 @@ def validate_insert(df: DataFrame, table: str, T: dict[str, DataFrame],
         x = x.join(dup, k, "left")
         reasons.append(F.when(F.col(f"_dup_{k}"), F.lit(f"{k} repeated in the batch")))
         if table in T and k in T[table].columns:
-            taken = T[table].select(k).distinct().withColumn(f"_taken_{k}", F.lit(True))
+            # only the table's keys that the batch mentions (a semi-join, broadcast
+            # when the batch passes the size check), never a distinct over the table
+            mentioned = df.select(k).filter(F.col(k).isNotNull()).distinct()
+            taken = (T[table].select(k).join(mentioned, k, "left_semi").distinct()
+                     .withColumn(f"_taken_{k}", F.lit(True)))
             x = x.join(taken, k, "left")
             reasons.append(F.when(F.col(f"_taken_{k}"), F.lit(f"{k} already exists")))
     for fk in FOREIGN_KEYS:
         if fk.child != table or fk.column not in df.columns or fk.parent not in T:
             continue
-        parents = (T[fk.parent].select(F.col(fk.parent_column).alias(fk.column)).distinct()
+        mentioned = df.select(fk.column).filter(F.col(fk.column).isNotNull()).distinct()
+        parents = (T[fk.parent].select(F.col(fk.parent_column).alias(fk.column))
+                   .join(mentioned, fk.column, "left_semi").distinct()
                    .withColumn(f"_has_{fk.column}", F.lit(True)))
         x = x.join(parents, fk.column, "left")
         reasons.append(F.when(F.col(fk.column).isNotNull() & F.col(f"_has_{fk.column}").isNull(),
