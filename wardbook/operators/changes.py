@@ -269,7 +269,7 @@ def expand_accounts(feed: DataFrame, T: dict[str, DataFrame]) -> dict[str, DataF
     reason = reason.when(~role_allowed(F.col("role")), F.lit("invalid role"))
     reason = reason.when(F.col("seq") != F.col("_first_seq"), F.lit("username already exists"))
     if "Users" in T:
-        mentioned = f.select("username").filter(F.col("username").isNotNull()).distinct()
+        mentioned = f.select("username").filter(F.col("username").isNotNull())
         taken = (T["Users"].select("username").join(mentioned, "username", "left_semi").distinct()
                  .withColumn("_taken", F.lit(True)))
         f = f.join(taken, "username", "left")

@@ -113,7 +113,7 @@ def validate_insert(df: DataFrame, table: str, T: dict[str, DataFrame],
         if table in T and k in T[table].columns:
             # only the table's keys that the batch mentions (a semi-join, broadcast
             # when the batch passes the size check), never a distinct over the table
-            mentioned = df.select(k).filter(F.col(k).isNotNull()).distinct()
+            mentioned = df.select(k).filter(F.col(k).isNotNull())  # a semi-join keeps no duplicates
             taken = (T[table].select(k).join(mentioned, k, "left_semi").distinct()
                      .withColumn(f"_taken_{k}", F.lit(True)))
             x = x.join(taken, k, "left")
@@ -121,7 +121,7 @@ def validate_insert(df: DataFrame, table: str, T: dict[str, DataFrame],
     for fk in FOREIGN_KEYS:
         if fk.child != table or fk.column not in df.columns or fk.parent not in T:
             continue
-        mentioned = df.select(fk.column).filter(F.col(fk.column).isNotNull()).distinct()
+        mentioned = df.select(fk.column).filter(F.col(fk.column).isNotNull())
         parents = (T[fk.parent].select(F.col(fk.parent_column).alias(fk.column))
                    .join(mentioned, fk.column, "left_semi").distinct()
                    .withColumn(f"_has_{fk.column}", F.lit(True)))
