@@ -142,3 +142,13 @@ def test_validate_insert(spark, seed):
     assert reasons[(33, None)] == "FirstName is NULL"
     assert reasons[(34, "D" * 51)] == "FirstName longer than 50"
     assert reasons[(35, "E")] == reasons[(35, "F")] == "PatientID repeated in the batch"
+
+
+def test_cascade_delete_materialized_equals_lazy(spark, seed):
+    keys = spark.createDataFrame([(1,), (5,)], "PatientID int")
+    lazy = D.cascade_delete(seed, "Patient", keys)
+    stored = D.cascade_delete(seed, "Patient", keys, materialize=True)
+    for name in ("Appointment", "Diagnosis", "Treatment", "BillingRecord", "Patient"):
+        a, b = lazy[name], stored[name]
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
+    assert stored["BillingRecord"].count() == 28
