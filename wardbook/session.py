@@ -62,6 +62,9 @@ def ensure_defaults(spark: SparkSession) -> None:
     checkpoint_root(spark)
 
 
+_LOCAL_ROOTS: dict[str, str] = {}  # local-mode fallback folder per application
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -69,12 +72,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     when it is unset (local tests) a scratch folder is created.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    d = (spark.conf.get("spark.checkpoint.dir", None)
+         or sc.getConf().get("spark.checkpoint.dir", None)
+         or _LOCAL_ROOTS.get(sc.applicationId))
     if not d:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="wardbook-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        _LOCAL_ROOTS[sc.applicationId] = d
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - a core setting may be read-only at runtime
+            pass
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
