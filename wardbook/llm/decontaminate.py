@@ -118,7 +118,7 @@ def _count(docs: DataFrame, text: str, windows: Windows) -> dict[int, tuple[np.n
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(n[at])], names=["k", "at", "n"])
 
-    counted = docs.select(F.col(f"`{text}`")).mapInArrow(run, "k int, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toPandas()
+    counted = frames.arrow(docs.select(F.col(f"`{text}`")), run, "k int, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toPandas()
     sent.unpersist()
     out = {}
     for k, x in keys.items():

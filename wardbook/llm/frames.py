@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,11 +23,29 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_columns(docs: DataFrame, own: dict) -> DataFrame:
-    """``docs`` with the columns ``own``; these replace columns of the same name (in any case)."""
-    names = {k.lower() for k in own}
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names],
-                       *[v.alias(k) for k, v in own.items()])
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, as --py-files would, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(), "wardbook.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
+def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def map_text(docs: DataFrame, text: str, make: Callable[[], Texts], out: T.StructType) -> DataFrame:
@@ -33,16 +54,16 @@ def map_text(docs: DataFrame, text: str, make: Callable[[], Texts], out: T.Struc
     through unread; ``out`` replaces columns of the same name."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([packed.schema["row"], *out.fields])
-    arrow = to_arrow_schema(out)
+    fields = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
             row = b.column(0)
             new = f(row.field(row.type.get_field_index(text)))
-            yield pa.RecordBatch.from_arrays([row, *[a.cast(x.type) for a, x in zip(new, arrow)]],
-                                             names=["row", *arrow.names])
+            yield pa.RecordBatch.from_arrays([row, *[a.cast(x.type) for a, x in zip(new, fields)]],
+                                             names=["row", *fields.names])
 
-    df = packed.mapInArrow(run, schema)
+    df = arrow(packed, run, schema)
     names = {n.lower() for n in out.names}
     return df.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in names], *out.names)

@@ -11,12 +11,13 @@ document is in if at least half of it fits).
 The running sum never puts a source in one task: keys fall in ``BUCKETS``
 buckets that keep their order; sums per source and bucket (pre-aggregated map-
 side) find the one bucket in which a source's budget ends, and only that
-bucket's documents are sorted.
+bucket's documents are sorted, without their texts, to find the last one in.
+Whether a document is in is then a comparison with its source's last one.
 
 Edge cases. Null text: size 0, never takes words. Null source: a source of its
 own, last. Null id: hashes like an empty id. Null, non-finite or non-positive
-quality: weight 1. Ties of keys go by id, then size; equal rows are
-interchangeable. Empty table, or no words at all: targets 0. Input columns pass
+quality: weight 1. Ties of keys go by id, then size; rows equal in these are
+drawn together. Empty table, or no words at all: targets 0. Input columns pass
 through; result columns replace columns of the same name.
 """
 
@@ -70,38 +71,45 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float
 
 
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", quality: str | None = None,
-                weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` (its source's), ``repeats`` (how
-    often the mix holds the document) and ``taken`` (= size * repeats)."""
-    quality_col = F.col(f"`{quality}`") if quality else None
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").alias("source"),
-        word_count(F.col(f"`{text}`")).alias("size"), sampling_key(F.col(f"`{doc_id}`"), quality_col, seed).alias("key"))
-    rows = rows.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-
-    buckets = cut_lineage(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
+                size: str | None = None, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
+    """``docs`` with ``size`` (words; taken from the column ``size`` if named), ``source_size``,
+    ``target`` (its source's), ``repeats`` (how often the mix holds the document) and
+    ``taken`` (= size * repeats)."""
+    name = lambda c: F.col(f"`{c}`")
+    own = {"id": name(doc_id), "source": name(source), "size": name(size) if size else word_count(name(text)),
+           "key": sampling_key(name(doc_id), name(quality) if quality else None, seed)}
+    own = {k: v.alias(k) for k, v in own.items()}
+    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int").alias("bucket")
+    narrow = docs.select(*own.values()).select("*", bucket)
+
+    buckets = cut_lineage(narrow.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     goals = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
-    goals = goals.select("source", "source_size", "target",
+    goals = goals.select(F.col("source").alias("s"), "source_size", "target",
                          F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("epochs"))
     goals = goals.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    same = F.col("source").eqNullSafe(F.col("s"))
     run = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     ends = (buckets.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-            .join(goals.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
-            .where(F.col("before") < F.col("rest"))
-            .groupBy("source").agg(F.max(F.struct("bucket", "before")).alias("end")))
-    goals = cut_lineage(goals.join(ends.select(F.col("source").alias("s"), "end.bucket", "end.before"), F.col("source").eqNullSafe(F.col("s")), "left")
-                        .select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", F.coalesce("bucket", F.lit(-1)).alias("last"), F.coalesce("before", F.lit(0)).alias("before")))
-    small = goals.count() <= BROADCAST_SOURCES
-    rows = rows.join(F.broadcast(goals) if small else goals, F.col("source").eqNullSafe(F.col("s")))
-
-    plain = rows.where(F.col("bucket") != F.col("last")).withColumn("drawn", F.col("bucket") < F.col("last"))
-    order = W.partitionBy("source").orderBy("key", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
-    end = rows.where(F.col("bucket") == F.col("last")).withColumn(
-        "drawn", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= F.col("rest"))
-    out = plain.unionByName(end).withColumn("repeats", (F.col("epochs") + F.col("drawn").cast("int")).cast("long"))
-    own = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "repeats": F.col("repeats"), "taken": F.col("size") * F.col("repeats")}
-    names = set(own)
-    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in names], *[v.alias(k) for k, v in own.items()])
+            .join(goals, same).where(F.col("before") < F.col("rest"))
+            .groupBy("source").agg(F.max(F.struct("bucket", "before", "rest")).alias("end")))
+    ends = cut_lineage(ends.select(F.col("source").alias("s"), F.col("end.bucket").alias("last"), F.col("end.before").alias("before"), "end.rest"))
+    small = ends.count() <= BROADCAST_SOURCES
+    hint = F.broadcast if small else lambda x: x
+
+    # in each source's last bucket: the last document of which at least half fits
+    place = F.struct("key", F.col("id").isNotNull().alias("known"), "id", "size")
+    order = W.partitionBy("source").orderBy(place).rowsBetween(W.unboundedPreceding, -1)
+    edge = (narrow.join(hint(ends), same & (F.col("bucket") == F.col("last")))
+            .withColumn("fits", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= F.col("rest"))
+            .where("fits").groupBy("source").agg(F.max(place).alias("edge")))
+    last = ends.select(F.col("s").alias("e"), "last").join(edge, F.col("e").eqNullSafe(F.col("source")), "left").select("e", "last", "edge")
+    goals = cut_lineage(goals.join(last, F.col("s").eqNullSafe(F.col("e")), "left").select("s", "source_size", "target", "epochs", "last", "edge"))
+
+    rows = docs.select(F.struct(*[name(c) for c in docs.columns]).alias("row"), *own.values()).select("*", bucket).join(hint(goals), same)
+    drawn = (F.col("bucket") < F.col("last")) | ((F.col("bucket") == F.col("last")) & (place <= F.col("edge")))
+    repeats = F.col("epochs") + F.coalesce(drawn, F.lit(False)).cast("long")
+    out = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "repeats": repeats, "taken": F.col("size") * repeats}
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in out], *[v.alias(k) for k, v in out.items()])
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", name: str = "__quality") -> DataFrame:

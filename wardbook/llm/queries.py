@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardbook.llm.decontaminate import contamination, hit_words
 from wardbook.llm.frames import table
-from wardbook.llm.mixing import mix_sources, with_quality
+from wardbook.llm.language_id import fit, identify
+from wardbook.llm.lm_score import in_training, score_documents
+from wardbook.llm.mixing import mix_sources, with_quality, word_count
 from wardbook.llm.token_counts import token_counts
+from wardbook.session import cut_lineage
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -23,9 +26,24 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents by source, drawn by the labels' quality."""
-    docs = table(spark, sf_dir, "documents")
-    mixed = mix_sources(with_quality(docs, table(spark, sf_dir, "labels")), quality="__quality")
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = cut_lineage(with_quality(docs, table(spark, sf_dir, "labels")))
+    return mix_sources(sized, quality="__quality", size="size").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every document, learnt from six of seven folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_documents(docs, in_training(F.col("doc_id")))
+    return out.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from three of four folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4))
+    model = fit(docs, where=fold != 2)
+    return identify(docs.drop("lang"), model).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,4 +62,4 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.size("spans") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op8_token_counts, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_score_documents, op6_language_id, op8_token_counts, op9_decontaminate)}

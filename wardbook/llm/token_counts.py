@@ -95,7 +95,7 @@ def frequent_pre_tokens(docs: DataFrame, text: str, frequent: int, per_task: int
         top = total.most_common(per_task)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["p", "n"])
 
-    top = docs.select(F.col(f"`{text}`")).mapInArrow(run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
+    top = frames.arrow(docs.select(F.col(f"`{text}`")), run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
     return [r[0] for r in top.orderBy(F.desc("n"), "p").limit(frequent).collect()]
 
 
