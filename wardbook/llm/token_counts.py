@@ -1,13 +1,17 @@
 """Token counts: a map-side lookup of pre-token lengths in two tiers.
 
-A first pass over all texts counts pre-tokens inside each task and sends only
-each task's commonest ones (``per_task``); their merged top ``frequent`` and
-their numbers of tokens make a table of bounded size, which is broadcast. The
-second pass sums lengths of pre-tokens: from that table, else from the worker's
-own cache of at most ``cache`` entries, which the tokenizer's library fills in
-batches. No pre-token is ever shuffled, and no count is cut off: the first tier
-only decides what is looked up where.
-
+A pre-token here is what stands between two spaces, with the space before it:
+the vocabulary's own pre-tokens never reach over such a border (see ``_safe``),
+so a text's number of tokens is the sum over its pre-tokens. A first pass over
+all texts counts pre-tokens inside each task and sends only each task's
+commonest ones (``per_task``); their merged top ``frequent`` and their numbers
+of tokens make a table of bounded size, which is broadcast. The second pass
+sums lengths of pre-tokens: from that table, else from the worker's own cache
+of about ``cache`` entries, which the tokenizer's library fills in batches. No
+pre-token is ever shuffled, and no count is cut off: the first tier only decides
+what is looked up where.
+
+Texts with runs of spaces are divided by the vocabulary's own pattern instead.
 Texts that hold an added token, or a character outside the blocks on which the
 two regular-expression libraries are known to agree, go to the library whole.
 
@@ -19,8 +23,9 @@ columns pass through; ``n_bytes`` and ``n_tokens`` replace columns of that name.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -36,8 +41,25 @@ PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 PLAIN = r"[\t\n\r\x20-\x7E¡-ɏΑ-ΡΣ-ϿЀ-џ–-…]*"
 
 
+_PLAIN_LATIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
+_plain = regex.compile(PLAIN).fullmatch
+
+
+def _is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN_LATIN)
+    except UnicodeEncodeError:
+        return _plain(text) is not None
+
+
+def _safe(text: str) -> bool:
+    """Whether every space ends a pre-token: none stands between two white-space characters
+    (in a plain text these are tab, line feed, return and space) or at the end."""
+    return not ("  " in text or " \n" in text or " \t" in text or " \r" in text or text.endswith(" "))
+
+
 class Lengths(dict):
-    """Pre-token to its number of tokens: the first tier, and what this worker has met."""
+    """Numbers of tokens. A key w stands for the pre-token " " + w, a key NUL + p for the text p alone."""
 
     def __init__(self, tokenizer: str, first: dict[str, int], cache: int):
         from tokenizers import Tokenizer
@@ -45,25 +67,38 @@ class Lengths(dict):
         super().__init__(first)
         self.first, self.cache = first, cache
         self.tok = Tokenizer.from_file(tokenizer)
-        self.split, self.plain, self.word = regex.compile(PRE_TOKEN).findall, regex.compile(PLAIN).fullmatch, regex.compile(r" \p{L}+").fullmatch
+        self.split = regex.compile(PRE_TOKEN).findall
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def whole(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, met: set[str]) -> None:
-        words = [x for x in met if self.word(x)]  # one after another, these split into the same pre-tokens
-        rest = [x for x in met if not self.word(x)]
-        self.update(zip(rest, self.whole(rest)))
-        for i in range(0, len(words), 4096):
-            n = Counter(self.tok.encode("".join(words[i:i + 4096]), add_special_tokens=False).word_ids)
-            self.update((x, n[j]) for j, x in enumerate(words[i:i + 4096]))
+    def learn(self, met: Iterable[str]) -> None:
+        alone = [x for x in met if x[:1] == "\0"]
+        self.update(zip(alone, self.whole([x[1:] for x in alone])))
+        words = [x for x in met if x[:1] != "\0"]
+        for i in range(0, len(words), 4096):  # together in one text: each border between them holds
+            some = words[i:i + 4096]
+            start = np.cumsum([0] + [len(w) + 1 for w in some])
+            at = np.array([a for a, _ in self.tok.encode("".join([" " + w for w in some]), add_special_tokens=False).offsets])
+            n = np.bincount(np.searchsorted(start, at, "right") - 1, minlength=len(some))
+            self.update(zip(some, n.tolist()))
+
+    def keys_of(self, text: str) -> list[str] | None:
+        """The keys whose lengths add up to the text's; None if only the library can tell."""
+        if not _is_plain(text) or any(a in text for a in self.added):
+            return None
+        if not _safe(text):
+            return ["\0" + p for p in self.split(text)]
+        keys = text.split(" ")
+        keys[0] = "\0" + keys[0]
+        return keys
 
     def counts(self, texts: list[str]) -> list[int]:
         out, lo = [], 0
         while lo < len(texts):  # some texts together, so that the library is called for many pre-tokens at once
             hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 1 << 18):
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 1 << 19):
                 size += len(texts[hi])
                 hi += 1
             out += self._counts(texts[lo:hi])
@@ -71,28 +106,28 @@ class Lengths(dict):
         return out
 
     def _counts(self, texts: list[str]) -> list[int]:
-        pieces = [self.split(t) if self.plain(t) and not any(a in t for a in self.added) else None for t in texts]
-        met = set().union(*(p for p in pieces if p)).difference(self)
+        keys = [self.keys_of(t) for t in texts]
+        if len(self) > len(self.first) + self.cache:
+            self.clear()
+            self.update(self.first)
+        met = set().union(*(k for k in keys if k)).difference(self)
         if met:
-            if len(self) + len(met) > len(self.first) + self.cache:
-                self.clear()
-                self.update(self.first)
-                met = set().union(*(p for p in pieces if p)).difference(self)
             self.learn(met)
-        return [sum(map(self.__getitem__, p)) if p is not None else self.whole([t])[0] for p, t in zip(pieces, texts)]
+        return [sum(map(self.__getitem__, k)) if k is not None else self.whole([t])[0] for k, t in zip(keys, texts)]
 
 
 def frequent_pre_tokens(docs: DataFrame, text: str, frequent: int, per_task: int) -> list[str]:
-    """The commonest pre-tokens of all texts, as far as some task's ``per_task`` commonest show them."""
+    """The commonest pre-tokens (without their space) of all texts, as far as some task's
+    ``per_task`` commonest show them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, total = regex.compile(PRE_TOKEN).findall, Counter()
+        total: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                if t:
-                    total.update(split(t))
-            if len(total) > 32 * per_task:  # a bounded summary: the rarest go
+                if t and _is_plain(t) and _safe(t):
+                    total.update(t.split(" "))
+            if len(total) > 64 * per_task:  # a bounded summary: the rarest go
                 total = Counter(dict(total.most_common(16 * per_task)))
-        top = total.most_common(per_task)
+        top = [(k, n) for k, n in total.most_common(per_task) if k]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["p", "n"])
 
     top = frames.arrow(docs.select(F.col(f"`{text}`")), run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
@@ -100,12 +135,14 @@ def frequent_pre_tokens(docs: DataFrame, text: str, frequent: int, per_task: int
 
 
 def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", frequent: int = 32_768, per_task: int = 4_096,
-                 cache: int = 400_000) -> DataFrame:
+                 cache: int = 1_000_000) -> DataFrame:
     """``docs`` with ``n_bytes`` (UTF-8) and ``n_tokens``; ``tokenizer`` is the path of the
     tokenizer's .json file, readable on every worker."""
     spark = docs.sparkSession
     top = frequent_pre_tokens(docs, text, frequent, per_task)
-    sent = spark.sparkContext.broadcast(dict(zip(top, Lengths(tokenizer, {}, 0).whole(top))))
+    first = Lengths(tokenizer, {}, 0)
+    first.learn(top)
+    sent = spark.sparkContext.broadcast(dict(first))
 
     def make():
         lengths = Lengths(tokenizer, sent.value, cache)
