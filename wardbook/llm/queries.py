@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wardbook.llm.decontaminate import contamination, hit_words
 from wardbook.llm.frames import table
 from wardbook.llm.language_id import fit, identify
+from wardbook.llm.line_dedup import dedup_lines
 from wardbook.llm.lm_score import in_training, score_documents
 from wardbook.llm.mixing import mix_sources, with_quality, word_count
+from wardbook.llm.substring_dedup import dedup_substrings
 from wardbook.llm.token_counts import token_counts
 from wardbook.session import cut_lineage
 
@@ -24,6 +26,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the three-line windows that occurred before."""
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents by source, drawn by the labels' quality."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
@@ -62,4 +70,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.size("spans") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_score_documents, op6_language_id, op8_token_counts, op9_decontaminate)}
+def op10_dedup_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of 20 words that occurred before."""
+    out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_dedup_lines, op3_mix_sources, op4_score_documents, op6_language_id, op8_token_counts,
+                                         op9_decontaminate, op10_dedup_substrings)}

@@ -103,7 +103,7 @@ class Words:
         total = np.empty(len(self.data) + 1, U64)
         total[0] = 0
         np.cumsum(_BYTE[self.data] * _power("up", len(self.data)), out=total[1:])
-        return mix((total[self.end] - total[self.start]) * _power("down", len(self.data))[self.start])
+        return mix((total[self.end] - total[self.start]) * _power("down", len(self.data) + 1)[self.start])
 
     def get(self, i: int) -> bytes:
         return self.data[self.start[i]:self.end[i]].tobytes()
