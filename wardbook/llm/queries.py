@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardbook.llm.decontaminate import contamination, hit_words
 from wardbook.llm.frames import table
+from wardbook.llm.jaccard_join import similar_documents
 from wardbook.llm.language_id import fit, identify
 from wardbook.llm.line_dedup import dedup_lines
 from wardbook.llm.lm_score import in_training, score_documents
@@ -26,6 +27,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest document that it is linked to by shingles."""
+    return similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the three-line windows that occurred before."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -76,5 +82,5 @@ def op10_dedup_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_dedup_lines, op3_mix_sources, op4_score_documents, op6_language_id, op8_token_counts,
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_dedup_lines, op3_mix_sources, op4_score_documents, op6_language_id, op8_token_counts,
                                          op9_decontaminate, op10_dedup_substrings)}
