@@ -13,6 +13,7 @@ from wardbook.llm.language_id import fit, identify
 from wardbook.llm.line_dedup import dedup_lines
 from wardbook.llm.lm_score import in_training, score_documents
 from wardbook.llm.mixing import mix_sources, with_quality, word_count
+from wardbook.llm.nearest import nearest
 from wardbook.llm.substring_dedup import dedup_substrings
 from wardbook.llm.token_counts import token_counts
 from wardbook.session import cut_lineage
@@ -52,6 +53,12 @@ def op4_score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors for each twentieth one."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from three of four folds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -82,5 +89,5 @@ def op10_dedup_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_dedup_lines, op3_mix_sources, op4_score_documents, op6_language_id, op8_token_counts,
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_dedup_lines, op3_mix_sources, op4_score_documents, op5_nearest, op6_language_id, op8_token_counts,
                                          op9_decontaminate, op10_dedup_substrings)}
