@@ -14,6 +14,7 @@ from wardbook.llm.line_dedup import dedup_lines
 from wardbook.llm.lm_score import in_training, score_documents
 from wardbook.llm.mixing import mix_sources, with_quality, word_count
 from wardbook.llm.nearest import nearest
+from wardbook.llm.pseudonyms import pseudonymise
 from wardbook.llm.substring_dedup import dedup_substrings
 from wardbook.llm.token_counts import token_counts
 from wardbook.session import cut_lineage
@@ -67,6 +68,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.drop("lang"), model).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data under pseudonyms (the key is for show; take a secret one)."""
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="wardbook demonstration")
+    return out.select("doc_id", "text", F.size("pii_kinds").alias("n_replaced"), "pii_kinds")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the 50k byte-level vocabulary."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,5 +96,5 @@ def op10_dedup_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_dedup_lines, op3_mix_sources, op4_score_documents, op5_nearest, op6_language_id, op8_token_counts,
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_dedup_lines, op3_mix_sources, op4_score_documents, op5_nearest, op6_language_id, op7_pseudonyms, op8_token_counts,
                                          op9_decontaminate, op10_dedup_substrings)}
