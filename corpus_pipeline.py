@@ -1,13 +1,96 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
+
+``STAGES`` are (name, function) pairs; each function takes (spark, docs, sf_dir)
+and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents; all columns that
+a stage does not decide on pass through, whatever their names.
+
+1. language_id: documents in which no language is found (null or empty text, no
+   letter, or a score below ``LEAST_SCORE``) go. The network learns from the
+   labelled rows.
+2. line_dedup: three-line windows that occurred before are removed; documents of
+   which nothing is left go.
+3. near_duplicates: of documents linked by word shingles the one with the
+   smallest id stays. Rows that repeat an id are one document; the longest text
+   (ties: the smaller crc32) stays. Null ids stay.
+4. decontamination: documents with a benchmark window go.
+5. mixing: the documents of the mix by source, by the labels' quality, with
+   ``size``, ``source_size``, ``target``, ``repeats`` and ``taken``; those the mix
+   does not take go.
+
+Texts that change keep their row; a column ``n_chars`` then holds the new length.
+Empty tables pass through empty.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from wardbook.llm.decontaminate import contamination
+from wardbook.llm.frames import table
+from wardbook.llm.jaccard_join import similar_documents
+from wardbook.llm.language_id import fit, identify
+from wardbook.llm.line_dedup import dedup_lines
+from wardbook.llm.mixing import mix_sources, with_quality, word_count
+from wardbook.session import cut_lineage
+
+#: a text that the network finds no more like one of the four languages than like the others
+LEAST_SCORE = 0.3
+
+
+def _packed(docs: DataFrame, *also: Column) -> DataFrame:
+    """All columns as one struct, so that no result column can clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *also)
+
+
+def _unpacked(df: DataFrame, docs: DataFrame, **replaced: Column) -> DataFrame:
+    return df.select(*[replaced.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = fit(docs)
+    found = identify(_packed(docs, F.col("text").alias("text")), model)
+    return _unpacked(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    done = dedup_lines(_packed(docs, F.col("doc_id").alias("doc_id"), F.col("text").alias("text")))
+    changed = F.col("n_removed") > 0
+    left = done.where(~changed | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return _unpacked(left, docs, **new)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = similar_documents(docs.select("doc_id", "text")).where("component_id != doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    kept = _packed(docs, F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t")).join(found, F.col("id") == F.col("gone"), "left_anti")
+    twice = kept.where("id IS NOT NULL").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc(F.length(F.coalesce("t", F.lit("")))), F.crc32(F.col("t").cast("binary"))))).where("r = 1")
+    return _unpacked(twice.drop("r").unionByName(kept.where("id IS NULL")), docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = contamination(_packed(docs, F.col("text").alias("text")), table(spark, sf_dir, "benchmark"))
+    return _unpacked(found.where(F.size("spans") == 0), docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sized = _packed(docs, F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
+    mixed = mix_sources(with_quality(sized, table(spark, sf_dir, "labels")), quality="__quality", size="size").where("taken > 0")
+    own = ["size", "source_size", "target", "repeats", "taken"]
+    return mixed.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in own], *own)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing)]
+
+#: SQL can't express the trained network of the first stage; the tests hold every stage against brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what each leaves is written once and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if i == 0 else cut_lineage(docs), sf_dir)
     return docs
