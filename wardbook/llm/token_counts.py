@@ -22,6 +22,7 @@ columns pass through; ``n_bytes`` and ``n_tokens`` replace columns of that name.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -70,6 +71,15 @@ class Lengths(dict):
         self.split = regex.compile(PRE_TOKEN).findall
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
+    _here: tuple[int, "Lengths"] | None = None
+
+    @classmethod
+    def here(cls, job: int, tokenizer: str, first: dict[str, int], cache: int) -> "Lengths":
+        """This worker's table for the job: later tasks find what earlier ones have learnt."""
+        if cls._here is None or cls._here[0] != job:
+            cls._here = job, cls(tokenizer, first, cache)
+        return cls._here[1]
+
     def whole(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -142,10 +152,10 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", frequent:
     top = frequent_pre_tokens(docs, text, frequent, per_task)
     first = Lengths(tokenizer, {}, 0)
     first.learn(top)
-    sent = spark.sparkContext.broadcast(dict(first))
+    sent, job = spark.sparkContext.broadcast(dict(first)), uuid.uuid4().int
 
     def make():
-        lengths = Lengths(tokenizer, sent.value, cache)
+        lengths = Lengths.here(job, tokenizer, sent.value, cache)
 
         def f(texts: pa.Array) -> list[pa.Array]:
             strings = [x or "" for x in texts.to_pylist()]
