@@ -74,7 +74,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     name = lambda c: F.col(f"`{c}`")
     own = repeats.identity(name(doc_id), name(text))
     sent = _window_places(docs.where(name(text).contains("\n")).select(*own, name(text).alias("t")), window, 4 * parts)
-    later = repeats.collected(repeats.repeated(sent, parts, firsts=False))
+    later = repeats.collected(repeats.repeated(sent, parts, firsts=False), parts)
     keyed = docs.select(F.struct(*[name(c) for c in docs.columns]).alias("row"), *own)
     both = keyed.join(later, ["doc", "crc"], "left").select("row", "places")
     out = T.StructType([both.schema["row"].dataType[text], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])

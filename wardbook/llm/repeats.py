@@ -63,7 +63,8 @@ class Places:
         self.parts, self.size = [], 0
         more = np.r_[~new[1:], False] if len(new) else new
         first = tuple(c[new] for c in cols) + (more[new],)
-        out = [(b, *[c[s].tobytes() for c in first]) for b, s in blobs.cut(first[0], buckets)]
+        plain = not first[1].any()  # no second hash in use
+        out = [(b, *[None if plain and i == 1 else c[s].tobytes() for i, c in enumerate(first)]) for b, s in blobs.cut(first[0], buckets)]
         rest = tuple(c[~new] for c in cols)
         if len(rest[0]):
             order = np.argsort(mixed := _spread(rest[2]), kind="stable")
@@ -89,17 +90,9 @@ def scatter(read, buckets: int):
     return run
 
 
-def by_document(doc: np.ndarray, crc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((place, crc, doc))
-    doc, crc, place = doc[order], crc[order], place[order]
-    new = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(crc) != 0)]) if len(doc) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(doc)].astype(np.int32)), pa.array(place.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(crc[new].astype(np.int64)), lists], schema=PLACES)
-
-
 def repeated(sent: DataFrame, partitions: int, firsts: bool) -> DataFrame:
-    """(doc, crc, places): all places of keys that stand at more than one place; with
-    ``firsts`` false, without the first place of each key. A document may have several rows."""
+    """All places of keys that stand at more than one place, as rows for ``collected``; with
+    ``firsts`` false, without the first place of each key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, more, out = Places(), [], []
         for r in blobs.gathered(batches):
@@ -107,8 +100,8 @@ def repeated(sent: DataFrame, partitions: int, firsts: bool) -> DataFrame:
             if r["key"] is None:
                 out.append((doc, crc, place))
             else:
-                key, check, some = np.frombuffer(r["key"], np.uint64), np.frombuffer(r["check"], np.uint32), np.frombuffer(r["more"], bool)
-                got.add(key, check, doc, crc, place)
+                key, some = np.frombuffer(r["key"], np.uint64), np.frombuffer(r["more"], bool)
+                got.add(key, np.frombuffer(r["check"], np.uint32) if r["check"] else np.zeros(len(key), np.uint32), doc, crc, place)
                 more.append(key[some])
         (key, _, doc, crc, place), new = got.sorted()
         if firsts:
@@ -116,11 +109,38 @@ def repeated(sent: DataFrame, partitions: int, firsts: bool) -> DataFrame:
         else:
             keep = ~new
         out.append((doc[keep], crc[keep], place[keep]))
-        yield by_document(*(np.concatenate(c) for c in zip(*out)))
+        yield to_documents(*(np.concatenate(c) for c in zip(*out)), partitions)
+
+    return frames.arrow(blobs.by_bucket(sent, partitions), run, FOUND_SQL)
+
 
-    return frames.arrow(blobs.by_bucket(sent, partitions), run, PLACES_SQL)
+FOUND = pa.schema([("bucket", pa.int32()), ("doc", pa.binary()), ("crc", pa.binary()), ("place", pa.binary())])
+FOUND_SQL = "bucket int, doc binary, crc binary, place binary"
 
 
-def collected(places: DataFrame) -> DataFrame:
-    """One row (doc, crc, places) for each document."""
-    return places.groupBy("doc", "crc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+def to_documents(doc: np.ndarray, crc: np.ndarray, place: np.ndarray, partitions: int) -> pa.RecordBatch:
+    """One row for each range of documents' hashes, each document whole in one."""
+    spread = _spread(doc)
+    order = np.argsort(spread, kind="stable")
+    doc, crc, place = doc[order], crc[order].astype(np.uint32), place[order].astype(np.int32)
+    return blobs.rows([(b, doc[s].tobytes(), crc[s].tobytes(), place[s].tobytes()) for b, s in blobs.cut(spread[order], partitions)], FOUND)
+
+
+def collected(found: DataFrame, partitions: int) -> DataFrame:
+    """One row (doc, crc, places) for each document, places ascending."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [tuple(np.frombuffer(r[c], t) for c, t in (("doc", np.int64), ("crc", np.uint32), ("place", np.int32))) for r in blobs.gathered(batches)]
+        if rows:
+            doc, crc, place = (np.concatenate(c) for c in zip(*rows))
+            order = np.lexsort((place, crc, doc))
+            doc, crc, place = doc[order], crc[order], place[order]
+            same = np.r_[False, (np.diff(doc) == 0) & (np.diff(crc) == 0)] if len(doc) else np.zeros(0, bool)
+            again = same & np.r_[False, np.diff(place) == 0] if len(doc) else same
+            doc, crc, place, same = doc[~again], crc[~again], place[~again], same[~again]
+            new = np.flatnonzero(~same)
+            for lo in range(0, len(new), 4096):
+                at = np.r_[new[lo:lo + 4096], new[lo + 4096] if lo + 4096 < len(new) else len(doc)]
+                lists = pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(place[at[0]:at[-1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at[:-1]]), pa.array(crc[at[:-1]].astype(np.int64)), lists], schema=PLACES)
+
+    return frames.arrow(blobs.by_bucket(found, partitions), run, PLACES_SQL)

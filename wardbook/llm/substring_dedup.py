@@ -103,6 +103,8 @@ class Automaton:
 def _anchors(gram: np.ndarray, first: np.ndarray, length: int, k: int) -> np.ndarray:
     """Positions that are the (leftmost) smallest of the ``length - k + 1`` grams of some window."""
     n, span = len(gram), length - k + 1
+    if n < length:
+        return np.zeros(0, np.int64)
     starts = np.arange(n) + length <= np.repeat(first[1:], np.diff(first))
     best, width = np.arange(n), 1
     while width < span:
@@ -150,7 +152,7 @@ def _pieces(docs: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
             content = _content(words, n)
             order = np.lexsort((start, crc, doc, content, anchor))
             a, c = anchor[order], content[order]
-            again = np.r_[False, (np.diff(a) == 0) & (np.diff(doc[order]) == 0) & (np.diff(crc[order]) == 0) & (np.diff(start[order]) == 0)]
+            again = np.r_[False, (np.diff(a) == 0) & (np.diff(c) == 0) & (np.diff(doc[order]) == 0) & (np.diff(crc[order]) == 0) & (np.diff(start[order]) == 0)]
             order, a, c = order[~again], a[~again], c[~again]  # a row listed again
             new = np.r_[True, (np.diff(a) != 0) | (np.diff(c) != 0)]
             out, at = [], np.cumsum(n) - n
@@ -214,7 +216,7 @@ def _covered(pieces: DataFrame, partitions: int, length: int) -> DataFrame:
             new[by[1:]] = (np.diff(shard[by]) != 0) | (np.diff(content[by]) != 0)
             same = ~new
             again = np.zeros(len(shard), bool)  # the same place sent twice
-            again[by[1:]] = (doc[by[1:]] == doc[by[:-1]]) & (crc[by[1:]] == crc[by[:-1]]) & (start[by[1:]] == start[by[:-1]])
+            again[by[1:]] = ~new[by[1:]] & (doc[by[1:]] == doc[by[:-1]]) & (crc[by[1:]] == crc[by[:-1]]) & (start[by[1:]] == start[by[:-1]])
             whole = same & ~again & (n >= length)
             done.append(_runs(doc[whole], crc[whole], start[whole], n[whole], length))
             distinct = np.bincount(shard, weights=new)
@@ -231,9 +233,9 @@ def _covered(pieces: DataFrame, partitions: int, length: int) -> DataFrame:
                 auto.add(piece, place, s)
             done.append((np.array(d, np.int64), np.array(c, np.uint32), np.array(p, np.int32)))
         if done:
-            yield repeats.by_document(*(np.concatenate(x) for x in zip(*done)))
+            yield repeats.to_documents(*(np.concatenate(x) for x in zip(*done)), partitions)
 
-    return frames.arrow(blobs.by_bucket(pieces, partitions), run, repeats.PLACES_SQL)
+    return frames.arrow(blobs.by_bucket(pieces, partitions), run, repeats.FOUND_SQL)
 
 
 def _runs(doc, crc, start, n, length) -> tuple[np.ndarray, ...]:
@@ -248,13 +250,13 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """``docs`` with ``n_words``, ``n_removed`` and ``kept``. ``length`` may be at most 120."""
     parts = frames.parts(docs.sparkSession)
     name = lambda c: F.col(f"`{c}`")
-    own = [*repeats.identity(name(doc_id), name(text)), name(text).alias("t")]
-    keyed = docs.select(*own)
-    anchors = repeats.collected(repeats.repeated(_anchor_places(keyed, length, gram, 4 * parts), parts, firsts=True))
-    around = keyed.join(anchors, ["doc", "crc"]).select("doc", "crc", "t", "places")
-    covered = repeats.collected(_covered(_pieces(around, length, gram, 4 * parts), parts, length))
     rest = [c for c in docs.columns if c != text and c.lower() not in ("n_words", "n_removed", "kept")]
-    both = docs.select(*own, F.struct(F.lit(0).alias("__"), *[name(c) for c in rest]).alias("row")).join(covered, ["doc", "crc"], "left").select("row", "t", "places")
+    # both joins read the same columns, so that the texts are shuffled once for both
+    keyed = docs.select(*repeats.identity(name(doc_id), name(text)), name(text).alias("t"), F.struct(F.lit(0).alias("__"), *[name(c) for c in rest]).alias("row"))
+    anchors = repeats.collected(repeats.repeated(_anchor_places(keyed.select("doc", "crc", "t"), length, gram, 4 * parts), parts, firsts=True), parts)
+    around = keyed.join(anchors, ["doc", "crc"]).select("doc", "crc", "t", "places", "row")
+    covered = repeats.collected(_covered(_pieces(around, length, gram, 4 * parts), parts, length), parts)
+    both = keyed.join(covered, ["doc", "crc"], "left").select("row", "t", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
