@@ -38,48 +38,57 @@ from wardbook.session import cut_lineage
 LEAST_SCORE = 0.3
 
 
-def _packed(docs: DataFrame, *also: Column) -> DataFrame:
-    """All columns as one struct, so that no result column can clash with them."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *also)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same columns under names that no result column has, and the name of each."""
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
-def _unpacked(df: DataFrame, docs: DataFrame, **replaced: Column) -> DataFrame:
-    return df.select(*[replaced.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+def _named(df: DataFrame, names: dict[str, str], **replaced: Column) -> DataFrame:
+    return df.select(*[replaced.get(c, F.col(n)).alias(c) for c, n in names.items()])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs)
-    found = identify(_packed(docs, F.col("text").alias("text")), model)
-    return _unpacked(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs)
+    rows, names = _numbered(docs)
+    found = identify(rows, model, text=names["text"])
+    return _named(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = dedup_lines(_packed(docs, F.col("doc_id").alias("doc_id"), F.col("text").alias("text")))
-    changed = F.col("n_removed") > 0
-    left = done.where(~changed | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
-    new = {"text": F.col("text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return _unpacked(left, docs, **new)
+    rows, names = _numbered(docs)
+    done = dedup_lines(rows, doc_id=names["doc_id"], text=names["text"])
+    changed, text = F.col("n_removed") > 0, F.col(names["text"])
+    new = {}
+    if "n_chars" in names:
+        old = F.col(names["n_chars"])
+        new["n_chars"] = F.when(changed, F.length(text)).otherwise(old).cast(docs.schema["n_chars"].dataType)
+    return _named(done.where(~changed | text.rlike(r"[^\x09-\x0D\x20]")), names, **new)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = similar_documents(docs.select("doc_id", "text")).where("component_id != doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = _packed(docs, F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t")).join(found, F.col("id") == F.col("gone"), "left_anti")
-    twice = kept.where("id IS NOT NULL").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc(F.length(F.coalesce("t", F.lit("")))), F.crc32(F.col("t").cast("binary"))))).where("r = 1")
-    return _unpacked(twice.drop("r").unionByName(kept.where("id IS NULL")), docs)
+    rows, names = _numbered(docs)
+    key, text = F.col(names["doc_id"]), F.col(names["text"])
+    kept = rows.join(found, key.cast("long") == F.col("gone"), "left_anti")
+    order = W.partitionBy(key).orderBy(F.desc(F.length(F.coalesce(text, F.lit("")))), F.crc32(text.cast("binary")))
+    once = kept.where(key.isNotNull()).withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    return _named(once.unionByName(kept.where(key.isNull())), names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination(_packed(docs, F.col("text").alias("text")), table(spark, sf_dir, "benchmark"))
-    return _unpacked(found.where(F.size("spans") == 0), docs)
+    rows, names = _numbered(docs)
+    found = contamination(rows, table(spark, sf_dir, "benchmark"), text=names["text"])
+    return _named(found.where(F.size("spans") == 0), names)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = _packed(docs, F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
-    mixed = mix_sources(with_quality(sized, table(spark, sf_dir, "labels")), quality="__quality", size="size").where("taken > 0")
+    rows, names = _numbered(docs)
+    sized = rows.withColumn("size", word_count(F.col(names["text"])))
+    labelled = with_quality(sized, table(spark, sf_dir, "labels"), doc_id=names["doc_id"])
+    mixed = mix_sources(labelled, doc_id=names["doc_id"], source=names["source"], quality="__quality", size="size").where("taken > 0")
     own = ["size", "source_size", "target", "repeats", "taken"]
-    return mixed.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in own], *own)
+    return mixed.select(*[F.col(n).alias(c) for c, n in names.items() if c.lower() not in own], *own)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing)]

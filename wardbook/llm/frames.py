@@ -39,6 +39,9 @@ def ship(spark: SparkSession) -> None:
                 if n.endswith(".py"):
                     z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(root)))
     sc.addPyFile(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not sc.getConf().contains(rows):  # texts are long: some MB a batch
+        spark.conf.set(rows, "2000")
     _SHIPPED.add(sc.applicationId)
 
 
