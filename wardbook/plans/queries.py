@@ -610,17 +610,22 @@ def role_matrix(spark, d):
 # streaming
 # ---------------------------------------------------------------------------
 
+def _stream(spark, d: str, name: str, schema):
+    """A table's files as a stream, whether it is one file or a folder of part files
+    (a pattern, as a plain path to one file is refused by the file stream)."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/{name}[.]parquet")
+
+
 def stream_billing(spark, d):
     """Line items streamed as treatment batches keep the bills current."""
     from wardbook.streaming.billing_stream import stream_billing as run
     t = _tables(spark, d)
     li_schema = _raw(spark, d, "lineitem").schema
     base = dict(t)
-    base["Treatment"] = t["Treatment"].limit(0)
+    base["Treatment"] = t["Treatment"].where(F.lit(False))  # nothing treated yet; all comes by the stream
     # every appointment, nothing billed yet; stored once, as a billing table would be
     base["BillingRecord"] = cut_lineage(B.derive_billing(base))
-    src = (spark.readStream.schema(li_schema).option("pathGlobFilter", "lineitem.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(d))
+    src = _stream(spark, d, "lineitem", li_schema)
 
     def to_treatment(li: DataFrame) -> DataFrame:
         return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("TreatmentID"),
@@ -637,8 +642,7 @@ def stream_payments(spark, d):
     """Purchase events streamed into running paid totals."""
     from wardbook.streaming.billing_stream import stream_payments as run
     ev_schema = _raw(spark, d, "events").schema
-    src = (spark.readStream.schema(ev_schema).option("pathGlobFilter", "events.parquet")
-           .parquet(d))
+    src = _stream(spark, d, "events", ev_schema)
     return _out(run(spark, payments_from_events(src)))
 
 

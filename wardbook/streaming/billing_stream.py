@@ -15,18 +15,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+from wardbook.functions.money import money_sum
 from wardbook.operators.billing import derive_billing, merge_billing
 from wardbook.operators.changes import latest_per_key
 from wardbook.session import scratch_path
 
+BUCKETS = 64  # folders that the streams' own stores are divided into, by hash of the key
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a parquet table exists at ``path`` (restart-safe: no driver state)."""
+    """Whether a parquet table exists at ``path`` (restart-safe: no driver state).
+    Only a missing path, or a folder without a single data file (a batch of no
+    rows), means no; an unreadable table is an error."""
     try:
         spark.read.parquet(path).schema
         return True
-    except AnalysisException:
-        return False
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+
+
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _store(df: DataFrame, path: str, key: str, batch_id: int) -> None:
+    """Write a batch's rows into its own folder, divided by bucket; a replay overwrites it."""
+    (df.select("*", _bucket(key)).write.mode("overwrite").partitionBy("bucket")
+     .parquet(f"{path}/batch={batch_id}"))
+
+
+def _stored(spark: SparkSession, path: str, key: str, keys: DataFrame, batch_id: int) -> DataFrame | None:
+    """What earlier batches stored for ``keys``: only the folders of their buckets are read."""
+    if not _exists(spark, path):
+        return None
+    buckets = [r[0] for r in keys.select(_bucket(key)).distinct().collect()]  # BUCKETS at most
+    rows = spark.read.parquet(path)
+    return (rows.where((F.col("batch") < batch_id) & F.col("bucket").isin(buckets))
+            .join(keys.select(key).distinct(), key, "left_semi"))
 
 
 def current_table(spark: SparkSession, base: DataFrame, deltas_path: str, key: str,
@@ -54,18 +81,25 @@ def stream_billing(spark: SparkSession, T: dict[str, DataFrame], treatment_strea
     """Treatment micro-batches keep billing current.
 
     ``T`` holds the tables at stream start (its Treatment and BillingRecord
-    are the base); each batch appends its treatments and re-derives only the
-    appointments it touched (B3), writing the changed bills. Returns the
-    current billing after the stream drained (``availableNow`` by default).
+    are the base). The stream keeps a running cost per appointment: a batch
+    adds its own treatments to the last stored cost of the appointments it
+    touches, so treatments of earlier batches are never read again, and the
+    base treatments are summed once, at the start. Of its own stores a batch
+    reads only the folders of its keys' hash buckets. Then the touched bills
+    are derived (B3) and written. Returns the current billing after the stream
+    drained (``availableNow`` by default).
     """
     root = root or scratch_path(spark, "stream-billing")
-    treat_path, bill_path, ckpt = f"{root}/treatments", f"{root}/bills", f"{root}/_checkpoint"
+    treat_path, cost_path = f"{root}/treatments", f"{root}/costs"
+    bill_path, ckpt = f"{root}/bills", f"{root}/_checkpoint"
     base_treat, base_bill = T["Treatment"], T["BillingRecord"]
+    key = "AppointmentID"
 
-    def cur_treatments() -> DataFrame:
-        if not _exists(spark, treat_path):
-            return base_treat
-        return base_treat.unionByName(spark.read.parquet(treat_path).drop("batch"))
+    def cost_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(key).agg(money_sum(F.col("TreatmentCost")).alias("TreatmentCost"))
+
+    if not _exists(spark, cost_path):
+        _store(cost_of(base_treat), cost_path, key, -1)
 
     def cur_bills() -> DataFrame:
         return current_table(spark, base_bill, bill_path, "AppointmentID",
@@ -83,9 +117,18 @@ def stream_billing(spark: SparkSession, T: dict[str, DataFrame], treatment_strea
         rows = to_treatment(batch) if to_treatment else batch
         rows = rows.select(*base_treat.columns)
         rows.write.mode("overwrite").parquet(f"{treat_path}/batch={batch_id}")
-        keys = spark.read.parquet(f"{treat_path}/batch={batch_id}").select("AppointmentID").distinct()
+        added = cost_of(spark.read.parquet(f"{treat_path}/batch={batch_id}"))
+        keys = added.select(key)
+        before = _stored(spark, cost_path, key, keys, batch_id)
+        if before is not None:
+            added = cost_of(latest_per_key(before, key, ["TreatmentCost"], seq="batch").unionByName(added))
+        _store(added, cost_path, key, batch_id)
+        if not _exists(spark, f"{cost_path}/batch={batch_id}"):
+            return  # a batch of no rows
+        costs = spark.read.parquet(f"{cost_path}/batch={batch_id}").drop("bucket")
+        keys = costs.select(key)
         tables = dict(T)
-        tables["Treatment"] = cur_treatments()
+        tables["Treatment"] = costs
         # the semi-join is pushed below the latest-per-key aggregate, so only
         # the touched keys' versions are shuffled
         touched = cur_bills().join(keys, "AppointmentID", "left_semi")
@@ -103,26 +146,38 @@ def stream_billing(spark: SparkSession, T: dict[str, DataFrame], treatment_strea
 
 
 def stream_payments(spark: SparkSession, payment_stream: DataFrame, root: str | None = None,
-                    key: str = "AppointmentID", dedupe_delay: str = "1 day",
-                    trigger: dict | None = None) -> DataFrame:
+                    key: str = "AppointmentID", trigger: dict | None = None) -> DataFrame:
     """Running paid total per bill from a payment event stream.
 
-    Re-delivered events are dropped by ``event_id`` within the watermark
-    delay; the per-bill sum is a stateful streaming aggregate in update mode
-    (state: one row per bill), and each batch writes the totals it changed.
-    Returns the current totals (key, AmountPaid) after the stream drained.
+    No payment is dropped for being late: there is no watermark. A re-delivered
+    event (same bill and ``event_id``) is found in the stored ledger, of which a
+    batch reads only the folders of its bills' hash buckets; what is new is
+    appended, and the totals of the touched bills grow by it. An event without
+    an id cannot be recognised and always counts. Returns the current totals
+    (key, AmountPaid) after the stream drained.
     """
     root = root or scratch_path(spark, "stream-payments")
-    out_path, ckpt = f"{root}/totals", f"{root}/_checkpoint"
-    totals = (payment_stream.withColumn("ts", F.col("ts").cast("timestamp"))
-              .withWatermark("ts", dedupe_delay)
-              .dropDuplicatesWithinWatermark(["event_id"])
-              .groupBy(key).agg(F.sum("Amount").cast("decimal(10,2)").alias("AmountPaid")))
+    ledger_path, out_path, ckpt = f"{root}/ledger", f"{root}/totals", f"{root}/_checkpoint"
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-
-    q = (totals.writeStream.outputMode("update").foreachBatch(per_batch)
+        rows = batch.select("event_id", key, F.col("Amount").cast("decimal(18,2)").alias("Amount"))
+        named = rows.where(F.col("event_id").isNotNull()).dropDuplicates([key, "event_id"])
+        seen = _stored(spark, ledger_path, key, rows.select(key), batch_id)
+        if seen is not None:
+            named = named.join(seen.select(key, "event_id"), [key, "event_id"], "left_anti")
+        _store(named.unionByName(rows.where(F.col("event_id").isNull())), ledger_path, key, batch_id)
+        if not _exists(spark, f"{ledger_path}/batch={batch_id}"):
+            return  # nothing new
+        new = (spark.read.parquet(f"{ledger_path}/batch={batch_id}")
+               .groupBy(key).agg(money_sum(F.col("Amount")).alias("AmountPaid")))
+        before = _stored(spark, out_path, key, new.select(key), batch_id)
+        if before is not None:
+            new = (latest_per_key(before, key, ["AmountPaid"], seq="batch").unionByName(new)
+                   .groupBy(key).agg(money_sum(F.col("AmountPaid")).alias("AmountPaid")))
+        _store(new.select(key, F.col("AmountPaid").cast("decimal(10,2)").alias("AmountPaid")),
+               out_path, key, batch_id)
+
+    q = (payment_stream.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", ckpt)
          .trigger(**(trigger or {"availableNow": True})).start())
     q.awaitTermination()
