@@ -168,3 +168,28 @@ def test_unmatched_changes(spark, seed):
                                    "BillingID int, Amount decimal(10,2)")
     assert [r["BillingID"] for r in B.unmatched_changes(seed["BillingRecord"], ledger).collect()] == [99]
     assert B.apply_payments(seed["BillingRecord"], ledger).count() == 30
+
+
+def test_cents_are_exact_for_doubles_and_wider_scales(spark):
+    from wardbook.functions.money import money_sum
+    d = spark.createDataFrame([(0.29, Decimal("1.2399")), (0.57, Decimal("0.0050"))], "x double, y decimal(12,4)")
+    r = d.select(money_sum(F.col("x")), money_sum(F.col("y"))).first()
+    assert (r[0], r[1]) == (Decimal("0.86"), Decimal("1.25"))
+
+
+def test_one_oversized_bill_is_rejected_alone(spark, seed):
+    T = dict(seed)
+    huge = seed["Treatment"].where("AppointmentID = 1").limit(1).withColumn("TreatmentCost", F.lit("99999999.00").cast("decimal(10,2)"))
+    T["Treatment"] = seed["Treatment"].unionByName(huge).unionByName(huge.withColumn("TreatmentID", F.col("TreatmentID") + 1000))
+    assert B.derive_billing(T).count() == 29
+    assert [tuple(r) for r in B.billing_rejects(T).collect()] == [(1, "total out of range")]
+
+
+def test_payment_method_rule(spark, seed):
+    """The last non-empty method by seq; NULL seq first; ties and no seq by the method itself."""
+    bills = seed["BillingRecord"].where("BillingID <= 2")
+    ledger = spark.createDataFrame([(1, Decimal("1"), "Cash", 2), (1, Decimal("1"), "Card", 2), (1, Decimal("1"), "", 9), (1, Decimal("1"), "Wire", None), (2, Decimal("1"), "Wire", None)],
+                                   "BillingID long, Amount decimal(10,2), PaymentMethod string, seq int")
+    got = {r["BillingID"]: r["PaymentMethod"] for r in B.apply_payments(bills, ledger, seq="seq").collect()}
+    assert got == {1: "Cash", 2: "Wire"}
+    assert {r["BillingID"]: r["PaymentMethod"] for r in B.apply_payments(bills, ledger.drop("seq")).collect()}[1] == "Wire"

@@ -16,8 +16,9 @@ MONEY_SCALE = 2
 
 
 def cents(x: Column) -> Column:
-    """A DECIMAL(p,2) amount as its unscaled BIGINT number of cents."""
-    return (x * F.lit(10 ** MONEY_SCALE)).cast("long")
+    """An amount as its BIGINT number of cents. A wider scale, or a double, is
+    rounded to cents first, half cents away from zero."""
+    return (x.cast(f"decimal(18,{MONEY_SCALE})") * F.lit(10 ** MONEY_SCALE)).cast("long")
 
 
 def from_cents(c: Column, precision: int = 20) -> Column:

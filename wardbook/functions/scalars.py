@@ -35,7 +35,7 @@ def text_key(x: Column, ci: bool = False) -> Column:
 def split_full_name(full_name: Column, fallback: Column | None = None) -> tuple[Column, Column]:
     """(first, last) split at the first space of the trimmed name; last is
     '' without a space. An empty or NULL name gives (fallback, '')."""
-    trimmed = F.trim(full_name)
+    trimmed = F.regexp_replace(full_name, r"^\s+|\s+$", "")
     parts = F.split(trimmed, " ", 2)
     has_name = F.length(F.coalesce(full_name, F.lit(""))) > 0
     first = F.when(has_name, parts.getItem(0))
@@ -54,9 +54,9 @@ def hhmm(seconds: Column) -> Column:
 
 
 def fmt_money(x: Column) -> Column:
-    """'$1,234.50'; NULL -> an em dash."""
+    """'$1,234.50', half cents away from zero; NULL -> an em dash."""
     return F.when(x.isNull(), F.lit(DASH)).otherwise(
-        F.concat(F.lit("$"), F.format_number(x.cast("double"), 2)))
+        F.concat(F.lit("$"), F.format_number(F.round(x.cast("decimal(38,6)"), 2), 2)))
 
 
 def fmt_pct(fraction: Column) -> Column:
@@ -66,8 +66,8 @@ def fmt_pct(fraction: Column) -> Column:
 
 
 def fmt_int(x: Column) -> Column:
-    """'1,234'; NULL -> an em dash."""
-    return F.when(x.isNull(), F.lit(DASH)).otherwise(F.format_number(x.cast("long"), 0))
+    """'1,234', rounded half away from zero; NULL -> an em dash."""
+    return F.when(x.isNull(), F.lit(DASH)).otherwise(F.format_number(F.round(x.cast("decimal(38,6)"), 0), 0))
 
 
 _NUMBER_PREFIX = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)"

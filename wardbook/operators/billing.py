@@ -85,7 +85,9 @@ def _derive(T: dict[str, DataFrame], existing: DataFrame | None,
     else:
         x = x.withColumn("_unknown", F.lit(None).cast("boolean"))
 
-    total = F.coalesce(F.col("_sum"), F.lit(0)).cast(MONEY)
+    # a total beyond the column's range rejects this bill only
+    too_large = F.col("_sum").isNotNull() & F.col("_sum").try_cast(MONEY).isNull()
+    total = F.coalesce(F.col("_sum"), F.lit(0)).try_cast(MONEY)
     coverage = F.round(total * F.col("_rate"), 2).cast(MONEY)
     owed = (total - coverage).cast(MONEY)
     # v_existing_paid: COALESCE(AmountPaid, 0) when a bill exists, else NULL
@@ -93,7 +95,8 @@ def _derive(T: dict[str, DataFrame], existing: DataFrame | None,
                                                  F.lit(0).cast(MONEY)))
     reason = (F.when(F.col("_unknown"), F.lit("unknown appointment"))
                .when(F.col("_has_patient").isNull(), F.lit("no patient"))
-               .when(F.col("AppointmentDate").isNull(), F.lit("no billing date")))
+               .when(F.col("AppointmentDate").isNull(), F.lit("no billing date"))
+               .when(too_large, F.lit("total out of range")))
     out = x.select(
         "AppointmentID", "PatientID", total.alias("TotalCost"), coverage.alias("InsuranceCoverage"),
         owed.alias("AmountOwed"), paid.alias("_paid"),
@@ -213,15 +216,16 @@ def apply_payments(billing: DataFrame, ledger: DataFrame, key: str = "BillingID"
 
     ``ledger``: (key, Amount[, PaymentMethod][, seq]). The new status ignores
     any status sent with a payment: Paid if paid >= owed, Partial if paid > 0,
-    else Unpaid, also over Canceled. The method is the last non-empty one,
-    else the bill's own. Bills without payments are untouched.
+    else Unpaid, also over Canceled. The method is the last non-empty one by
+    ``seq`` (a NULL seq comes first; ties, and ledgers without ``seq``: the
+    method that sorts last), else the bill's own. Bills without payments are
+    untouched.
     """
     aggs = [money_sum(F.col("Amount")).alias("_add")]
     if "PaymentMethod" in ledger.columns:
         m = F.when(F.length(F.coalesce(F.col("PaymentMethod"), F.lit(""))) > 0,
                    F.col("PaymentMethod"))
-        order = F.col(seq) if seq else F.lit(0)
-        aggs.append(F.max_by(m, F.when(m.isNotNull(), order)).alias("_method"))
+        aggs.append(F.max_by(m, F.when(m.isNotNull(), F.struct(F.col(seq), m) if seq else m)).alias("_method"))
     per_bill = ledger.groupBy(key).agg(*aggs).withColumn("_hit", F.lit(True))
     j = billing.join(per_bill, key, "left")
     hit = F.col("_hit").isNotNull()
