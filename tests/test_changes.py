@@ -152,3 +152,13 @@ def test_cascade_delete_materialized_equals_lazy(spark, seed):
         a, b = lazy[name], stored[name]
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
     assert stored["BillingRecord"].count() == 28
+
+
+def test_null_and_tied_sequence_numbers(spark):
+    """A NULL seq loses to any other, but still changes a key that has none; ties go to the largest row."""
+    from wardbook.operators.changes import insert_ignore, update_by_key
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    ch = spark.createDataFrame([(1, "x", None), (2, "y", 5), (2, "z", None), (3, "p", 7), (3, "q", 7)], "k int, v string, seq int")
+    assert sorted(map(tuple, update_by_key(t, ch, "k", ["v"], seq="seq").collect())) == [(1, "x"), (2, "y"), (3, "q")]
+    new = spark.createDataFrame([(4, "n", 1), (4, "m", None)], "k int, v string, seq int")
+    assert (4, "m") in map(tuple, insert_ignore(t, new, "k", seq="seq").collect())

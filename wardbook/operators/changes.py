@@ -75,16 +75,19 @@ def latest_per_key(changes: DataFrame, key: str | list[str], cols: list[str],
                    seq: str | None = None, first: bool = False) -> DataFrame:
     """One row per key: the change with the highest ``seq`` (lowest if ``first``).
 
-    ``max_by``/``min_by`` over a struct is a partial aggregate, so hot keys
-    are folded before the shuffle. Without ``seq`` the largest row wins, which
-    is deterministic.
+    The maximum of a struct is a partial aggregate, so hot keys are folded
+    before the shuffle. Ties on ``seq`` go to the largest row (smallest if
+    ``first``), as does everything without ``seq``. A NULL ``seq`` is older than
+    any other: it wins only where a key has no change with one (with
+    ``first``: it comes first).
     """
     keys = [key] if isinstance(key, str) else list(key)
     payload = F.struct(*[F.col(c) for c in cols])
     if seq is None:
         agg = (F.min if first else F.max)(payload)
     else:
-        agg = (F.min_by if first else F.max_by)(payload, F.col(seq))
+        ordered = F.struct(F.col(seq).alias("_seq"), payload.alias("_row"))
+        agg = (F.min if first else F.max)(ordered)["_row"]
     return (changes.groupBy(*keys).agg(agg.alias("_v"))
             .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in cols]))
 
