@@ -31,10 +31,6 @@ def _money_cents(c: Column) -> Column:
     return from_cents(c).cast("double")
 
 
-def _avg(sum_col: Column, cnt_col: Column) -> Column:
-    return F.when(cnt_col > 0, sum_col.cast("double") / cnt_col)
-
-
 def _avg_cents(cents_col: Column, cnt_col: Column) -> Column:
     return F.when(cnt_col > 0, from_cents(cents_col).cast("double") / cnt_col)
 
@@ -49,8 +45,9 @@ def billing_by_status(T: Tables, ci: bool = False) -> DataFrame:
     With ``ci`` spellings that differ only in case, accents or trailing
     spaces form one group, shown by their smallest spelling."""
     b = T["BillingRecord"]
-    return (b.groupBy(text_key(F.col("PaymentStatus"), ci).alias("_status")).agg(
-        F.min("PaymentStatus").alias("PaymentStatus"),
+    # folded by the raw spelling first: the buffers are of fixed width, so no task sorts its bills
+    sums = ["_billed", "_covered", "_owed", "_paid", "_out"]
+    g = b.groupBy("PaymentStatus").agg(
         F.count(F.lit(1)).alias("TotalRecords"),
         cents_sum(F.col("TotalCost")).alias("_billed"),
         cents_sum(F.col("InsuranceCoverage")).alias("_covered"),
@@ -60,7 +57,12 @@ def billing_by_status(T: Tables, ci: bool = False) -> DataFrame:
         F.count("TotalCost").alias("_n"),
         F.min("TotalCost").alias("_min"),
         F.max("TotalCost").alias("_max"))
-        .select("PaymentStatus", "TotalRecords",
+    if ci:  # then the few spellings by their collated key
+        g = g.groupBy(text_key(F.col("PaymentStatus"), ci).alias("_status")).agg(
+            F.min("PaymentStatus").alias("PaymentStatus"), F.sum("TotalRecords").alias("TotalRecords"),
+            *[F.sum(c).alias(c) for c in sums], F.sum("_n").alias("_n"),
+            F.min("_min").alias("_min"), F.max("_max").alias("_max"))
+    return (g.select("PaymentStatus", "TotalRecords",
                 _money_cents(F.col("_billed")).alias("TotalBilled"),
                 _money_cents(F.col("_covered")).alias("TotalCovered"),
                 _money_cents(F.col("_owed")).alias("TotalOwed"),
@@ -229,8 +231,11 @@ def kpis(T: Tables) -> DataFrame:
 def bar_share(df: DataFrame, label: str, value: str) -> DataFrame:
     """Each value as a percent of the largest (NULL as 0), at least 4.
 
-    The maximum is a scalar subquery: one aggregate, no single-partition window.
+    The report (a row for each bar) is computed once and stored; the maximum is
+    a scalar subquery over that copy.
     """
+    from wardbook.session import cut_lineage
+    df = cut_lineage(df.select(label, value))
     v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
     top = df.select(F.greatest(F.max(v), F.lit(1.0))).scalar()
     return df.select(F.col(label).alias("label"), v.alias("value"),
