@@ -55,3 +55,19 @@ def test_local_fallback_is_stable_even_if_conf_is_read_only():
     first = session.checkpoint_root(s)
     assert first == session.checkpoint_root(s)
     assert session.scratch_path(s, "x").startswith(first + "/x-")
+
+
+def test_submitted_settings_are_left_alone(tmp_path):
+    """A session built under submit arguments keeps them; gaps are filled."""
+    import os
+    import subprocess
+    import sys
+    code = ("from wardbook.session import get_spark\n"
+            "s = get_spark('local[2]')\n"
+            "print('GOT', s.conf.get('spark.sql.shuffle.partitions'), s.conf.get('spark.sql.autoBroadcastJoinThreshold'),"
+            " s.sparkContext.getConf().get('spark.driver.memory'), s.conf.get('spark.sql.adaptive.forceOptimizeSkewedJoin'))")
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--conf spark.sql.shuffle.partitions=500 --conf spark.sql.autoBroadcastJoinThreshold=-1 --driver-memory 1g --conf spark.ui.enabled=false pyspark-shell",
+                        "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    env.pop("PYSPARK_GATEWAY_PORT", None)
+    out = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=120).stdout
+    assert "GOT 500 -1 1g true" in out, out

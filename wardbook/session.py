@@ -8,9 +8,11 @@ the defaults below only fill gaps, as in tests and local benches.
 from __future__ import annotations
 
 import os
+import shlex
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 # Defaults applied only when the session does not already define them.
@@ -32,25 +34,48 @@ _DEFAULTS = {
 }
 
 
+def _submitted() -> set[str]:
+    """Settings that the submit command gives (spark-submit, or its arguments in the environment)."""
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # spark-submit has started the JVM: it knows
+        SparkContext._ensure_initialized()
+        return {k for k, _ in SparkConf().getAll()}
+    args = shlex.split(os.environ.get("PYSPARK_SUBMIT_ARGS", ""))
+    names = {"--master": "spark.master", "--driver-memory": "spark.driver.memory", "--name": "spark.app.name"}
+    given = {names[a.split("=")[0]] for a in args if a.split("=")[0] in names}
+    for a, value in zip(args, args[1:] + [""]):
+        if a in ("--conf", "-c"):
+            given.add(value.split("=")[0])
+        elif a.startswith("--conf="):
+            given.add(a.split("=")[1])
+    return given
+
+
 def get_spark(master: str | None = None, app: str = "wardbook",
               shuffle_partitions: int | None = None) -> SparkSession:
-    """Return the active session, or build a local one for tests/benches."""
+    """Return the active session, or build one. What the deployment sets (by
+    spark-submit or spark-defaults) is left as it is; only gaps are filled, and
+    only a local session gets settings for its single machine."""
     active = SparkSession.getActiveSession()
     if active is not None:
         ensure_defaults(active)
         return active
-    b = SparkSession.builder.appName(app)
-    if master:
-        b = b.master(master)
-    b = (b.config("spark.ui.enabled", "false")
-          .config("spark.ui.showConsoleProgress", "false")
-          .config("spark.driver.memory", os.environ.get("WARDBOOK_DRIVER_MEM", "16g"))
-          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
-    for k, v in _DEFAULTS.items():
-        b = b.config(k, v)
+    given = _submitted()
+    b = SparkSession.builder
+    local = (master or "").startswith("local")
+    start = {"spark.app.name": app, **({"spark.master": master} if master else {}),
+             **({"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+                 "spark.driver.memory": os.environ.get("WARDBOOK_DRIVER_MEM", "16g")} if local else {})}
+    for k, v in start.items():
+        if k not in given:
+            b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    known = spark.sparkContext.getConf()
+    partitions = shuffle_partitions or (8 if local else None)
+    for k, v in {**_DEFAULTS, "spark.sql.execution.arrow.pyspark.enabled": "true",
+                 **({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})}.items():
+        if not known.contains(k):
+            spark.conf.set(k, v)
     ensure_defaults(spark)
     return spark
 
