@@ -53,5 +53,5 @@ def to_json_rows(df: DataFrame, time_cols: tuple[str, ...] = ("AppointmentTime",
 
 
 def write_json(df: DataFrame, path: str, time_cols: tuple[str, ...] = ("AppointmentTime",)) -> None:
-    """S4 sink: JSON lines files."""
-    json_ready(df, time_cols).write.mode("overwrite").json(path)
+    """S4 sink: JSON lines files in a new folder (an existing one is refused)."""
+    json_ready(df, time_cols).write.mode("errorifexists").json(path)

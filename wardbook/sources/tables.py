@@ -41,7 +41,10 @@ def save_tables(tables: Tables, directory: str | None = None, spark: SparkSessio
                 partition_by: dict[str, list[str]] | None = None) -> dict[str, str]:
     """Write a new version of each table into a fresh folder; return the paths.
 
-    Writing is the lineage cut: callers re-read the returned paths.
+    A folder that exists is refused, so a version that is still being read (also
+    by the plan that is written here) is never destroyed; save each version
+    under a directory of its own. Writing is the lineage cut: callers re-read
+    the returned paths.
     ``partition_by`` names folder-partition columns per table (for example
     AppointmentDate), so later filters on them prune whole folders.
     """
@@ -51,7 +54,7 @@ def save_tables(tables: Tables, directory: str | None = None, spark: SparkSessio
             path = scratch_path(spark or df.sparkSession, f"table-{name}")
         else:
             path = f"{directory.rstrip('/')}/{name}"
-        w = df.write.mode("overwrite").format(fmt)
+        w = df.write.mode("errorifexists").format(fmt)
         if partition_by and partition_by.get(name):
             w = w.partitionBy(*partition_by[name])
         w.save(path)
