@@ -1,8 +1,7 @@
 """Hot keys: a third of all appointments on one doctor and on one patient.
 
 Broadcasts are off and the skew thresholds low, so the shuffled and split
-paths run; the reports (which fold before joining) must equal the plain
-join-then-group SQL over the same tables.
+paths run; the reports must equal a plain fold of the same rows in pandas.
 """
 
 import pytest
@@ -10,7 +9,6 @@ from pyspark.sql import functions as F
 
 from wardbook.operators import billing as B
 from wardbook.operators import reports as R
-from wardbook.sources.tables import register_views
 
 N = 60_000
 
@@ -50,43 +48,42 @@ def skewed(spark, seed):
         spark.conf.set(k, v)
 
 
-def same(a, b):
-    ra = sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in a.collect())
-    rb = sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in b.collect())
-    assert ra == rb
+def folded(df, by, column):
+    """{key: (rows, sum, mean, least, largest)} of a pandas column."""
+    return {k: (len(v), v.sum(), v.mean(), v.min(), v.max()) for k, v in df.groupby(by)[column]}
 
 
-def test_reports_equal_plain_sql_under_skew(spark, skewed):
-    register_views(skewed, prefix="sk_")
-    same(R.doctor_workload(skewed), spark.sql("""
-        SELECT concat(doc.FirstName, ' ', doc.LastName), doc.Specialty, dep.DepartmentName,
-               count(a.AppointmentID), coalesce(CAST(sum(b.TotalCost) AS DOUBLE), 0),
-               coalesce(CAST(sum(b.TotalCost) AS DOUBLE) / nullif(count(b.TotalCost), 0), 0),
-               coalesce(CAST(min(b.TotalCost) AS DOUBLE), 0), coalesce(CAST(max(b.TotalCost) AS DOUBLE), 0),
-               min(a.AppointmentDate), max(a.AppointmentDate)
-        FROM sk_Doctor doc LEFT JOIN sk_Department dep ON dep.DepartmentID = doc.DepartmentID
-        LEFT JOIN sk_Appointment a ON a.DoctorID = doc.DoctorID
-        LEFT JOIN sk_BillingRecord b ON b.AppointmentID = a.AppointmentID
-        GROUP BY doc.DoctorID, doc.FirstName, doc.LastName, doc.Specialty, dep.DepartmentName"""))
-    same(R.insurance_analysis(skewed), spark.sql("""
-        SELECT ip.ProviderName, CAST(ip.CoveragePercent AS DOUBLE), count(DISTINCT p.PatientID),
-               count(b.BillingID), coalesce(CAST(sum(b.TotalCost) AS DOUBLE), 0),
-               coalesce(CAST(sum(b.InsuranceCoverage) AS DOUBLE), 0),
-               coalesce(CAST(sum(b.AmountOwed) AS DOUBLE), 0),
-               coalesce(CAST(sum(b.InsuranceCoverage) AS DOUBLE) / nullif(count(b.InsuranceCoverage), 0), 0),
-               coalesce(CAST(min(b.InsuranceCoverage) AS DOUBLE), 0),
-               coalesce(CAST(max(b.InsuranceCoverage) AS DOUBLE), 0)
-        FROM sk_InsuranceProvider ip LEFT JOIN sk_Patient p ON p.ProviderID = ip.ProviderID
-        LEFT JOIN sk_BillingRecord b ON b.PatientID = p.PatientID
-        GROUP BY ip.ProviderID, ip.ProviderName, ip.CoveragePercent"""))
-    same(R.treatment_by_dept(skewed), spark.sql("""
-        SELECT dep.DepartmentName, count(t.TreatmentID), CAST(sum(t.TreatmentCost) AS DOUBLE),
-               CAST(sum(t.TreatmentCost) AS DOUBLE) / count(t.TreatmentCost),
-               CAST(min(t.TreatmentCost) AS DOUBLE), CAST(max(t.TreatmentCost) AS DOUBLE)
-        FROM sk_Treatment t JOIN sk_Appointment a ON a.AppointmentID = t.AppointmentID
-        JOIN sk_Doctor doc ON doc.DoctorID = a.DoctorID
-        JOIN sk_Department dep ON dep.DepartmentID = doc.DepartmentID
-        GROUP BY dep.DepartmentID, dep.DepartmentName"""))
+def test_reports_equal_a_plain_fold_under_skew(skewed):
+    appts = skewed["Appointment"].select("AppointmentID", "DoctorID").toPandas()
+    bills = skewed["BillingRecord"].select("AppointmentID", "PatientID", *[F.col(c).cast("double") for c in ("TotalCost", "InsuranceCoverage", "AmountOwed")]).toPandas()
+    doctors = skewed["Doctor"].toPandas().set_index("DoctorID")
+    departments = skewed["Department"].toPandas().set_index("DepartmentID")["DepartmentName"]
+
+    want = folded(bills.merge(appts, on="AppointmentID"), "DoctorID", "TotalCost")
+    got = {r["DoctorName"]: r for r in R.doctor_workload(skewed).collect()}
+    for d, (n, total, mean, least, most) in want.items():
+        r = got[f"{doctors.FirstName[d]} {doctors.LastName[d]}"]
+        assert r["TotalAppointments"] == n and (r["MinBill"], r["MaxBill"]) == (least, most)
+        assert r["TotalRevenue"] == pytest.approx(total) and r["AvgRevenue"] == pytest.approx(mean)
+
+    patients = skewed["Patient"].select("PatientID", "ProviderID").toPandas().dropna()
+    providers = skewed["InsuranceProvider"].toPandas().set_index("ProviderID")["ProviderName"]
+    want = folded(bills.merge(patients, on="PatientID"), "ProviderID", "InsuranceCoverage")
+    got = {r["ProviderName"]: r for r in R.insurance_analysis(skewed).collect()}
+    for p, (n, total, mean, least, most) in want.items():
+        r = got[providers[p]]
+        assert (r["TotalPatients"], r["TotalClaims"], r["MinCoverage"], r["MaxCoverage"]) == ((patients.ProviderID == p).sum(), n, least, most)
+        assert r["TotalCovered"] == pytest.approx(total) and r["AvgCoverage"] == pytest.approx(mean)
+
+    costs = skewed["Treatment"].select("AppointmentID", F.col("TreatmentCost").cast("double")).toPandas().merge(appts, on="AppointmentID")
+    costs["name"] = costs.DoctorID.map(doctors.DepartmentID).map(departments)
+    want = folded(costs.dropna(), "name", "TreatmentCost")
+    got = {r["DepartmentName"]: r for r in R.treatment_by_dept(skewed).collect()}
+    assert set(got) == set(want)
+    for k, (n, total, mean, least, most) in want.items():
+        r = got[k]
+        assert (r["TotalTreatments"], r["MinCost"], r["MaxCost"]) == (n, least, most)
+        assert r["TotalCost"] == pytest.approx(total) and r["AvgCost"] == pytest.approx(mean)
     assert skewed["BillingRecord"].count() == N
     hot = sum(1 for i in range(N) if i % 3 == 0 or i % 2000 == 7)  # a third, plus its own share
     assert skewed["BillingRecord"].filter("PatientID = 7").count() == hot

@@ -30,6 +30,7 @@ ROLE_MATRIX: dict[tuple[str, str], list[str]] = {
     ("Patient", "POST"): ["admin", "receptionist"],
     ("Patient", "PUT"): ["admin", "receptionist"],
     ("Patient", "DELETE"): ["admin", "receptionist"],
+    ("Patient", "GET-own"): ["patient"],  # the row that the account is linked to
     ("Doctor", "GET"): ["admin", "receptionist", "doctor", "nurse", "patient"],
     ("Doctor", "POST"): ["admin"],
     ("Doctor", "PUT"): ["admin"],
