@@ -8,13 +8,22 @@ from wardbook.operators.flows import add_treatments, remove_treatments
 def test_add_treatments(spark, seed):
     reqs = spark.createDataFrame([
         (1, '{"AppointmentID": 5, "TreatmentCost": 40.00, "TreatmentName": "x"}'),
-        (2, '[{"AppointmentID": 9, "TreatmentCost": 10}, {"AppointmentID": 9, "TreatmentCost": 5}]'),
+        (2, '[{"AppointmentID": "9", "DiagnosisID": "", "TreatmentCost": "10"}, {"AppointmentID": 9, "TreatmentCost": 5}]'),
         (3, '[{"AppointmentID": 4, "TreatmentCost": 99}, {"TreatmentCost": 1}]'),
         (4, '{"AppointmentID": 4, "TreatmentCost": '),
+        (5, '{"AppointmentID": 999, "TreatmentCost": 7}'),
+        (6, '{"AppointmentID": 4, "DiagnosisID": 777, "TreatmentCost": 7}'),
+        (7, '[]'), (8, None), (9, '{"AppointmentID": 4, "TreatmentCost": null}'),
+        (10, '{"AppointmentID": 4, "TreatmentCost": "seven"}'), (11, '{"AppointmentID": 4, "TreatmentCost": 1e12}'),
+        (12, '{"AppointmentID": "four"}'), (13, '{"AppointmentID": 4, "DiagnosisID": "x"}'),
+        (14, '{"AppointmentID": 4, "TreatmentName": "' + "n" * 101 + '"}'), (15, '[{"AppointmentID": 4}, 5]'),
     ], "request_id int, body string")
     out, rejected = add_treatments(seed, reqs)
     assert {r["request_id"]: r["reason"] for r in rejected.collect()} == {
-        3: "AppointmentID is required", 4: "invalid JSON"}
+        3: "appointment missing", 4: "body not readable", 5: "AppointmentID has no Appointment",
+        6: "DiagnosisID has no Diagnosis", 7: "no items", 8: "body not readable", 9: "cost is null",
+        10: "cost not an amount", 11: "cost not an amount", 12: "appointment missing",
+        13: "diagnosis not a number", 14: "TreatmentName longer than 100", 15: "body not readable"}
     new = out["Treatment"].filter("TreatmentID > 30").orderBy("TreatmentID").collect()
     assert [(r["TreatmentID"], r["AppointmentID"]) for r in new] == [(31, 5), (32, 9), (33, 9)]
     bills = {r["AppointmentID"]: r for r in out["BillingRecord"].collect()}
@@ -46,7 +55,7 @@ def test_book_appointments(spark, seed):
        "AppointmentDate date, AppointmentTime int, Status string, Purpose string")
     out, rejected = book_appointments(seed, reqs)
     assert {r["seq"]: r["reason"] for r in rejected.collect()} == {
-        3: "Patient record not found for this account", 4: "DoctorID has no Doctor"}
+        3: "no linked patient record", 4: "DoctorID has no Doctor"}
     new = {r["AppointmentID"]: r for r in out["Appointment"].filter("AppointmentID > 30").collect()}
     assert sorted(new) == [31, 32]
     assert (new[31]["PatientID"], new[31]["Status"], new[31]["NurseID"]) == (3, "Scheduled", 5)

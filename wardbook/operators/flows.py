@@ -1,56 +1,87 @@
 """The service's write flows as set-based jobs over whole batches.
 
-``add_treatments``: request bodies (one object or a list each) are parsed,
-a request with any item lacking an AppointmentID is rejected whole, the
-accepted items get TreatmentIDs after the current maximum, and the bills
-of the touched appointments are re-derived. ``remove_treatments`` deletes
-by key and re-derives the bills the deleted rows belonged to.
+``add_treatments``: request bodies (one object or a list each) are parsed and
+checked; a request with any bad item is rejected whole; the accepted items get
+TreatmentIDs after the current maximum, and the bills of the touched
+appointments are re-derived. ``remove_treatments`` deletes by key and re-derives
+the bills the deleted rows belonged to.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wardbook.operators.billing import refresh_billing
 from wardbook.operators.changes import delete_by_key, number_new_rows
-from wardbook.operators.checks import batch_flags, validate_insert
+from wardbook.operators.checks import validate_insert
 from wardbook.operators.listings import assign_nurse
 from wardbook.schema import MONEY
 from wardbook.session import cut_lineage
-from wardbook.sources.json_io import read_json_batch
 
-TREATMENT_REQUEST = T.StructType([
-    T.StructField("DiagnosisID", T.LongType()),
-    T.StructField("AppointmentID", T.LongType()),
-    T.StructField("TreatmentName", T.StringType()),
-    T.StructField("Description", T.StringType()),
-    T.StructField("TreatmentCost", T.DecimalType(10, 2)),
-])
+# Reject reasons of the flows (the library's own codes).
+UNREADABLE, EMPTY = "body not readable", "no items"
+NO_APPOINTMENT, BAD_DIAGNOSIS = "appointment missing", "diagnosis not a number"
+NULL_COST, BAD_COST = "cost is null", "cost not an amount"
+NO_OWN_RECORD = "no linked patient record"
+
+
+def treatment_items(requests: DataFrame, body: str, request_id: str) -> DataFrame:
+    """One row per item of each request: its fields, and ``_reason`` if the body or the
+    item is unusable (a body without items gives one such row).
+
+    Fields are read as text and cast, as forms post numbers as strings. A cost
+    that is absent or empty is 0; one that is null, no number or out of range is
+    a fault, and so is an appointment that is absent, 0 or no number.
+    """
+    text = F.col(body)
+    as_list = F.when(F.ltrim(text).startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    read = requests.select(request_id, F.from_json(as_list, "array<map<string,string>>").alias("_items"))
+    rows = read.select(request_id, F.size("_items").alias("_n"), F.posexplode_outer("_items").alias("_item", "_f"))
+
+    def field(name: str):
+        return F.try_element_at(F.col("_f"), F.lit(name))
+
+    def number(name: str):
+        return F.nullif(F.trim(field(name)), F.lit("")).try_cast("bigint")
+
+    given = F.nullif(F.trim(field("TreatmentCost")), F.lit(""))
+    amount = F.coalesce(given, F.lit("0")).try_cast(MONEY)
+    reason = (F.when(F.col("_n").isNull() | (F.col("_n") < 0), F.lit(UNREADABLE))
+               .when(F.col("_n") == 0, F.lit(EMPTY))
+               .when(F.col("_f").isNull(), F.lit(UNREADABLE))
+               .when(F.coalesce(number("AppointmentID"), F.lit(0)) == 0, F.lit(NO_APPOINTMENT))
+               .when(F.length(F.trim(field("DiagnosisID"))) > 0,
+                     F.when(number("DiagnosisID").isNull(), F.lit(BAD_DIAGNOSIS))))
+    cost_fault = (F.when(F.map_contains_key(F.col("_f"), "TreatmentCost") & field("TreatmentCost").isNull(), F.lit(NULL_COST))
+                   .when(amount.isNull(), F.lit(BAD_COST)))
+    return rows.select(request_id, F.coalesce(F.col("_item"), F.lit(0)).alias("_item"),
+                       number("DiagnosisID").alias("DiagnosisID"), number("AppointmentID").alias("AppointmentID"),
+                       field("TreatmentName").alias("TreatmentName"), field("Description").alias("Description"),
+                       amount.alias("TreatmentCost"), F.coalesce(reason, cost_fault).alias("_reason"))
 
 
 def add_treatments(tables: dict[str, DataFrame], requests: DataFrame, body: str = "body",
                    request_id: str = "request_id") -> tuple[dict[str, DataFrame], DataFrame]:
-    """Apply a batch of treatment requests; returns (new tables, rejected
-    requests with a reason: the body is not JSON, or an item lacks its
-    AppointmentID -- one such item rejects its whole request)."""
-    parsed = F.from_json(F.col(body), T.ArrayType(TREATMENT_REQUEST))
-    unreadable = (requests.filter(parsed.isNull())
-                  .select(request_id, F.lit("invalid JSON").alias("reason")))
-    items = read_json_batch(requests, body, TREATMENT_REQUEST, keep=[request_id], position="_item")
-    bad = F.col("AppointmentID").isNull() | (F.col("AppointmentID") == 0)
-    flags = batch_flags(items, request_id, bad)
-    good = items.join(flags.filter(~F.col("rejected")).select(request_id), request_id, "left_semi")
-    rejected = unreadable.unionByName(
-        flags.filter(F.col("rejected")).select(request_id, F.lit("AppointmentID is required").alias("reason")))
+    """Apply a batch of treatment requests; returns (new tables, rejected requests with
+    a reason, that of the first bad item).
+
+    Besides the checks of ``treatment_items`` every rule of the table holds
+    (parents, NOT NULL, lengths); one bad item rejects its whole request.
+    """
     treat = tables["Treatment"]
-    # parsed and validated once; numbering and the refresh read this copy
-    new = cut_lineage(good.select(
+    # parsed once; the checks, the numbering and the refresh read this copy
+    items = cut_lineage(treatment_items(requests, body, request_id))
+    usable = items.filter(F.col("_reason").isNull()).drop("_reason")
+    good, bad = validate_insert(usable, "Treatment", tables, generated_key=True)
+    faults = (items.filter(F.col("_reason").isNotNull()).select(request_id, "_item", F.col("_reason").alias("reason"))
+              .unionByName(bad.select(request_id, "_item", "reason")))
+    rejected = cut_lineage(faults.groupBy(request_id)
+                           .agg(F.min(F.struct("_item", "reason")).alias("_first"))
+                           .select(request_id, F.col("_first.reason").alias("reason")))
+    new = good.join(rejected.select(request_id), request_id, "left_anti").select(
         F.lit(None).cast(treat.schema["TreatmentID"].dataType).alias("TreatmentID"),
-        "DiagnosisID", "AppointmentID", "TreatmentName", "Description",
-        F.coalesce(F.col("TreatmentCost"), F.lit(0).cast(MONEY)).alias("TreatmentCost"),
-        request_id, "_item"))
+        "DiagnosisID", "AppointmentID", "TreatmentName", "Description", "TreatmentCost", request_id, "_item")
     numbered = number_new_rows(new, treat, "TreatmentID", order=[request_id, "_item"])
     added = numbered.select(*[F.col(c).cast(treat.schema[c].dataType) for c in treat.columns])
     out = dict(tables)
@@ -88,7 +119,7 @@ def book_appointments(tables: dict[str, DataFrame],
     own = F.nullif(F.col("patient_record_id"), F.lit(0))
     r = requests.select(
         "seq", F.when(is_pat & own.isNull(),
-                      F.lit("Patient record not found for this account")).alias("_reason"),
+                      F.lit(NO_OWN_RECORD)).alias("_reason"),
         F.when(is_pat, own).otherwise(F.col("PatientID")).alias("PatientID"), "DoctorID",
         "NurseID", "AppointmentDate", "AppointmentTime",
         F.when(is_pat, F.lit("Requested")).otherwise(F.coalesce(F.col("Status"), F.lit("Scheduled")))

@@ -518,36 +518,81 @@ def billing_refresh(spark, d):
     return _bills(B.refresh_billing(t, changed, now=F.lit(None)))
 
 
-def add_treatments_flow(spark, d):
-    """The add-treatments flow: every 'R' line item arrives as a JSON request
-    against bills built without them; requests of orders with key % 101 = 0
-    lack their AppointmentID and are rejected whole. Result: the new bills."""
-    from wardbook.operators.flows import add_treatments
+def _treatment_requests(spark, d):
+    """Tables before the 'R' line items, and these as JSON requests; ids of even keys
+    are sent as strings, and keys divisible by 101, 97, 89, 83, 79 or 73 (the first
+    that fits) make faulty bodies."""
     t = _tables(spark, d)
     t["BillingRecord"] = _old_bills(t)
     t["Treatment"] = t["Treatment"].filter(F.col("TreatmentName") != "R")
     li = _raw(spark, d, "lineitem").filter(F.col("l_returnflag") == "R")
-    item = F.struct(
-        F.col("l_partkey").alias("DiagnosisID"),
-        F.when(F.col("l_orderkey") % 101 != 0, F.col("l_orderkey")).alias("AppointmentID"),
-        F.col("l_returnflag").alias("TreatmentName"),
-        F.col("l_extendedprice").cast("decimal(10,2)").alias("TreatmentCost"))
-    reqs = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("request_id"),
-                     F.to_json(item).alias("body"))
+    key = F.col("l_orderkey")
+    by = lambda n: key % n == 0
+    appointment = F.when(by(101), F.lit(None)).when(by(97), -key).otherwise(key)
+    cost = F.col("l_extendedprice").cast("decimal(10,2)").cast("string")
+    fields = F.concat(
+        F.lit('{"DiagnosisID": '), F.col("l_partkey").cast("string"),
+        F.coalesce(F.concat(F.lit(', "AppointmentID": '), F.when(key % 2 == 0, F.concat(F.lit('"'), appointment.cast("string"), F.lit('"'))).otherwise(appointment.cast("string"))), F.lit("")),
+        F.lit(', "TreatmentName": "R", "TreatmentCost": '), F.when(by(89), F.lit('"abc"')).when(by(83), F.lit("null")).otherwise(cost), F.lit("}"))
+    sound = ~(by(101) | by(97) | by(89) | by(83))
+    body = F.when(sound & by(79), F.lit("[]")).when(sound & by(73), F.lit('{"AppointmentID": ')).otherwise(fields)
+    return t, li.select((key * 8 + F.col("l_linenumber")).alias("request_id"), body.alias("body"))
+
+
+def add_treatments_flow(spark, d):
+    """The add-treatments flow: every 'R' line item arrives as a JSON request against
+    bills built without them; faulty ones are rejected whole. Result: the new bills."""
+    from wardbook.operators.flows import add_treatments
+    t, reqs = _treatment_requests(spark, d)
     out, _rejected = add_treatments(t, reqs)
     return _bills(out["BillingRecord"])
 
 
-def book_appointments_flow(spark, d):
-    """The booking flow: every low-priority order is re-booked 30 days later,
-    by its patient (even keys; no linked record when the customer key ends
-    in 5) or by reception (odd keys); some name unknown doctors. Result: the
-    new appointment rows with their keys and nurses."""
+def add_treatments_rejects(spark, d):
+    """The same flow's rejected requests with their reasons."""
+    from wardbook.operators.flows import add_treatments
+    t, reqs = _treatment_requests(spark, d)
+    return add_treatments(t, reqs)[1]
+
+
+def remove_treatments_flow(spark, d):
+    """Every 'A' treatment of an order with key % 3 = 0 removed, its bills re-derived."""
+    from wardbook.operators.flows import remove_treatments
+    t = _tables(spark, d)
+    gone = t["Treatment"].filter((F.col("TreatmentName") == "A") & (F.col("AppointmentID") % 3 == 0))
+    return _bills(remove_treatments(t, gone.select("TreatmentID"))["BillingRecord"])
+
+
+def diagnosis_mismatches(spark, d):
+    """V6: line items whose part's diagnosis is tied to another order (each part to the
+    order with the part's key)."""
+    from wardbook.operators.checks import diagnosis_mismatch
+    t = _tables(spark, d)
+    t["Diagnosis"] = t["Diagnosis"].withColumn("AppointmentID", F.col("DiagnosisID"))
+    return diagnosis_mismatch(t).select("TreatmentID", "DiagnosisID", "AppointmentID")
+
+
+def book_appointments_rejects(spark, d):
+    """The booking flow's rejected requests with their reasons."""
     from wardbook.operators.flows import book_appointments
+    return book_appointments(*_bookings(spark, d))[1].select("seq", "reason")
+
+
+def cascade_delete_doctors(spark, d):
+    """D7, SET NULL: doctors with key % 4 = 1 deleted; the appointments stay without a doctor."""
+    t = _tables(spark, d)
+    keys = t["Doctor"].filter(F.col("DoctorID") % 4 == 1).select("DoctorID")
+    return D.cascade_delete(t, "Doctor", keys)["Appointment"].select("AppointmentID", "DoctorID", "NurseID")
+
+
+def _bookings(spark, d):
+    """Every low-priority order re-booked 30 days later, by its patient (even keys; no
+    linked record when the customer key ends in 5) or by reception (odd keys); some
+    name unknown doctors."""
     t = _tables(spark, d)
     o = _raw(spark, d, "orders").filter(F.col("o_orderpriority") == "5-LOW")
     n_supp = _raw(spark, d, "supplier").select(F.count(F.lit(1))).scalar()
-    reqs = o.select(
+    return t, o.select(
         F.col("o_orderkey").alias("seq"),
         F.when(F.col("o_orderkey") % 2 == 0, F.lit("patient")).otherwise(F.lit("receptionist")).alias("role"),
         F.when(F.col("o_custkey") % 10 == 5, F.lit(None)).otherwise(F.col("o_custkey"))
@@ -557,6 +602,12 @@ def book_appointments_flow(spark, d):
         F.date_add(F.col("o_orderdate").cast("date"), 30).alias("AppointmentDate"),
         F.lit(36000).alias("AppointmentTime"), F.lit(None).cast("string").alias("Status"),
         F.col("o_orderpriority").alias("Purpose"))
+
+
+def book_appointments_flow(spark, d):
+    """The booking flow over ``_bookings``: the new appointment rows with their keys and nurses."""
+    from wardbook.operators.flows import book_appointments
+    t, reqs = _bookings(spark, d)
     out, _rejected = book_appointments(t, reqs)
     return out["Appointment"].join(t["Appointment"].select("AppointmentID"), "AppointmentID", "left_anti")
 
