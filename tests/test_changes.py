@@ -114,7 +114,7 @@ def test_expand_accounts(spark, seed):
     assert users["zed"]["full_name"] is None and users["doc2"]["full_name"] == ""
     assert sorted(u["id"] for u in users.values()) == [2, 3, 4, 5, 6, 7]
     rejected = {r["seq"]: r["reason"] for r in out["Rejected"].collect()}
-    assert rejected == {7: "invalid role", 8: "username already exists", 9: "username already exists"}
+    assert rejected == {7: "role not known", 8: "username taken", 9: "username taken"}
     patients = {r["PatientID"]: r for r in out["Patient"].collect()}
     assert (patients[31]["FirstName"], patients[31]["LastName"]) == ("Ann", "Lee")
     assert (patients[32]["FirstName"], patients[32]["LastName"]) == ("zed", "")
@@ -162,3 +162,12 @@ def test_null_and_tied_sequence_numbers(spark):
     assert sorted(map(tuple, update_by_key(t, ch, "k", ["v"], seq="seq").collect())) == [(1, "x"), (2, "y"), (3, "q")]
     new = spark.createDataFrame([(4, "n", 1), (4, "m", None)], "k int, v string, seq int")
     assert (4, "m") in map(tuple, insert_ignore(t, new, "k", seq="seq").collect())
+
+
+def test_usernames_without_regard_to_case(spark):
+    from wardbook.operators.changes import expand_accounts
+    feed = spark.createDataFrame([(1, "admin", "Bob", "doctor", "B", None, None, 1), (2, "admin", "bob ", "doctor", "B", None, None, 1)],
+                                 "seq int, source string, username string, role string, full_name string, specialty string, phone string, department_id long")
+    assert expand_accounts(feed, {})["Users"].count() == 2
+    out = expand_accounts(feed, {}, ci=True)
+    assert [tuple(r) for r in out["Rejected"].collect()] == [(2, "bob ", "username taken")] and out["Users"].count() == 1

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardbook.schema import DEFAULTS, FOREIGN_KEYS, PRIMARY_KEYS, topological_order
-from wardbook.functions.scalars import role_allowed, split_full_name
+from wardbook.functions.scalars import role_allowed, split_full_name, text_key
 from wardbook.session import cut_lineage
 
 
@@ -243,7 +243,11 @@ def cascade_rekey(T: dict[str, DataFrame], root: str, mapping: DataFrame) -> dic
 # D9 account creation feed
 # ---------------------------------------------------------------------------
 
-def expand_accounts(feed: DataFrame, T: dict[str, DataFrame]) -> dict[str, DataFrame]:
+# Reject reasons of account feeds (the library's own codes).
+NO_NAME, UNKNOWN_ROLE, NAME_TAKEN = "no username", "role not known", "username taken"
+
+
+def expand_accounts(feed: DataFrame, T: dict[str, DataFrame], ci: bool = False) -> dict[str, DataFrame]:
     """Turn an account feed into new Users rows plus staff or patient rows.
 
     ``feed``: (seq, source 'register'|'admin', username, role, full_name,
@@ -257,27 +261,29 @@ def expand_accounts(feed: DataFrame, T: dict[str, DataFrame]) -> dict[str, DataF
 
     Rejected (in ``Rejected``, with a reason): an empty username, an unknown
     role, and a username that already exists or appeared earlier in the feed
-    (in ``seq`` order). Returns the new rows of Users, Patient, Doctor and
-    Nurse (keys assigned after each table's maximum) and ``Rejected``.
+    (in ``seq`` order; with ``ci`` names that differ only in case, accents or
+    trailing spaces are the same). The checked feed is computed once and stored;
+    all outputs read that copy. Returns the new rows of Users, Patient, Doctor
+    and Nurse (keys assigned after each table's maximum) and ``Rejected``.
     """
     reg_src = F.col("source") == "register"
     f = feed.withColumn("role", F.when(reg_src, F.lit("patient"))
                         .otherwise(F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("patient"))))
     # earliest feed row per username; later ones collide with it
-    first_seq = (f.filter(F.col("username").isNotNull()).groupBy("username")
+    f = f.withColumn("_name", text_key(F.col("username"), ci))
+    first_seq = (f.filter(F.col("_name").isNotNull()).groupBy("_name")
                  .agg(F.min("seq").alias("_first_seq")))
-    f = f.join(first_seq, "username", "left")
-    reason = F.when(F.length(F.coalesce(F.col("username"), F.lit(""))) == 0,
-                    F.lit("username required"))
-    reason = reason.when(~role_allowed(F.col("role")), F.lit("invalid role"))
-    reason = reason.when(F.col("seq") != F.col("_first_seq"), F.lit("username already exists"))
+    f = f.join(first_seq, "_name", "left")
+    reason = F.when(F.length(F.coalesce(F.col("username"), F.lit(""))) == 0, F.lit(NO_NAME))
+    reason = reason.when(~role_allowed(F.col("role")), F.lit(UNKNOWN_ROLE))
+    reason = reason.when(F.col("seq") != F.col("_first_seq"), F.lit(NAME_TAKEN))
     if "Users" in T:
-        mentioned = f.select("username").filter(F.col("username").isNotNull())
-        taken = (T["Users"].select("username").join(mentioned, "username", "left_semi").distinct()
+        mentioned = f.select("_name").filter(F.col("_name").isNotNull())
+        taken = (T["Users"].select(text_key(F.col("username"), ci).alias("_name")).join(mentioned, "_name", "left_semi").distinct()
                  .withColumn("_taken", F.lit(True)))
-        f = f.join(taken, "username", "left")
-        reason = reason.when(F.col("_taken"), F.lit("username already exists"))
-    f = f.withColumn("_reason", reason)
+        f = f.join(taken, "_name", "left")
+        reason = reason.when(F.col("_taken"), F.lit(NAME_TAKEN))
+    f = cut_lineage(f.withColumn("_reason", reason).drop("_name"))
     rejected = f.filter(F.col("_reason").isNotNull()).select("seq", "username", F.col("_reason").alias("reason"))
     f = f.filter(F.col("_reason").isNull())
 

@@ -480,6 +480,15 @@ def expand_accounts(spark, d):
     return D.expand_accounts(_account_feed(spark, d), _tables(spark, d))["Users"]
 
 
+def expand_accounts_rejects(spark, d):
+    """What a feed with empty and repeated usernames and unknown roles has rejected."""
+    k = F.col("seq")
+    feed = _account_feed(spark, d).withColumn(
+        "username", F.when(k % 50 == 7, F.lit("")).when(k % 20 == 3, F.concat(F.lit("user"), (k - 1).cast("string")))
+        .otherwise(F.col("username")))
+    return D.expand_accounts(feed, _tables(spark, d))["Rejected"]
+
+
 def expand_accounts_staff(spark, d):
     """The Doctor and Nurse rows the same feed creates (names split at the
     first space, or the username when there is no name)."""
