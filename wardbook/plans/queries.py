@@ -139,8 +139,17 @@ def treatments_list(spark, d):
 
 
 def empty_scope(spark, d):
-    """The appointments under a false filter (no rows, schema kept)."""
-    return L.empty_like(_tables(spark, d)["Appointment"])
+    """What each patient account sees; accounts without a record (customer keys that
+    end in 5) have the empty scope, and see nothing."""
+    t = _tables(spark, d)
+    accounts = t["Patient"].select(
+        F.col("PatientID").alias("account"),
+        F.when(F.col("PatientID") % 10 != 5, F.col("PatientID")).alias("record"))
+    linked = accounts.where(F.col("record").isNotNull())
+    visible = t["Appointment"].groupBy("PatientID").agg(F.count(F.lit(1)).alias("n"))
+    seen = linked.join(visible, linked["record"] == visible["PatientID"], "left").select("account", F.coalesce("n", F.lit(0)).alias("n"))
+    none = accounts.where(F.col("record").isNull()).select("account", F.lit(0).cast("long").alias("n"))
+    return seen.unionByName(none)
 
 
 def cancellable_appts(spark, d):
