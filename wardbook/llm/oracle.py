@@ -43,4 +43,33 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
        sha256(coalesce(c.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN c ON d.doc_id = c.doc_id"""
 
-ORACLE = {"op3_mix_sources": MIX_QUERY, "op9_decontaminate": DECONTAMINATE}
+JACCARD = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS t FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x AS u, y AS v FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(node) AS component_id FROM r GROUP BY 1) c ON c.doc_id = d.doc_id"""
+
+_LATER = """
+k AS (SELECT doc_id, unnest(range(1, len(w) - {n} + 2)) AS i, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], {join}))) AS t
+      FROM d WHERE len(w) >= {n}),
+x AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS place FROM k WHERE {where}) WHERE place > 1),
+g AS (SELECT doc_id, list(j) AS js FROM (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS j FROM x) GROUP BY 1),
+y AS (SELECT d.doc_id, len(w) AS n, coalesce(len(js), 0) AS gone,
+             CASE WHEN js IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(js, i)), lambda i: w[i]) END AS kept
+      FROM d LEFT JOIN g ON g.doc_id = d.doc_id)"""
+
+DEDUP_LINES = ("WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS w FROM documents),"
+               + _LATER.format(n=3, join="chr(10)", where="t <> chr(10) || chr(10)") + """
+SELECT doc_id, n::BIGINT AS n_lines, gone::BIGINT AS n_removed, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM y""")
+
+DEDUP_SUBSTRINGS = (r"WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),"
+                    + _LATER.format(n=20, join="' '", where="true") + """
+SELECT doc_id, n::BIGINT AS n_words, gone::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM y""")
+
+ORACLE = {"op1_jaccard_join": JACCARD, "op2_dedup_lines": DEDUP_LINES, "op3_mix_sources": MIX_QUERY,
+          "op9_decontaminate": DECONTAMINATE, "op10_dedup_substrings": DEDUP_SUBSTRINGS}
