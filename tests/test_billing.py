@@ -193,3 +193,11 @@ def test_payment_method_rule(spark, seed):
     got = {r["BillingID"]: r["PaymentMethod"] for r in B.apply_payments(bills, ledger, seq="seq").collect()}
     assert got == {1: "Cash", 2: "Wire"}
     assert {r["BillingID"]: r["PaymentMethod"] for r in B.apply_payments(bills, ledger.drop("seq")).collect()}[1] == "Wire"
+
+
+def test_statuses_without_regard_to_case(spark, seed):
+    from wardbook.operators.listings import payable_bills
+    a = seed["Appointment"].where("AppointmentID = 1").withColumn("Status", F.lit("requested "))
+    assert B.approve_requests(a).first()["Status"] == "requested " and B.approve_requests(a, ci=True).first()["Status"] == "Scheduled"
+    b = seed["BillingRecord"].where("AmountOwed > AmountPaid").limit(1).withColumn("PaymentStatus", F.lit("CANCELED"))
+    assert payable_bills(b).count() == 1 and payable_bills(b, ci=True).count() == 0

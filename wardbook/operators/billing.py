@@ -277,9 +277,9 @@ def set_status(billing: DataFrame, changes: DataFrame, key: str = "BillingID",
     return j.select(*out)
 
 
-def approve_requests(appointments: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+def approve_requests(appointments: DataFrame, keys: DataFrame | None = None, ci: bool = False) -> DataFrame:
     """Requested appointments (all, or those in ``keys``) become Scheduled."""
-    cond = F.col("Status") == "Requested"
+    cond = text_key(F.col("Status"), ci) == "Requested"
     if keys is not None:
         k = keys.select("AppointmentID").distinct().withColumn("_pick", F.lit(True))
         appointments = appointments.join(k, "AppointmentID", "left")

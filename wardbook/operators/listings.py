@@ -55,10 +55,11 @@ def cancellable_appointments(appts: DataFrame, ci: bool = False) -> DataFrame:
     return appts.filter((s == "Requested") | (s == "Scheduled"))
 
 
-def payable_bills(billing: DataFrame) -> DataFrame:
+def payable_bills(billing: DataFrame, ci: bool = False) -> DataFrame:
     """Bills not Canceled with a positive balance."""
+    s = text_key(F.col("PaymentStatus"), ci)
     return (with_balance(billing)
-            .filter(~F.col("PaymentStatus").eqNullSafe(F.lit("Canceled"))
+            .filter((s.isNull() | (s != "Canceled"))
                     & (F.col("BalanceDue") > 0)))
 
 
