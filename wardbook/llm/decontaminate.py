@@ -66,7 +66,8 @@ class Windows:
             self.grams[k] = (np.concatenate([g for g, _ in rows]),
                              np.concatenate([np.full(len(g), i) for g, i in rows]),
                              np.concatenate([np.arange(len(g)) for g, _ in rows]))
-        self.whole = np.array([textops.fold(x) for x in self.words], np.uint64)
+        # the words of all windows of one length, and the row of each window there
+        self.by_length = {int(n): (np.stack([x for x in self.words if len(x) == n]), np.cumsum(self.length == n) - 1) for n in np.unique(self.length)}
 
     def prefixes(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
         """Keep of each window its rarest shingle (ties: smaller hash, then offset)."""
@@ -78,7 +79,7 @@ class Windows:
             first = order[np.r_[True, np.diff(window[order]) != 0]]
             first = first[np.argsort(gram[first], kind="stable")]
             self.prefix[k] = Lookup(gram[first]), window[first], offset[first]
-        del self.grams
+        del self.grams, self.words
 
 
 class Lookup:
@@ -147,8 +148,7 @@ def _matches(w: textops.Words, h: np.ndarray, windows: Windows) -> tuple[np.ndar
         for length in np.unique(windows.length[win]):
             own = windows.length[win] == length
             s, x = start[own], win[own]
-            want = np.stack([windows.words[i] for i in range(len(windows.words)) if len(windows.words[i]) == length])
-            row = np.cumsum(windows.length == length) - 1
+            want, row = windows.by_length[int(length)]
             ok = (h[s[:, None] + np.arange(length)] == want[row[x]]).all(axis=1)
             starts.append(s[ok])
             ids.append(x[ok])
