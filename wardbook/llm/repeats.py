@@ -21,7 +21,7 @@ from wardbook.llm import blobs, frames
 
 U64 = np.uint64
 LAST = (1 << 63) - 1
-FLUSH = 1_000_000
+FLUSH = 600_000
 SENT = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("check", pa.binary()), ("doc", pa.binary()), ("crc", pa.binary()), ("place", pa.binary()), ("more", pa.binary())])
 SENT_SQL = "bucket int, key binary, check binary, doc binary, crc binary, place binary, more binary"
 PLACES = pa.schema([("doc", pa.int64()), ("crc", pa.int64()), ("places", pa.list_(pa.int32()))])

@@ -183,7 +183,7 @@ def _pieces(docs: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
                 n = np.minimum(at + length, w.first[t + 1]) - begin
                 parts.append((gram[at], doc[lo + t], crc[lo + t].astype(np.uint32), (begin - w.first[t]).astype(np.int32), n, blobs.take((h >> U64(32)).astype(np.uint32), begin, n)))
                 size += len(at)
-                if size > 150_000:
+                if size > 80_000:
                     yield flush()
                     size = 0
         if parts:
