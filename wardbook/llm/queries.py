@@ -14,6 +14,7 @@ from wardbook.llm.line_dedup import dedup_lines
 from wardbook.llm.lm_score import in_training, score_documents
 from wardbook.llm.mixing import mix_sources, with_quality, word_count
 from wardbook.llm.nearest import nearest
+from wardbook.llm.prefix_trie import code_turns, graft, joined_sha256, trie_of
 from wardbook.llm.pseudonyms import pseudonymise
 from wardbook.llm.substring_dedup import dedup_substrings
 from wardbook.llm.token_counts import token_counts
@@ -96,5 +97,14 @@ def op10_dedup_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    coded = cut_lineage(code_turns(table(spark, sf_dir, "conversations")))
+    trie = trie_of(graft(coded))
+    nodes = trie.nodes.join(joined_sha256(trie.ends, "node", "conv"), "node", "left")
+    return nodes.select(F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+                        F.col("saved").alias("saved_tokens"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_dedup_lines, op3_mix_sources, op4_score_documents, op5_nearest, op6_language_id, op7_pseudonyms, op8_token_counts,
-                                         op9_decontaminate, op10_dedup_substrings)}
+                                         op9_decontaminate, op10_dedup_substrings, op11_prefix_trie)}
