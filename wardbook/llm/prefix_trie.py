@@ -33,7 +33,6 @@ from wardbook.session import cut_lineage
 
 #: key of the root
 ROOT = md5(b"").digest()
-_EMPTY = F.lit(b"")
 
 
 @dataclass
@@ -65,17 +64,20 @@ def code_turns(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
 
 
 def _blocks(coded: DataFrame, head: int, width: int) -> DataFrame:
-    """conv, block, total (the conversation's turns), codes of the block: ``head`` turns in the first, ``width`` in each further one."""
+    """conv, block, rest (turns from the block's start on), codes of the block: ``head`` turns in the first, ``width`` in each further one."""
     of = W.partitionBy("conv")
     at = F.count("code").over(of.orderBy(F.asc_nulls_first("at"), "code").rowsBetween(W.unboundedPreceding, W.currentRow)) - 1
     placed = coded.select("conv", "code", at.alias("at"), F.count("code").over(of).alias("total"))
     block = F.when(F.col("at") < head, F.lit(0)).otherwise(F.floor((F.col("at") - head) / width) + 1).cast("int")
     turn = F.when(F.col("code").isNotNull(), F.struct("at", "code"))
-    return placed.groupBy("conv", block.alias("block")).agg(F.first("total").alias("total"), F.sort_array(F.collect_list(turn)).alias("t")).select("conv", "block", "total", F.col("t.code").alias("t"))
+    rows = placed.groupBy("conv", block.alias("block")).agg(F.first("total").alias("total"), F.sort_array(F.collect_list(turn)).alias("t"))
+    return rows.selectExpr("conv", "block", f"total - if(block = 0, 0, {head} + (block - 1) * {width}) AS rest", "t.code AS t")
 
 
-def _key(prev: Column, codes: list[Column]) -> Column:
-    return F.unhex(F.md5(F.concat(prev, *[F.coalesce(c, _EMPTY) for c in codes])))
+def _key(width: int, among: str = "") -> str:
+    """SQL: the key of the prefix (prev, c0, c1, ...); ``among`` limits the positions, as a condition on i."""
+    codes = [f"if({among.format(i=i)}, c{i}, null)" if among else f"c{i}" for i in range(width)]
+    return f"unhex(md5(concat(prev, {', '.join(f'coalesce({c}, X{chr(39) * 2})' for c in codes)})))"
 
 
 def _rolled(rows: DataFrame, width: int, *sums: Column) -> DataFrame:
@@ -83,66 +85,66 @@ def _rolled(rows: DataFrame, width: int, *sums: Column) -> DataFrame:
     cols = [f"c{i}" for i in range(width)]
     rolled = rows.rollup("prev", *cols).agg(*sums, F.grouping_id().alias("gid"))
     level = (F.lit(width + 1) - F.length(F.bin(F.col("gid") + 1))).cast("int")
-    last = F.get(F.array(*cols), level - 1)
+    last = F.expr(f"get(array({', '.join(cols)}), level - 1)")
     # a prefix longer than its conversation ends in null: no node
-    return rolled.withColumns({"level": level, "last": last}).where("level = 0 or last is not null")
+    return rolled.withColumn("level", level).withColumn("last", last).where("level = 0 or last is not null")
 
 
-def _nodes(rows: DataFrame, width: int, start: int) -> DataFrame:
+def _nodes(rows: DataFrame, width: int) -> DataFrame:
     """prev, c0.., level, conv, n_convs, leaf of the block's nodes (level 0: the node that the block hangs on)."""
-    out = _rolled(rows, width, F.min("conv").alias("conv"), F.count("*").alias("n_convs"), F.max("total").alias("longest"))
-    return out.withColumn("leaf", F.col("longest") == F.col("level") + start).drop("gid", "longest")
+    flat = rows.selectExpr("conv", "rest", "prev", *[f"get(t, {i}) AS c{i}" for i in range(width)])
+    out = _rolled(flat, width, F.min("conv").alias("conv"), F.count("*").alias("n_convs"), F.max("rest").alias("longest"))
+    return out.withColumn("leaf", F.col("longest") == F.col("level")).drop("gid", "longest")
 
 
 def _below(nodes: DataFrame, width: int) -> DataFrame:
     """For each prefix its own node and the sums over the nodes that start with it."""
     own = F.min(F.struct("level", "conv", "n_convs")).alias("own")
-    return _rolled(nodes, width, own, F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved")).drop("gid")
+    sums = _rolled(nodes, width, own, F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
+    parent = f"CASE WHEN level = 1 THEN prev WHEN level > 1 THEN {_key(width, '{i} < level - 1')} END AS parent"
+    return sums.where("prev is not null").selectExpr(f"if(level = 0, prev, {_key(width)}) AS node", parent, "level", "own.conv AS conv", "own.n_convs AS n_convs", "leaves", "saved")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def trie_of(coded: DataFrame, head: int = 8, width: int = 32) -> Trie:
     """The trie of ``coded``: conv, at (any order), code; a null code only names a conversation."""
     blocks = cut_lineage(_blocks(coded, head, width))
-    deepest = blocks.agg(F.max("block")).first()[0]
-    if deepest is None:
-        deepest = 0
-    root, layers, ends = F.lit(ROOT), [], []
+    deepest = blocks.agg(F.max("block")).first()[0] or 0
+    end = "if(size(t) = 0, prev, unhex(md5(aggregate(t, prev, (path, code) -> concat(path, code))))) AS node"
+    rows, layers, ends = blocks.where("block = 0").withColumn("prev", F.lit(ROOT)), [], []
     for k in range(deepest + 1):
-        w, start = (head, 0) if k == 0 else (width, head + (k - 1) * width)
-        rows = blocks.where(F.col("block") == k)
-        rows = rows.withColumn("prev", root) if k == 0 else rows.join(ends[-1].where("goes_on").select("conv", F.col("node").alias("prev")), "conv")
-        codes = [F.get("t", F.lit(i)) for i in range(w)]
-        node = F.when(F.size("t") == 0, F.col("prev")).otherwise(_key(F.col("prev"), codes))
-        ends.append(cut_lineage(rows.select("conv", node.alias("node"), (F.col("total") > start + w).alias("goes_on"))))
-        flat = rows.select("conv", "total", "prev", *[c.alias(f"c{i}") for i, c in enumerate(codes)])
-        layers.append((cut_lineage(_nodes(flat, w, start)), w, start))
+        w = width if k else head
+        # written before the rollup, so that the blocks' wide plans are the same and compile once
+        rows = cut_lineage(rows.selectExpr("conv", "rest", "prev", "t", end))
+        layers.append(cut_lineage(_nodes(rows, w)))
+        ends.append(rows.where(F.col("rest") <= w).select("node", "conv"))
+        rows = blocks.where(F.col("block") == k + 1).join(rows.where(F.col("rest") > w).select("conv", F.col("node").alias("prev")), "conv")
 
     done, carry = [], None
     for k in range(deepest, -1, -1):
-        nodes, w, start = layers[k]
-        cols = [F.col(f"c{i}") for i in range(w)]
-        own = nodes.withColumns({"leaves": F.col("leaf").cast("long"), "saved": (F.col("n_convs") - 1) * F.coalesce(_size(F.col("last")), F.lit(0))})
-        own = own.drop("leaf", "last")
+        w = width if k else head
+        own = layers[k].withColumns({"leaves": F.col("leaf").cast("long"), "saved": (F.col("n_convs") - 1) * F.coalesce(_size(F.col("last")), F.lit(0))}).drop("leaf", "last")
         # the node that a block hangs on belongs to the block before; the root to the first
         own = own.where("level > 0") if k else own
         if carry is not None:
-            own = own.withColumn("node", F.when(F.col("level") == 0, F.col("prev")).otherwise(_key(F.col("prev"), cols)))
-            own = own.join(carry, "node", "left").withColumns({"leaves": F.col("leaves") + F.coalesce("more_leaves", F.lit(0)), "saved": F.col("saved") + F.coalesce("more_saved", F.lit(0))})
+            own = own.withColumn("node", F.expr(f"if(level = 0, prev, {_key(w)})")).join(carry, "node", "left")
+            own = own.withColumns({c: F.expr(f"{c} + coalesce(more_{c}, 0)") for c in ("leaves", "saved")})
         sums = cut_lineage(_below(own, w))
-        inner = [F.when(F.lit(i) < F.col("level") - 1, c) for i, c in enumerate(cols)]
-        parent = F.when(F.col("level") == 1, F.col("prev")).when(F.col("level") > 1, _key(F.col("prev"), inner))
-        node = F.when(F.col("level") == 0, F.col("prev")).otherwise(_key(F.col("prev"), cols))
-        kept = sums.where("level > 0") if k else sums.where("prev is not null")
-        done.append(kept.select(node.alias("node"), parent.alias("parent"), (F.col("level") + start).cast("long").alias("depth"),
-                                F.col("own.conv").alias("conv"), F.col("own.n_convs").alias("n_convs"), F.col("leaves").alias("n_leaves"), "saved"))
-        carry = sums.where("level = 0 and prev is not null").select(F.col("prev").alias("node"), F.col("leaves").alias("more_leaves"), F.col("saved").alias("more_saved"))
-
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    nodes = cut_lineage(union(done))
+        start = head + (k - 1) * width if k else 0
+        done.append((sums.where("level > 0") if k else sums).selectExpr("node", "parent", f"CAST(level + {start} AS BIGINT) AS depth", "conv", "n_convs", "leaves AS n_leaves", "saved"))
+        carry = sums.where("level = 0").selectExpr("node", "leaves AS more_leaves", "saved AS more_saved")
+
+    nodes = cut_lineage(_union(done))
     children = nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
     above = nodes.select(F.col("node").alias("parent"), F.col("conv").alias("parent_conv"))
     nodes = nodes.join(above, "parent", "left").join(children, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long")))
-    return Trie(nodes, union([e.where("not goes_on").select("node", "conv") for e in ends]))
+    return Trie(nodes, _union(ends))
 
 
 def prefix_trie(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> Trie:
