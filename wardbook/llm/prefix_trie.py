@@ -98,11 +98,10 @@ def _nodes(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _below(nodes: DataFrame, width: int) -> DataFrame:
-    """For each prefix its own node and the sums over the nodes that start with it."""
-    own = F.min(F.struct("level", "conv", "n_convs")).alias("own")
-    sums = _rolled(nodes, width, own, F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
+    """For each prefix its own node (of the nodes that start with it the one with the most members) and the sums over these nodes."""
+    sums = _rolled(nodes, width, F.min("conv").alias("conv"), F.max("n_convs").alias("n_convs"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
     parent = f"CASE WHEN level = 1 THEN prev WHEN level > 1 THEN {_key(width, '{i} < level - 1')} END AS parent"
-    return sums.where("prev is not null").selectExpr(f"if(level = 0, prev, {_key(width)}) AS node", parent, "level", "own.conv AS conv", "own.n_convs AS n_convs", "leaves", "saved")
+    return sums.where("prev is not null").selectExpr(f"if(level = 0, prev, {_key(width)}) AS node", parent, "level", "conv", "n_convs", "leaves", "saved")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

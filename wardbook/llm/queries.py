@@ -16,6 +16,7 @@ from wardbook.llm.mixing import mix_sources, with_quality, word_count
 from wardbook.llm.nearest import nearest
 from wardbook.llm.prefix_trie import code_turns, graft, joined_sha256, trie_of
 from wardbook.llm.pseudonyms import pseudonymise
+from wardbook.llm.spelling import spelling_variants, word_counts
 from wardbook.llm.substring_dedup import dedup_substrings
 from wardbook.llm.token_counts import token_counts
 from wardbook.session import cut_lineage
@@ -106,5 +107,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("saved").alias("saved_tokens"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of at least three occurrences with its near words, form and root."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling_variants(word_counts(docs, least=5, every=97).where("n >= 3"), ratio=2)
+
+
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_dedup_lines, op3_mix_sources, op4_score_documents, op5_nearest, op6_language_id, op7_pseudonyms, op8_token_counts,
-                                         op9_decontaminate, op10_dedup_substrings, op11_prefix_trie)}
+                                         op9_decontaminate, op10_dedup_substrings, op11_prefix_trie, op13_spelling_variants)}
