@@ -16,6 +16,7 @@ from wardbook.llm.mixing import mix_sources, with_quality, word_count
 from wardbook.llm.nearest import nearest
 from wardbook.llm.prefix_trie import code_turns, graft, joined_sha256, trie_of
 from wardbook.llm.pseudonyms import pseudonymise
+from wardbook.llm.scaled_sketch import sketch_edits
 from wardbook.llm.spelling import spelling_variants, word_counts
 from wardbook.llm.substring_dedup import dedup_substrings
 from wardbook.llm.token_counts import token_counts
@@ -107,6 +108,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("saved").alias("saved_tokens"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and of its edited text; likeness is the share of the document's sketch that the other has."""
+    text = lambda c: F.translate(F.base64(c), "\r\n", "")
+    out = sketch_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", text("sketch").alias("fingerprint"), text("edited_sketch").alias("edited_fingerprint"),
+                      F.col("in_edited").alias("near_edited"), F.col("in_next").alias("near_next"), F.col("like_edited").alias("jaccard_edited"), F.col("like_next").alias("jaccard_next"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of at least three occurrences with its near words, form and root."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -114,4 +123,4 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_dedup_lines, op3_mix_sources, op4_score_documents, op5_nearest, op6_language_id, op7_pseudonyms, op8_token_counts,
-                                         op9_decontaminate, op10_dedup_substrings, op11_prefix_trie, op13_spelling_variants)}
+                                         op9_decontaminate, op10_dedup_substrings, op11_prefix_trie, op12_fingerprints, op13_spelling_variants)}
