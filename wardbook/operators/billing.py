@@ -23,9 +23,12 @@ BILL_COLUMNS = ["BillingID", "PatientID", "AppointmentID", "TotalCost", "Insuran
 
 def paid_per_appointment(ledger: DataFrame, key: str = "AppointmentID",
                          amount: str = "Amount") -> DataFrame:
-    """Sum a payment ledger per bill key: (key, AmountPaid). Partial sums map-side."""
+    """Sum a payment ledger per bill key: (key, AmountPaid). Partial sums map-side.
+
+    Payments that don't fit the column are left out, and a total that doesn't fit is
+    NULL: one of them stops nothing else (``payment_rejects`` lists both)."""
     return (ledger.groupBy(key)
-            .agg(money_sum(F.col(amount)).cast(MONEY).alias("AmountPaid")))
+            .agg(money_sum(F.col(amount).try_cast(MONEY)).try_cast(MONEY).alias("AmountPaid")))
 
 
 def bill_status(appt_status: Column, owed: Column, paid: Column, ci: bool = False) -> Column:
@@ -138,14 +141,15 @@ def billing_rejects(T: dict[str, DataFrame], keys: DataFrame | None = None) -> D
 
 
 def merge_billing(billing: DataFrame, derived: DataFrame, now: Column | None = None,
-                  id_source: DataFrame | None = None) -> DataFrame:
+                  id_source: DataFrame | None = None, new_id: Column | None = None) -> DataFrame:
     """B2: upsert derived bills into ``billing`` keyed by AppointmentID.
 
     On a match only TotalCost, InsuranceCoverage, AmountOwed, PaymentStatus and
     BillingDate change; PatientID, AmountPaid, PaymentMethod stay. New bills
     start with AmountPaid 0 and get BillingIDs after the current maximum.
     UpdatedAt moves only on rows whose values changed. ``id_source`` is the
-    table whose maximum BillingID new ids follow (default: ``billing``).
+    table whose maximum BillingID new ids follow (default: ``billing``); ``new_id``
+    gives the ids of new bills instead, as an expression on the bill's columns.
 
     Plan: one full outer join, materialized once in the checkpoint folder;
     the rows that need an id are numbered from that copy, so the derivation
@@ -168,6 +172,8 @@ def merge_billing(billing: DataFrame, derived: DataFrame, now: Column | None = N
             cols.append(F.when(in_src, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c))
         elif c == "PatientID":
             cols.append(F.when(in_tgt, F.col(c)).otherwise(F.col("_n_PatientID")).alias(c))
+        elif c == "BillingID" and new_id is not None:
+            cols.append(F.when(in_tgt, F.col(c)).otherwise(new_id).cast(billing.schema[c].dataType).alias(c))
         elif c == "AmountPaid":
             cols.append(F.when(in_tgt, F.col(c)).otherwise(F.lit(0).cast(MONEY)).alias(c))
         elif c == "UpdatedAt":
@@ -175,6 +181,8 @@ def merge_billing(billing: DataFrame, derived: DataFrame, now: Column | None = N
                         .cast("timestamp").alias(c))
         else:
             cols.append(F.col(c))
+    if new_id is not None:
+        return j.select(*cols)
     merged = cut_lineage(j.select(*cols, in_tgt.alias("_old")))
     keep = merged.filter(F.col("_old")).drop("_old")
     new = merged.filter(~F.col("_old")).drop("_old")
@@ -210,6 +218,25 @@ def regenerate_billing(T: dict[str, DataFrame], appointment_ids: DataFrame,
     return refresh_billing(T, appointment_ids.select("AppointmentID"), now)
 
 
+# Reject reasons of payments (the library's own codes).
+NO_AMOUNT, AMOUNT_RANGE, TOTAL_RANGE, NO_BILL = "no amount", "amount out of range", "total out of range", "unknown bill"
+
+
+def payment_fault(amount: Column) -> Column:
+    """Why a payment can't be counted whatever its bill (NULL: it can)."""
+    return F.when(amount.isNull(), F.lit(NO_AMOUNT)).when(amount.try_cast(MONEY).isNull(), F.lit(AMOUNT_RANGE))
+
+
+def _added(ledger: DataFrame, key: str, *more: Column) -> DataFrame:
+    """Each bill's countable payments: (key, _add, ...)."""
+    sound = ledger.filter(payment_fault(F.col("Amount")).isNull())
+    return sound.groupBy(key).agg(money_sum(F.col("Amount").try_cast(MONEY)).alias("_add"), *more)
+
+
+def _new_paid() -> Column:
+    return (F.coalesce(F.col("AmountPaid"), F.lit(0).cast(MONEY)) + F.col("_add")).try_cast(MONEY)
+
+
 def apply_payments(billing: DataFrame, ledger: DataFrame, key: str = "BillingID",
                    seq: str | None = None) -> DataFrame:
     """Add each bill's payments to AmountPaid and re-derive its status.
@@ -219,32 +246,35 @@ def apply_payments(billing: DataFrame, ledger: DataFrame, key: str = "BillingID"
     else Unpaid, also over Canceled. The method is the last non-empty one by
     ``seq`` (a NULL seq comes first; ties, and ledgers without ``seq``: the
     method that sorts last), else the bill's own. Bills without payments are
-    untouched.
+    untouched. A payment without an amount or beyond the column's range is left
+    out; a bill whose new total would be beyond it stays as it was, with all the
+    others going on (``payment_rejects`` lists what was left out).
     """
-    aggs = [money_sum(F.col("Amount")).alias("_add")]
+    more = []
     if "PaymentMethod" in ledger.columns:
         m = F.when(F.length(F.coalesce(F.col("PaymentMethod"), F.lit(""))) > 0,
                    F.col("PaymentMethod"))
-        aggs.append(F.max_by(m, F.when(m.isNotNull(), F.struct(F.col(seq), m) if seq else m)).alias("_method"))
-    per_bill = ledger.groupBy(key).agg(*aggs).withColumn("_hit", F.lit(True))
-    j = billing.join(per_bill, key, "left")
-    hit = F.col("_hit").isNotNull()
-    new_paid = (F.col("AmountPaid") + F.coalesce(F.col("_add"), F.lit(0))).cast(MONEY)
+        more.append(F.max_by(m, F.when(m.isNotNull(), F.struct(F.col(seq), m) if seq else m)).alias("_method"))
+    per_bill = _added(ledger, key, *more)
+    j = billing.join(per_bill, key, "left").withColumn("_paid", _new_paid())
+    hit, new_paid = F.col("_paid").isNotNull(), F.col("_paid")
     status = (F.when(new_paid >= F.col("AmountOwed"), F.lit("Paid"))
                .when(new_paid > 0, F.lit("Partial")).otherwise(F.lit("Unpaid")))
     method = F.coalesce(F.col("_method"), F.col("PaymentMethod")) \
         if "_method" in per_bill.columns else F.col("PaymentMethod")
-    out = []
-    for c in billing.columns:
-        if c == "AmountPaid":
-            out.append(F.when(hit, new_paid).otherwise(F.col(c)).alias(c))
-        elif c == "PaymentStatus":
-            out.append(F.when(hit, status).otherwise(F.col(c)).alias(c))
-        elif c == "PaymentMethod":
-            out.append(F.when(hit, method).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
-    return j.select(*out)
+    new = {"AmountPaid": new_paid, "PaymentStatus": status, "PaymentMethod": method}
+    return j.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in billing.columns])
+
+
+def payment_rejects(billing: DataFrame, ledger: DataFrame, key: str = "BillingID") -> DataFrame:
+    """The payments that ``apply_payments`` leaves out, each with all its columns and a reason:
+    no amount, an amount or (for all sound payments of the bill) a new total beyond
+    the column's range, or a bill that does not exist."""
+    over = (billing.join(_added(ledger, key), key).filter(_new_paid().isNull()).select(key, F.lit(True).alias("_over")))
+    known = billing.select(key, F.lit(True).alias("_known"))
+    j = ledger.join(known, key, "left").join(over, key, "left")
+    reason = F.coalesce(payment_fault(F.col("Amount")), F.when(F.col("_known").isNull(), F.lit(NO_BILL)), F.when(F.col("_over"), F.lit(TOTAL_RANGE)))
+    return j.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(*ledger.columns, "reason")
 
 
 def unmatched_changes(billing: DataFrame, changes: DataFrame, key: str = "BillingID") -> DataFrame:

@@ -23,8 +23,8 @@ from wardbook.operators import listings as L
 from wardbook.operators import reports as R
 from wardbook.operators import scope as X
 from wardbook.sources import json_io
-from wardbook.session import cut_lineage
-from wardbook.sources.tables import from_testdata, payments_from_events
+from wardbook.session import cut_lineage, scratch_path
+from wardbook.sources.tables import from_testdata, load_tables, payments_from_events, save_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +100,26 @@ def scan_nurses(spark, d):
     return _out(_tables(spark, d)["Nurse"])
 
 
+def load_mixed_layouts(spark, d):
+    """S1 + S5: a Patient folder of files from before and after two migrations (a new column,
+    wider keys), read as one table."""
+    p = _tables(spark, d)["Patient"]
+    root = scratch_path(spark, "layouts")
+    first = p.where("PatientID % 3 = 0").select(F.col("PatientID").cast("int"), "FirstName", "LastName")
+    second = p.where("PatientID % 3 = 1").select("PatientID", "FirstName", "LastName", F.col("ProviderID").cast("int"))
+    third = p.where("PatientID % 3 = 2").select("ProviderID", "PatientID", "LastName", "FirstName", F.lit("web").alias("Channel"))
+    for part in (first, second, third):
+        part.write.mode("append").parquet(f"{root}/Patient")
+    return load_tables(spark, root, ["Patient"])["Patient"].select("PatientID", "FirstName", "LastName", "DOB", "ProviderID", "Channel")
+
+
+def save_and_load(spark, d):
+    """S6 + S1: all bills saved in folders by payment status and read back."""
+    root = scratch_path(spark, "saved")
+    save_tables({"BillingRecord": _tables(spark, d)["BillingRecord"]}, root, partition_by={"BillingRecord": ["PaymentStatus"]})
+    return _bills(load_tables(spark, root, ["BillingRecord"])["BillingRecord"])
+
+
 def ingest_json_props(spark, d):
     """S3: the JSON text of every event's props parsed to its field k."""
     ev = _raw(spark, d, "events")
@@ -644,6 +664,28 @@ def payments_apply(spark, d):
     return _bills(B.apply_payments(bills, _ledger(t), key="AppointmentID", seq="seq"))
 
 
+def _faulty_ledger(t: dict[str, DataFrame]) -> DataFrame:
+    """The ledger with some payments that can't be booked, alone or with the bill's others."""
+    amount = F.col("Amount").cast("decimal(22,2)")
+    return _ledger(t).select(
+        F.when(F.col("seq") % 389 == 11, F.lit(-1)).otherwise(F.col("AppointmentID")).alias("AppointmentID"), "seq",
+        F.when(F.col("seq") % 97 == 3, amount * 1000000000).when(F.col("seq") % 101 == 7, F.lit(None))
+         .when(F.col("seq") % 409 == 5, F.lit("99999999.99").cast("decimal(22,2)")).otherwise(amount).cast("decimal(33,2)").alias("Amount"), "PaymentMethod")
+
+
+def payments_rejects(spark, d):
+    """The payments that can't be booked, each with its reason."""
+    t = _tables(spark, d)
+    out = B.payment_rejects(B.derive_billing(t), _faulty_ledger(t), key="AppointmentID")
+    return out.select("AppointmentID", "seq", F.col("Amount").cast("double").alias("Amount"), "reason")
+
+
+def payments_apply_faulty(spark, d):
+    """All bills after a ledger of which some payments can't be booked."""
+    t = _tables(spark, d)
+    return _bills(B.apply_payments(B.derive_billing(t), _faulty_ledger(t), key="AppointmentID", seq="seq"))
+
+
 def billing_set_status(spark, d):
     """Bills with key % 17 = 0 set to Paid by hand."""
     b = _tables(spark, d)["BillingRecord"]

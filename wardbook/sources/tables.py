@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 
 from wardbook.schema import MONEY, RATE, SCHEMAS
 from wardbook.session import scratch_path
@@ -12,18 +14,94 @@ from wardbook.session import scratch_path
 Tables = dict[str, DataFrame]
 
 
+# Decimal digits that a whole-number type may need.
+_DIGITS = {T.ByteType(): 3, T.ShortType(): 5, T.IntegerType(): 10, T.LongType(): 20}
+
+
+def widest(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """The type that holds all values of both and that the Parquet reader gives for
+    either; None where there is none (text and numbers, BIGINT and DOUBLE)."""
+    if a == b:
+        return a
+    if {a, b} == {T.DateType(), T.TimestampNTZType()}:
+        return T.TimestampNTZType()
+    if a in _DIGITS and b in _DIGITS:
+        return max(a, b, key=_DIGITS.__getitem__)
+    floats = (T.FloatType(), T.DoubleType())
+    if a in floats or b in floats:
+        return T.DoubleType() if all(x in floats or _DIGITS.get(x, 99) <= 10 for x in (a, b)) else None
+    parts = [(x.precision - x.scale, x.scale) if isinstance(x, T.DecimalType) else (_DIGITS[x], 0) for x in (a, b)
+             if isinstance(x, T.DecimalType) or x in _DIGITS]
+    if len(parts) == 2:
+        whole, scale = (max(n) for n in zip(*parts))
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else None
+    return None
+
+
+def union_layout(a: T.StructType, b: T.StructType) -> T.StructType:
+    """All columns of both (names without regard to case, the first spelling stays), each
+    of the wider type. Two types that no one type holds are an error that names the column."""
+    fields = {f.name.lower(): f for f in a.fields}
+    for f in b.fields:
+        have = fields.get(f.name.lower())
+        kind = widest(have.dataType, f.dataType) if have else f.dataType
+        if kind is None:
+            raise ValueError(f"column {f.name} is {have.dataType.simpleString()} in some files and {f.dataType.simpleString()} in others")
+        fields[f.name.lower()] = T.StructField(have.name if have else f.name, kind)
+    return T.StructType(list(fields.values()))
+
+
+def _merged(spark: SparkSession, paths: list[str], fmt: str) -> T.StructType | None:
+    """Spark's own union of the files' columns (a job over the footers); None if types differ."""
+    try:
+        return spark.read.format(fmt).option("mergeSchema", "true").load(paths).schema
+    except (Py4JJavaError, PySparkException) as e:
+        if "CANNOT_MERGE" in str(e):
+            return None
+        raise
+
+
+def stored_layout(spark: SparkSession, path: str, fmt: str = "parquet") -> T.StructType | None:
+    """The columns and types that all files under ``path`` together have; None if Spark's
+    own union of them does. Only where a column's type differs between files are the files
+    parted, by halves in the order of their names (files of one write stand together), until
+    each part has one type a column; the parts' types are then widened."""
+    if _merged(spark, [path], fmt) is not None:
+        return None
+
+    def layout(files: list[str]) -> T.StructType:
+        found = _merged(spark, files, fmt)
+        if found is not None:
+            return found
+        half = len(files) // 2
+        return union_layout(layout(files[:half]), layout(files[half:]))
+
+    # a name's last dash-free part tells the task, the part before it the write
+    return layout(sorted(spark.read.format(fmt).load(path).inputFiles(), key=lambda f: (f.rsplit("/", 1)[0], f.rsplit("/", 1)[-1].split("-", 2)[-1])))
+
+
 def load_tables(spark: SparkSession, directory: str, names: list[str] | None = None,
-                fmt: str = "parquet") -> Tables:
+                fmt: str = "parquet", schemas: dict[str, T.StructType] | None = None) -> Tables:
     """Read each clinic table from ``directory/<Table>``.
 
-    The files' own schema is used (key widths may differ between stores);
-    declared columns a stored table lacks (older layouts) come back as typed
-    NULLs (S5).
+    A folder may hold files of several layouts, as tables have that grew by
+    migrations: a column of any file is a column of the table (NULL for rows of files
+    without it), and a type that differs between files is the widest of them (INT and
+    BIGINT, decimals, FLOAT and DOUBLE; no value is lost, whatever the order of the
+    files). Otherwise the files' own types are used (key widths may differ between
+    stores). Declared columns that no file has come back as typed NULLs (S5).
+    ``schemas`` gives tables' layouts instead, so that no footer is read beforehand.
     """
     out: Tables = {}
     for name in names or list(SCHEMAS):
-        df = spark.read.format(fmt).load(f"{directory.rstrip('/')}/{name}")
-        out[name] = ensure_columns(df, SCHEMAS[name])
+        path = f"{directory.rstrip('/')}/{name}"
+        reader = spark.read.format(fmt)
+        if schemas and name in schemas:
+            reader = reader.schema(schemas[name])
+        elif fmt in ("parquet", "orc"):
+            layout = stored_layout(spark, path, fmt)
+            reader = reader.schema(layout) if layout else reader.option("mergeSchema", "true")
+        out[name] = ensure_columns(reader.load(path), SCHEMAS[name])
     return out
 
 
@@ -31,8 +109,8 @@ def ensure_columns(df: DataFrame, schema: T.StructType | list[tuple[str, T.DataT
     """Add every absent column as a typed NULL; present columns are left alone."""
     fields = schema.fields if isinstance(schema, T.StructType) else [
         T.StructField(n, t) for n, t in schema]
-    have = set(df.columns)
-    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in fields if f.name not in have]
+    have = {c.lower() for c in df.columns}
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in fields if f.name.lower() not in have]
     return df.select("*", *missing) if missing else df
 
 

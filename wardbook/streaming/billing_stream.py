@@ -1,10 +1,16 @@
 """Streaming re-aims (B7, B8): keep bills and paid totals current from
 micro-batches, with checkpoints under the shared ``spark.checkpoint.dir``.
 
-Both sinks are merge-on-read tables: each micro-batch writes only the rows it
-changed into its own ``batch=<id>`` folder (overwritten if the batch is
-replayed after a failure, so replays are idempotent), and the current table
-is the newest batch row per key plus the base rows no batch touched.
+What a stream has to remember is Structured Streaming state: running costs and paid
+totals are sums in update mode, delivered event ids are ``dropDuplicates`` without a
+watermark, so nothing is dropped for being late and Spark restores both after a
+failure. A micro-batch gets the changed sums of its own keys and never reads what
+earlier batches wrote. For states beyond the executors' memory set
+``spark.sql.streaming.stateStore.providerClass`` to Spark's RocksDB provider.
+
+The sinks hold one folder for each micro-batch (``batch=<id>``, overwritten when the batch is
+replayed) with the whole rows it changed; the current table is the newest row of each key
+and the base rows that no batch touched.
 """
 
 from __future__ import annotations
@@ -15,13 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from wardbook.functions.money import money_sum
-from wardbook.operators.billing import derive_billing, merge_billing
+from wardbook.functions.money import cents, from_cents
+from wardbook.operators.billing import NO_BILL, TOTAL_RANGE, derive_billing, merge_billing, payment_fault
 from wardbook.operators.changes import latest_per_key
+from wardbook.schema import MONEY
 from wardbook.session import scratch_path
 
-BUCKETS = 64  # folders that the streams' own stores are divided into, by hash of the key
-
 
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether a parquet table exists at ``path`` (restart-safe: no driver state).
@@ -36,26 +41,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def _bucket(key: str):
-    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BUCKETS)).cast("int").alias("bucket")
-
-
-def _store(df: DataFrame, path: str, key: str, batch_id: int) -> None:
-    """Write a batch's rows into its own folder, divided by bucket; a replay overwrites it."""
-    (df.select("*", _bucket(key)).write.mode("overwrite").partitionBy("bucket")
-     .parquet(f"{path}/batch={batch_id}"))
-
-
-def _stored(spark: SparkSession, path: str, key: str, keys: DataFrame, batch_id: int) -> DataFrame | None:
-    """What earlier batches stored for ``keys``: only the folders of their buckets are read."""
-    if not _exists(spark, path):
-        return None
-    buckets = [r[0] for r in keys.select(_bucket(key)).distinct().collect()]  # BUCKETS at most
-    rows = spark.read.parquet(path)
-    return (rows.where((F.col("batch") < batch_id) & F.col("bucket").isin(buckets))
-            .join(keys.select(key).distinct(), key, "left_semi"))
-
-
 def current_table(spark: SparkSession, base: DataFrame, deltas_path: str, key: str,
                   has_deltas: bool) -> DataFrame:
     """Merge-on-read: the latest row per key over the base and batch folders.
@@ -75,74 +60,61 @@ def current_table(spark: SparkSession, base: DataFrame, deltas_path: str, key: s
     return untouched.unionByName(newest.select(*base.columns))
 
 
+def _drained(stream: DataFrame, per_batch: Callable, checkpoint: str, trigger: dict | None, mode: str) -> None:
+    q = (stream.writeStream.outputMode(mode).foreachBatch(per_batch)
+         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+    q.awaitTermination()
+
+
+def touched_bills(costs: DataFrame, T: dict[str, DataFrame], last_id: int) -> DataFrame:
+    """The bills of the appointments in ``costs`` (AppointmentID, TreatmentCost: the whole cost),
+    merged with the bills at the stream's start. A new bill's id is the highest id at the
+    start plus its AppointmentID: the same in every batch and replay, so no batch has to look up
+    what an earlier one gave."""
+    keys = costs.select("AppointmentID")
+    old = T["BillingRecord"].join(keys, "AppointmentID", "left_semi")
+    derived = derive_billing({**T, "Treatment": costs}, existing=old, keys=keys)
+    return merge_billing(old, derived, new_id=F.lit(last_id) + F.col("AppointmentID"))
+
+
 def stream_billing(spark: SparkSession, T: dict[str, DataFrame], treatment_stream: DataFrame,
                    root: str | None = None, trigger: dict | None = None,
                    to_treatment: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Treatment micro-batches keep billing current.
 
-    ``T`` holds the tables at stream start (its Treatment and BillingRecord
-    are the base). The stream keeps a running cost per appointment: a batch
-    adds its own treatments to the last stored cost of the appointments it
-    touches, so treatments of earlier batches are never read again, and the
-    base treatments are summed once, at the start. Of its own stores a batch
-    reads only the folders of its keys' hash buckets. Then the touched bills
-    are derived (B3) and written. Returns the current billing after the stream
+    ``T`` holds the tables at stream start (its Treatment and BillingRecord are the
+    base). The cost of each appointment is a running sum in the stream's state, which
+    the first batch fills with the base treatments' sums; a batch derives (B3) and
+    writes the bills of the appointments it changes. A treatment without a cost that
+    fits the column counts nothing. Returns the current billing after the stream
     drained (``availableNow`` by default).
     """
     root = root or scratch_path(spark, "stream-billing")
-    treat_path, cost_path = f"{root}/treatments", f"{root}/costs"
-    bill_path, ckpt = f"{root}/bills", f"{root}/_checkpoint"
-    base_treat, base_bill = T["Treatment"], T["BillingRecord"]
-    key = "AppointmentID"
-
-    def cost_of(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(key).agg(money_sum(F.col("TreatmentCost")).alias("TreatmentCost"))
-
-    if not _exists(spark, cost_path):
-        _store(cost_of(base_treat), cost_path, key, -1)
-
-    def cur_bills() -> DataFrame:
-        return current_table(spark, base_bill, bill_path, "AppointmentID",
-                             _exists(spark, bill_path))
-
-    def all_bill_ids() -> DataFrame:
-        # a bill keeps its id across versions, so the max over every stored
-        # version equals the max of the current table -- without a shuffle
-        ids = base_bill.select("BillingID")
-        if _exists(spark, bill_path):
-            ids = ids.unionByName(spark.read.parquet(bill_path).select("BillingID"))
-        return ids
+    base_path, start_path, bill_path = f"{root}/costs", f"{root}/start", f"{root}/bills"
+    key, base_bill = "AppointmentID", T["BillingRecord"]
+    kind = T["Treatment"].schema[key].dataType
+    cost = cents(F.col("TreatmentCost").try_cast(MONEY)).alias("cents")
+    if not _exists(spark, start_path):  # written last: a start that died before is done again
+        T["Treatment"].select(key, cost).groupBy(key).agg(F.sum("cents").alias("cents")).write.mode("overwrite").parquet(base_path)
+        base_bill.agg(F.coalesce(F.max("BillingID"), F.lit(0)).cast("long").alias("last_id")).write.mode("overwrite").parquet(start_path)
+    last_id = spark.read.parquet(start_path).first()["last_id"]
+
+    base = spark.readStream.schema(spark.read.parquet(base_path).schema).parquet(base_path)
+    rows = to_treatment(treatment_stream) if to_treatment else treatment_stream
+    added = rows.select(F.col(key).cast(kind).alias(key), cost, F.lit(True).alias("_new"))
+    running = (base.withColumn("_new", F.lit(False)).unionByName(added).groupBy(key)
+               .agg(F.sum("cents").alias("cents"), F.max("_new").alias("_new")))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = to_treatment(batch) if to_treatment else batch
-        rows = rows.select(*base_treat.columns)
-        rows.write.mode("overwrite").parquet(f"{treat_path}/batch={batch_id}")
-        added = cost_of(spark.read.parquet(f"{treat_path}/batch={batch_id}"))
-        keys = added.select(key)
-        before = _stored(spark, cost_path, key, keys, batch_id)
-        if before is not None:
-            added = cost_of(latest_per_key(before, key, ["TreatmentCost"], seq="batch").unionByName(added))
-        _store(added, cost_path, key, batch_id)
-        if not _exists(spark, f"{cost_path}/batch={batch_id}"):
-            return  # a batch of no rows
-        costs = spark.read.parquet(f"{cost_path}/batch={batch_id}").drop("bucket")
-        keys = costs.select(key)
-        tables = dict(T)
-        tables["Treatment"] = costs
-        # the semi-join is pushed below the latest-per-key aggregate, so only
-        # the touched keys' versions are shuffled
-        touched = cur_bills().join(keys, "AppointmentID", "left_semi")
-        derived = derive_billing(tables, existing=touched, keys=keys)
-        # new bills take ids after the maximum of the whole table, not of `touched`
-        changed = (merge_billing(touched, derived, id_source=all_bill_ids())
-                   .join(keys, "AppointmentID", "left_semi"))
-        changed.write.mode("overwrite").parquet(f"{bill_path}/batch={batch_id}")
-
-    q = (treatment_stream.writeStream.foreachBatch(per_batch)
-         .option("checkpointLocation", ckpt)
-         .trigger(**(trigger or {"availableNow": True})).start())
-    q.awaitTermination()
-    return cur_bills()
+        # written before it is used several times, so the state is updated once
+        path = f"{root}/touched/batch={batch_id}"
+        touched = batch.filter("_new").select(key, from_cents(F.col("cents")).alias("TreatmentCost"))
+        touched.write.mode("overwrite").parquet(path)
+        costs = spark.read.schema(touched.schema).parquet(path)
+        touched_bills(costs, T, last_id).write.mode("overwrite").parquet(f"{bill_path}/batch={batch_id}")
+
+    _drained(running, per_batch, f"{root}/_checkpoint", trigger, "update")
+    return current_table(spark, base_bill, bill_path, key, _exists(spark, bill_path))
 
 
 def stream_payments(spark: SparkSession, payment_stream: DataFrame, root: str | None = None,
@@ -150,39 +122,48 @@ def stream_payments(spark: SparkSession, payment_stream: DataFrame, root: str |
     """Running paid total per bill from a payment event stream.
 
     No payment is dropped for being late: there is no watermark. A re-delivered
-    event (same bill and ``event_id``) is found in the stored ledger, of which a
-    batch reads only the folders of its bills' hash buckets; what is new is
-    appended, and the totals of the touched bills grow by it. An event without
-    an id cannot be recognised and always counts. Returns the current totals
-    (key, AmountPaid) after the stream drained.
+    event (same bill and ``event_id``) is known from the stream's state; an event
+    without an id cannot be recognised and always counts. An event without a bill or
+    an amount that fits its column, and a total that does not, stop nothing: they
+    are rejects with a reason (``stream_payment_rejects``), and the bill keeps its last
+    total that fits. Returns the current totals (key, AmountPaid) after the stream
+    drained.
     """
     root = root or scratch_path(spark, "stream-payments")
-    ledger_path, out_path, ckpt = f"{root}/ledger", f"{root}/totals", f"{root}/_checkpoint"
+    total_path = f"{root}/totals"
+    rows = payment_stream.select("event_id", key, "Amount")
+    fault = F.coalesce(F.when(F.col(key).isNull(), F.lit(NO_BILL)), payment_fault(F.col("Amount")))
+    event = F.coalesce(F.col("event_id").cast("string"), F.expr("uuid()"))
+    totals = (rows.filter(fault.isNull()).select(key, event.alias("_event"), cents(F.col("Amount").try_cast(MONEY)).alias("cents"))
+              .dropDuplicates([key, "_event"]).groupBy(key).agg(F.sum("cents").alias("cents")))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("event_id", key, F.col("Amount").cast("decimal(18,2)").alias("Amount"))
-        named = rows.where(F.col("event_id").isNotNull()).dropDuplicates([key, "event_id"])
-        seen = _stored(spark, ledger_path, key, rows.select(key), batch_id)
-        if seen is not None:
-            named = named.join(seen.select(key, "event_id"), [key, "event_id"], "left_anti")
-        _store(named.unionByName(rows.where(F.col("event_id").isNull())), ledger_path, key, batch_id)
-        if not _exists(spark, f"{ledger_path}/batch={batch_id}"):
-            return  # nothing new
-        new = (spark.read.parquet(f"{ledger_path}/batch={batch_id}")
-               .groupBy(key).agg(money_sum(F.col("Amount")).alias("AmountPaid")))
-        before = _stored(spark, out_path, key, new.select(key), batch_id)
-        if before is not None:
-            new = (latest_per_key(before, key, ["AmountPaid"], seq="batch").unionByName(new)
-                   .groupBy(key).agg(money_sum(F.col("AmountPaid")).alias("AmountPaid")))
-        _store(new.select(key, F.col("AmountPaid").cast("decimal(10,2)").alias("AmountPaid")),
-               out_path, key, batch_id)
-
-    q = (payment_stream.writeStream.foreachBatch(per_batch)
-         .option("checkpointLocation", ckpt)
-         .trigger(**(trigger or {"availableNow": True})).start())
-    q.awaitTermination()
-    empty = spark.createDataFrame([], f"{key} bigint, AmountPaid decimal(10,2)")
-    return current_table(spark, empty, out_path, key, _exists(spark, out_path))
+        path = f"{root}/sums/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        total = from_cents(F.col("cents"))
+        sums = spark.read.schema(batch.schema).parquet(path).select(key, total.alias("total"), total.try_cast(MONEY).alias("AmountPaid"))
+        sums.filter("AmountPaid IS NOT NULL").select(key, "AmountPaid").write.mode("overwrite").parquet(f"{total_path}/batch={batch_id}")
+        (sums.filter("AmountPaid IS NULL").select(key, F.lit(None).cast("string").alias("event_id"), F.col("total").cast("string").alias("Amount"), F.lit(TOTAL_RANGE).alias("reason"))
+         .write.mode("overwrite").parquet(f"{root}/over/batch={batch_id}"))
+
+    def rejects(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
+
+    faulty = rows.withColumn("reason", fault).filter(F.col("reason").isNotNull()).select(key, F.col("event_id").cast("string").alias("event_id"), F.col("Amount").cast("string").alias("Amount"), "reason")
+    _drained(faulty, rejects, f"{root}/_checkpoint_rejects", trigger, "append")
+    _drained(totals, per_batch, f"{root}/_checkpoint", trigger, "update")
+    empty = spark.createDataFrame([], f"{key} {payment_stream.schema[key].dataType.simpleString()}, AmountPaid decimal(10,2)")
+    return current_table(spark, empty, total_path, key, _exists(spark, total_path))
+
+
+def stream_payment_rejects(spark: SparkSession, root: str, key: str = "AppointmentID") -> DataFrame:
+    """What ``stream_payments`` could not count under ``root``: (key, event_id, Amount as text, reason)."""
+    out = None
+    for name in ("rejects", "over"):
+        if _exists(spark, f"{root}/{name}"):
+            rows = spark.read.parquet(f"{root}/{name}").select(key, "event_id", "Amount", "reason")
+            out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else spark.createDataFrame([], f"{key} long, event_id string, Amount string, reason string")
 
 
 def compact(spark: SparkSession, base: DataFrame, deltas_path: str, key: str,
