@@ -67,6 +67,76 @@ def test_late_payments_count(spark):
         10: Decimal("13.00"), 11: Decimal("1.00")}
 
 
+def test_a_poison_payment_stops_nothing(spark):
+    """Payments that do not fit are rejects, in every batch; the stream goes on, and goes on after a restart."""
+    from wardbook.streaming.billing_stream import stream_payment_rejects
+    src, root = scratch_path(spark, "pay-poison"), scratch_path(spark, "pay-root")
+    schema = "event_id long, AppointmentID long, Amount decimal(30,2)"
+
+    def deliver(*rows):
+        spark.createDataFrame([(i, k, None if a is None else Decimal(a)) for i, k, a in rows], schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        return {r["AppointmentID"]: r["AmountPaid"] for r in stream_payments(spark, stream, root=root).collect()}
+
+    assert deliver((1, 10, "5.00"), (2, 10, "123456789012345678.00"), (3, 11, None), (4, None, "1.00")) == {10: Decimal("5.00")}
+    assert deliver((5, 10, "99999999.00"), (6, 12, "1.00")) == {10: Decimal("5.00"), 12: Decimal("1.00")}  # together beyond the column
+    assert deliver((7, 10, "-50.00")) == {10: Decimal("99999954.00"), 12: Decimal("1.00")}
+    rejects = {(r["AppointmentID"], r["event_id"], r["Amount"], r["reason"]) for r in stream_payment_rejects(spark, root).collect()}
+    assert rejects == {(10, "2", "123456789012345678.00", "amount out of range"), (11, "3", None, "no amount"), (None, "4", "1.00", "unknown bill"),
+                       (10, None, "100000004.00", "total out of range")}
+
+
+def test_batch_rejects_of_payments(spark, seed):
+    """One oversized payment leaves its bill as it was, and all others go on."""
+    rows = [(1, "1.00"), (1, "99999999999999.99"), (2, "99999999.99"), (2, "99999999.99"), (3, None), (999, "1.00"), (4, "2.00")]
+    ledger = spark.createDataFrame([(b, None if a is None else Decimal(a)) for b, a in rows], "BillingID int, Amount decimal(30,2)")
+    bills = seed["BillingRecord"]
+    before = {r["BillingID"]: r["AmountPaid"] for r in bills.collect()}
+    after = {r["BillingID"]: r["AmountPaid"] for r in B.apply_payments(bills, ledger).collect()}
+    assert {k: v - before[k] for k, v in after.items() if v != before[k]} == {1: Decimal("1.00"), 4: Decimal("2.00")}
+    reasons = sorted((r["BillingID"], r["reason"]) for r in B.payment_rejects(bills, ledger).collect())
+    assert reasons == [(1, "amount out of range"), (2, "total out of range"), (2, "total out of range"), (3, "no amount"), (999, "unknown bill")]
+    paid = {r["BillingID"]: r["AmountPaid"] for r in B.paid_per_appointment(ledger, key="BillingID").collect()}
+    assert paid == {1: Decimal("1.00"), 2: None, 3: None, 4: Decimal("2.00"), 999: Decimal("1.00")}
+
+
+def test_billing_batches_stay_alike(spark, seed):
+    """Ten batches over one appointment, with a restart between: the cost runs on, new bills keep
+    their ids, and no batch reads what the batches before it wrote."""
+    from wardbook.streaming.billing_stream import touched_bills
+    src, root = scratch_path(spark, "ten-src"), scratch_path(spark, "ten-root")
+    base = dict(seed)
+    base["BillingRecord"] = seed["BillingRecord"].filter("AppointmentID <> 6")
+    treat = seed["Treatment"].filter("TreatmentID = 6").withColumn("AppointmentID", F.lit(6))
+    start = {r["AppointmentID"]: r["s"] for r in seed["Treatment"].groupBy("AppointmentID").agg(F.sum("TreatmentCost").alias("s")).collect()}
+    last = base["BillingRecord"].agg(F.max("BillingID")).first()[0]
+
+    def run(n):
+        for _ in range(n):
+            treat.withColumn("TreatmentCost", F.lit("1.50").cast("decimal(10,2)")).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(treat.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        got = stream_billing(spark, base, stream, root=root)
+        assert got.count() == seed["BillingRecord"].count()
+        return [(r["BillingID"], r["TotalCost"]) for r in got.filter("AppointmentID = 6").collect()]
+
+    assert run(5) == [(last + 6, start[6] + Decimal("7.50"))]
+    assert run(5) == [(last + 6, start[6] + Decimal("15.00"))]
+    assert spark.read.parquet(f"{root}/bills").groupBy("batch").count().filter("count = 1").count() == 10
+    costs = spark.createDataFrame([(6, Decimal("3.00"))], "AppointmentID int, TreatmentCost decimal(20,2)")
+    assert not [f for f in touched_bills(costs, base, last).inputFiles() if root in f]
+
+
+def test_a_treatment_that_does_not_fit(spark, seed):
+    src = scratch_path(spark, "treat-poison")
+    rows = seed["Treatment"].select(*[F.col(c).cast("decimal(30,2)").alias(c) if c == "TreatmentCost" else F.col(c) for c in seed["Treatment"].columns])
+    one = rows.filter("TreatmentID = 1")
+    one.withColumn("TreatmentCost", F.lit("12345678901234567.00").cast("decimal(30,2)")).unionByName(one.withColumn("TreatmentCost", F.lit("2.00").cast("decimal(30,2)"))).write.parquet(src)
+    got = stream_billing(spark, seed, spark.readStream.schema(rows.schema).parquet(src))
+    key = one.first()["AppointmentID"]
+    old = seed["Treatment"].filter(F.col("AppointmentID") == key).agg(F.sum("TreatmentCost")).first()[0]
+    assert got.filter(F.col("AppointmentID") == key).first()["TotalCost"] == old + Decimal("2.00")
+
+
 def test_registered_streams_read_part_files(spark, tmp_path):
     """Tables stored as folders of part files give the same as single files."""
     import os
