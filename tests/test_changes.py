@@ -171,3 +171,31 @@ def test_usernames_without_regard_to_case(spark):
     assert expand_accounts(feed, {})["Users"].count() == 2
     out = expand_accounts(feed, {}, ci=True)
     assert [tuple(r) for r in out["Rejected"].collect()] == [(2, "bob ", "username taken")] and out["Users"].count() == 1
+
+
+def test_ambiguous_key_changes_double_nothing(spark, seed):
+    moves = [(1, 101), (1, 102), (2, 3), (3, 200), (4, 200), (5, None), (None, 7), (99, 300)]
+    m = spark.createDataFrame(moves, "old_key int, new_key int")
+    reasons = {(r["old_key"], r["new_key"]): r["reason"] for r in D.rekey_rejects(seed, "InsuranceProvider", m).collect()}
+    assert reasons == {(1, 101): D.SEVERAL_KEYS, (1, 102): D.SEVERAL_KEYS, (2, 3): D.KEY_EXISTS, (3, 200): D.KEY_TWICE, (4, 200): D.KEY_TWICE, (5, None): D.NO_KEY, (None, 7): D.NO_KEY}
+    out = D.cascade_rekey(seed, "InsuranceProvider", m)
+    for t in ("InsuranceProvider", "Patient"):
+        assert sorted(map(str, out[t].collect())) == sorted(map(str, seed[t].collect()))
+    sound = D.cascade_rekey(seed, "InsuranceProvider", spark.createDataFrame([(1, 101), (1, 101), (2, 2)], "old_key int, new_key int"))
+    assert sorted(r[0] for r in sound["InsuranceProvider"].select("ProviderID").collect())[-1] == 101
+    assert sound["InsuranceProvider"].count() == seed["InsuranceProvider"].count()
+
+
+def test_account_feeds_with_tied_and_missing_numbers(spark, seed):
+    """Ties and NULLs of seq, and rows listed twice, give one account a name and no crossed links."""
+    rows = [(1, "admin", "a", "doctor", "Ann A"), (1, "admin", "b", "nurse", "Bea B"), (None, "admin", "c", "doctor", "Cyd C"), (None, "admin", "c", "doctor", "Dee D"),
+            (1, "admin", "a", "doctor", "Ann A"), (2, "register", "d", None, "Eve E")]
+    feed = spark.createDataFrame([(*r, None, None, None) for r in rows],
+                                 "seq long, source string, username string, role string, full_name string, specialty string, phone string, department_id long").repartition(3)
+    out = {k: v.collect() for k, v in D.expand_accounts(feed, seed).items()}
+    users = sorted(out["Users"], key=lambda r: r["id"])
+    assert [(r["username"], r["full_name"]) for r in users] == [("a", "Ann A"), ("b", "Bea B"), ("d", "Eve E"), ("c", "Cyd C")]
+    doctors = {r["DoctorID"]: r["FirstName"] for r in out["Doctor"]}
+    assert [doctors.get(r["linked_record_id"]) for r in users if r["role"] == "doctor"] == ["Ann", "Cyd"] and len(doctors) == 2
+    assert len(out["Nurse"]) == len(out["Patient"]) == 1
+    assert sorted((r["username"], r["reason"]) for r in out["Rejected"]) == [("a", D.NAME_TAKEN), ("c", D.NAME_TAKEN)]

@@ -118,3 +118,22 @@ def test_choice_labels(seed):
     assert got[("patient", 1)] == "John Doe"
     assert got[("doctor", 1)] == "Dr. Gregory House — Diagnostic Medicine"
     assert got[("nurse", 1)] == "Carla Espinosa (RN)"
+
+
+def test_json_that_can_not_be_read_is_reported(spark, tmp_path):
+    """Bad text, wrong types, absent fields, empty lists and items that are no objects come out with a reason."""
+    from pyspark.sql import types as T
+
+    from wardbook.sources import json_io
+    schema = T.StructType([T.StructField("a", T.IntegerType(), False), T.StructField("d", T.DateType()), T.StructField("l", T.ArrayType(T.IntegerType()))])
+    bodies = ['{"a": 1, "d": "2026-01-02", "l": [1, 2]}', '[{"a": "2"}, {"a": "x"}, {"d": "2026-01-01"}, 5, null, {"a": 3, "d": "soon"}, {"a": 4, "l": 7}]', "[]", "{}", "no json", '[{"a": 1}, {', None, '{"a": 2.5}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "req int, body string")
+    rows = {(r["req"], r["at"], r["a"], str(r["d"]), tuple(r["l"] or ())) for r in json_io.read_json_batch(df, "body", schema, keep=["req"], position="at").collect()}
+    assert rows == {(0, 0, 1, "2026-01-02", (1, 2)), (1, 0, 2, "None", ())}
+    bad = {(r["req"], r["item"], r["reason"]) for r in json_io.json_rejects(df, "body", schema, keep=["req"]).collect()}
+    assert bad == {(1, 1, "a is not a int"), (1, 2, "a is missing"), (1, 3, json_io.NO_OBJECT), (1, 4, json_io.NO_OBJECT), (1, 5, "d is not a date"), (1, 6, "l is not a array<int>"),
+                   (2, 0, json_io.EMPTY), (3, 0, "a is missing"), (4, 0, json_io.UNREADABLE), (5, 0, json_io.UNREADABLE), (6, 0, json_io.UNREADABLE), (7, 0, "a is not a int")}
+    (tmp_path / "part.json").write_text("\n".join(b for b in bodies if b is not None) + "\n\n")
+    assert json_io.read_json_files(spark, str(tmp_path), schema).count() == 2
+    files = json_io.json_file_rejects(spark, str(tmp_path), schema).collect()
+    assert len(files) == len(bad) - 1 and all(r["file"].endswith("part.json") for r in files)

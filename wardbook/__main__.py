@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = get_spark()
     T = load_tables(spark, args.tables)
     if args.cmd == "reports":
-        out = reports.all_reports(T, share_inputs=True)
+        out = reports.all_reports(T)
         if args.ci:
             out["billing_by_status"] = reports.billing_by_status(T, ci=True)
             out["appointments_by_dept"] = reports.appointments_by_dept(T, ci=True)

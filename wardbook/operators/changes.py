@@ -218,11 +218,38 @@ def cascade_delete(T: dict[str, DataFrame], root: str, keys: DataFrame,
     return out
 
 
+# Reject reasons of key changes (the library's own codes).
+NO_KEY, SEVERAL_KEYS, KEY_EXISTS, KEY_TWICE = "no key", "several new keys", "key exists", "key given twice"
+
+
+def _judged_moves(T: dict[str, DataFrame], root: str, mapping: DataFrame) -> DataFrame:
+    """The distinct rows of a key mapping with ``reason`` (NULL: sound)."""
+    m = mapping.select("old_key", "new_key").distinct()
+    to = m.groupBy("old_key").agg(F.count("new_key").alias("_to"))
+    of = m.groupBy("new_key").agg(F.count("old_key").alias("_of"))
+    there = T[root].select(F.col(PRIMARY_KEYS[root]).alias("new_key"), F.lit(True).alias("_there"))
+    reason = (F.when(F.col("old_key").isNull() | F.col("new_key").isNull(), F.lit(NO_KEY))
+               .when(F.col("_to") > 1, F.lit(SEVERAL_KEYS))
+               .when((F.col("new_key") != F.col("old_key")) & F.col("_there"), F.lit(KEY_EXISTS))
+               .when(F.col("_of") > 1, F.lit(KEY_TWICE)))
+    return m.join(to, "old_key", "left").join(of, "new_key", "left").join(there, "new_key", "left").select("old_key", "new_key", reason.alias("reason"))
+
+
+def rekey_rejects(T: dict[str, DataFrame], root: str, mapping: DataFrame) -> DataFrame:
+    """The rows of a key mapping that ``cascade_rekey`` does not follow: (old_key, new_key, reason)."""
+    return _judged_moves(T, root, mapping).filter(F.col("reason").isNotNull())
+
+
 def cascade_rekey(T: dict[str, DataFrame], root: str, mapping: DataFrame) -> dict[str, DataFrame]:
     """Change keys of ``root`` (mapping: old_key, new_key) and carry the
-    change into every referencing column (ON UPDATE CASCADE)."""
+    change into every referencing column (ON UPDATE CASCADE).
+
+    Only sound rows of the mapping count: an old key with several new ones, a new key
+    that the table has already or that several rows ask for, and a NULL key leave the
+    rows as they are (``rekey_rejects`` lists them), so no row is ever doubled and the key
+    stays unique."""
     pk = PRIMARY_KEYS[root]
-    m = mapping.select("old_key", "new_key").distinct()
+    m = _judged_moves(T, root, mapping).filter(F.col("reason").isNull())
     out = dict(T)
 
     def remap(df: DataFrame, col: str) -> DataFrame:
@@ -261,22 +288,26 @@ def expand_accounts(feed: DataFrame, T: dict[str, DataFrame], ci: bool = False)
 
     Rejected (in ``Rejected``, with a reason): an empty username, an unknown
     role, and a username that already exists or appeared earlier in the feed
-    (in ``seq`` order; with ``ci`` names that differ only in case, accents or
-    trailing spaces are the same). The checked feed is computed once and stored;
+    (in ``seq`` order, NULL last, ties by the other columns; with ``ci`` names that
+    differ only in case, accents or trailing spaces are the same). The feed's rows
+    are numbered once in that order, and links and keys follow these numbers, so
+    neither ties nor repeated rows multiply. The checked feed is stored;
     all outputs read that copy. Returns the new rows of Users, Patient, Doctor
     and Nurse (keys assigned after each table's maximum) and ``Rejected``.
     """
     reg_src = F.col("source") == "register"
-    f = feed.withColumn("role", F.when(reg_src, F.lit("patient"))
+    order = ["source", "username", "role", "full_name", "specialty", "phone", "department_id"]
+    f = number_new_rows(feed.withColumn("_row", F.lit(None).cast("long")), None, "_row", order=[F.asc_nulls_last("seq"), *order])
+    f = f.withColumn("role", F.when(reg_src, F.lit("patient"))
                         .otherwise(F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("patient"))))
     # earliest feed row per username; later ones collide with it
     f = f.withColumn("_name", text_key(F.col("username"), ci))
-    first_seq = (f.filter(F.col("_name").isNotNull()).groupBy("_name")
-                 .agg(F.min("seq").alias("_first_seq")))
-    f = f.join(first_seq, "_name", "left")
+    first_row = (f.filter(F.col("_name").isNotNull()).groupBy("_name")
+                 .agg(F.min("_row").alias("_first_row")))
+    f = f.join(first_row, "_name", "left")
     reason = F.when(F.length(F.coalesce(F.col("username"), F.lit(""))) == 0, F.lit(NO_NAME))
     reason = reason.when(~role_allowed(F.col("role")), F.lit(UNKNOWN_ROLE))
-    reason = reason.when(F.col("seq") != F.col("_first_seq"), F.lit(NAME_TAKEN))
+    reason = reason.when(F.col("_row") != F.col("_first_row"), F.lit(NAME_TAKEN))
     if "Users" in T:
         mentioned = f.select("_name").filter(F.col("_name").isNotNull())
         taken = (T["Users"].select(text_key(F.col("username"), ci).alias("_name")).join(mentioned, "_name", "left_semi").distinct()
@@ -297,30 +328,30 @@ def expand_accounts(feed: DataFrame, T: dict[str, DataFrame], ci: bool = False)
     def staff(role: str, table: str, extra: str) -> DataFrame:
         rows = f.filter((F.col("source") == "admin") & (F.col("role") == role))
         pk = PRIMARY_KEYS[table]
-        new = rows.select(F.lit(None).cast("long").alias(pk), "seq",
+        new = rows.select(F.lit(None).cast("long").alias(pk), "_row",
                           F.col("_first").alias("FirstName"), F.col("_last").alias("LastName"),
                           F.coalesce(F.col("specialty"), F.lit("")).alias(extra),
                           F.coalesce(F.col("phone"), F.lit("")).alias("Phone"),
                           F.nullif(F.col("department_id"), F.lit(0)).alias("DepartmentID"))
-        return number_new_rows(new, T.get(table), pk, order=["seq"])
+        return number_new_rows(new, T.get(table), pk, order=["_row"])
 
     doctors = staff("doctor", "Doctor", "Specialty")
     nurses = staff("nurse", "Nurse", "Certification")
     reg = f.filter(reg_src)
     patients = number_new_rows(
-        reg.select(F.lit(None).cast("long").alias("PatientID"), "seq",
+        reg.select(F.lit(None).cast("long").alias("PatientID"), "_row",
                    F.col("_first").alias("FirstName"), F.col("_last").alias("LastName")),
-        T.get("Patient"), "PatientID", order=["seq"])
-    links = (doctors.select("seq", F.col("DoctorID").alias("_link"))
-             .unionByName(nurses.select("seq", F.col("NurseID").alias("_link"))))
-    users = (f.join(links, "seq", "left")
-             .join(patients.select("seq", F.col("PatientID").alias("_pid")), "seq", "left")
-             .select(F.lit(None).cast("long").alias("id"), "seq", "username", "role",
+        T.get("Patient"), "PatientID", order=["_row"])
+    links = (doctors.select("_row", F.col("DoctorID").alias("_link"))
+             .unionByName(nurses.select("_row", F.col("NurseID").alias("_link"))))
+    users = (f.join(links, "_row", "left")
+             .join(patients.select("_row", F.col("PatientID").alias("_pid")), "_row", "left")
+             .select(F.lit(None).cast("long").alias("id"), "_row", "username", "role",
                      "full_name", F.col("_pid").alias("patient_record_id"),
                      F.col("_link").alias("linked_record_id")))
-    users = number_new_rows(users, T.get("Users"), "id", order=["seq"])
-    return {"Users": users.drop("seq"), "Patient": patients.drop("seq"),
-            "Doctor": doctors.drop("seq"), "Nurse": nurses.drop("seq"), "Rejected": rejected}
+    users = number_new_rows(users, T.get("Users"), "id", order=["_row"])
+    return {"Users": users.drop("_row"), "Patient": patients.drop("_row"),
+            "Doctor": doctors.drop("_row"), "Nurse": nurses.drop("_row"), "Rejected": rejected}
 
 
 def with_defaults(df: DataFrame, table: str) -> DataFrame:

@@ -18,9 +18,9 @@ from wardbook.operators.checks import validate_insert
 from wardbook.operators.listings import assign_nurse
 from wardbook.schema import MONEY
 from wardbook.session import cut_lineage
+from wardbook.sources.json_io import NO_OBJECT, UNREADABLE, item_field, json_items
 
 # Reject reasons of the flows (the library's own codes).
-UNREADABLE, EMPTY = "body not readable", "no items"
 NO_APPOINTMENT, BAD_DIAGNOSIS = "appointment missing", "diagnosis not a number"
 NULL_COST, BAD_COST = "cost is null", "cost not an amount"
 NO_OWN_RECORD = "no linked patient record"
@@ -34,51 +34,51 @@ def treatment_items(requests: DataFrame, body: str, request_id: str) -> DataFram
     that is absent or empty is 0; one that is null, no number or out of range is
     a fault, and so is an appointment that is absent, 0 or no number.
     """
-    text = F.col(body)
-    as_list = F.when(F.ltrim(text).startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
-    read = requests.select(request_id, F.from_json(as_list, "array<map<string,string>>").alias("_items"))
-    rows = read.select(request_id, F.size("_items").alias("_n"), F.posexplode_outer("_items").alias("_item", "_f"))
-
-    def field(name: str):
-        return F.try_element_at(F.col("_f"), F.lit(name))
+    rows, field = json_items(requests, body, [request_id]), item_field
 
     def number(name: str):
         return F.nullif(F.trim(field(name)), F.lit("")).try_cast("bigint")
 
     given = F.nullif(F.trim(field("TreatmentCost")), F.lit(""))
     amount = F.coalesce(given, F.lit("0")).try_cast(MONEY)
-    reason = (F.when(F.col("_n").isNull() | (F.col("_n") < 0), F.lit(UNREADABLE))
-               .when(F.col("_n") == 0, F.lit(EMPTY))
-               .when(F.col("_f").isNull(), F.lit(UNREADABLE))
+    reason = (F.when(F.col("_reason") == NO_OBJECT, F.lit(UNREADABLE)).when(F.col("_reason").isNotNull(), F.col("_reason"))
                .when(F.coalesce(number("AppointmentID"), F.lit(0)) == 0, F.lit(NO_APPOINTMENT))
                .when(F.length(F.trim(field("DiagnosisID"))) > 0,
                      F.when(number("DiagnosisID").isNull(), F.lit(BAD_DIAGNOSIS))))
     cost_fault = (F.when(F.map_contains_key(F.col("_f"), "TreatmentCost") & field("TreatmentCost").isNull(), F.lit(NULL_COST))
                    .when(amount.isNull(), F.lit(BAD_COST)))
-    return rows.select(request_id, F.coalesce(F.col("_item"), F.lit(0)).alias("_item"),
+    return rows.select(request_id, "_item",
                        number("DiagnosisID").alias("DiagnosisID"), number("AppointmentID").alias("AppointmentID"),
                        field("TreatmentName").alias("TreatmentName"), field("Description").alias("Description"),
                        amount.alias("TreatmentCost"), F.coalesce(reason, cost_fault).alias("_reason"))
 
 
-def add_treatments(tables: dict[str, DataFrame], requests: DataFrame, body: str = "body",
-                   request_id: str = "request_id") -> tuple[dict[str, DataFrame], DataFrame]:
-    """Apply a batch of treatment requests; returns (new tables, rejected requests with
-    a reason, that of the first bad item).
+def check_treatments(tables: dict[str, DataFrame], requests: DataFrame, body: str = "body",
+                     request_id: str = "request_id") -> tuple[DataFrame, DataFrame]:
+    """What ``add_treatments`` would do, without doing it: the accepted items (with the
+    request and ``_item``), and the rejected requests with a reason, that of the first bad item.
 
     Besides the checks of ``treatment_items`` every rule of the table holds
     (parents, NOT NULL, lengths); one bad item rejects its whole request.
     """
-    treat = tables["Treatment"]
-    # parsed once; the checks, the numbering and the refresh read this copy
+    # parsed once; the checks and what follows read this copy
     items = cut_lineage(treatment_items(requests, body, request_id))
     usable = items.filter(F.col("_reason").isNull()).drop("_reason")
     good, bad = validate_insert(usable, "Treatment", tables, generated_key=True)
     faults = (items.filter(F.col("_reason").isNotNull()).select(request_id, "_item", F.col("_reason").alias("reason"))
               .unionByName(bad.select(request_id, "_item", "reason")))
-    rejected = cut_lineage(faults.groupBy(request_id)
-                           .agg(F.min(F.struct("_item", "reason")).alias("_first"))
-                           .select(request_id, F.col("_first.reason").alias("reason")))
+    rejected = (faults.groupBy(request_id).agg(F.min(F.struct("_item", "reason")).alias("_first"))
+                .select(request_id, F.col("_first.reason").alias("reason")))
+    return good, rejected
+
+
+def add_treatments(tables: dict[str, DataFrame], requests: DataFrame, body: str = "body",
+                   request_id: str = "request_id") -> tuple[dict[str, DataFrame], DataFrame]:
+    """Apply a batch of treatment requests; returns (new tables, rejected requests), as
+    ``check_treatments`` finds them."""
+    treat = tables["Treatment"]
+    good, rejected = check_treatments(tables, requests, body, request_id)
+    rejected = cut_lineage(rejected)
     new = good.join(rejected.select(request_id), request_id, "left_anti").select(
         F.lit(None).cast(treat.schema["TreatmentID"].dataType).alias("TreatmentID"),
         "DiagnosisID", "AppointmentID", "TreatmentName", "Description", "TreatmentCost", request_id, "_item")

@@ -7,6 +7,10 @@ a doctor holding a third of all appointments costs one row per map task,
 and the dimension joins see one row per dimension key. Spark picks
 broadcast or sort-merge for those joins by its own size check.
 
+``report_folds`` makes all these folds in one pass: one row for each appointment with its
+bill and its treatments' sums, and GROUPING SETS over it by status, doctor, patient and
+in total. Every report takes such ``folds`` instead of folding its tables itself.
+
 Money stays exact DECIMAL inside; averages are returned as
 ``CAST(SUM(x) AS DOUBLE) / COUNT(x)``, and money leaves as DOUBLE.
 """
@@ -18,8 +22,11 @@ from pyspark.sql import functions as F
 
 from wardbook.functions.money import cents_sum, from_cents
 from wardbook.functions.scalars import text_key
+from wardbook.operators.billing import derive_billing
+from wardbook.session import cut_lineage
 
 Tables = dict[str, DataFrame]
+Folds = dict[str, DataFrame]
 
 
 def _money(c: Column) -> Column:
@@ -40,14 +47,78 @@ def _count_if_known(cond: Column, value: Column) -> Column:
     return F.when(cond, F.lit(1)).when(value.isNotNull(), F.lit(0))
 
 
-def billing_by_status(T: Tables, ci: bool = False) -> DataFrame:
+def treatment_sums(treatments: DataFrame) -> DataFrame:
+    """The treatments of each appointment: counts, exact cost in cents, smallest and largest."""
+    return treatments.groupBy("AppointmentID").agg(
+        F.count("TreatmentID").alias("_n_id"), F.count("TreatmentCost").alias("_n_cost"),
+        cents_sum(F.col("TreatmentCost")).alias("_sum"), F.min("TreatmentCost").alias("_min"),
+        F.max("TreatmentCost").alias("_max"))
+
+
+def _visits(s: Column) -> list[Column]:
+    return [F.count("AppointmentID").alias("_cnt"),
+            F.sum(_count_if_known(s == "Completed", s)).alias("_completed"),
+            F.sum(_count_if_known(s.isin("Scheduled", "Requested"), s)).alias("_scheduled"),
+            F.sum(_count_if_known(s == "Canceled", s)).alias("_canceled"),
+            F.min("AppointmentDate").alias("_first"),
+            F.max("AppointmentDate").alias("_last")]
+
+
+def report_folds(T: Tables, ci: bool = False, paid: DataFrame | None = None) -> Folds:
+    """The folds that R1 to R8 start from, by one scan of Treatment, Appointment and BillingRecord.
+
+    Appointments, their bills (at most one each) and their treatments' sums meet in one full
+    outer join on AppointmentID; GROUPING SETS then fold the rows by payment status, doctor,
+    the bill's patient, and in total. The folds (a row for each group) are stored once in the
+    checkpoint folder. With ``paid`` (AppointmentID, AmountPaid) the bills are derived (B1)
+    from the same sums of treatments instead of read from ``T``.
+    """
+    sums = treatment_sums(T["Treatment"])
+    if paid is None:
+        bills = T["BillingRecord"]
+    else:
+        sums = cut_lineage(sums)  # read twice
+        costs = sums.select("AppointmentID", from_cents(F.col("_sum")).alias("TreatmentCost"))
+        bills = derive_billing({**T, "Treatment": costs}, existing=paid)
+    money = ["TotalCost", "InsuranceCoverage", "AmountOwed", "AmountPaid"]
+    b = bills.select("AppointmentID", "BillingID", F.col("PatientID").alias("_payer"), "PaymentStatus", *money)
+    a = T["Appointment"].select("AppointmentID", F.col("AppointmentID").alias("_appt"), "DoctorID", "Status", "AppointmentDate")
+    rows = a.join(b, "AppointmentID", "full_outer").join(sums, "AppointmentID", "full_outer").drop("AppointmentID")
+    rows = rows.withColumnRenamed("_appt", "AppointmentID").withColumn("PaymentStatus", F.when(F.col("BillingID").isNotNull(), F.col("PaymentStatus")))
+    by = ["PaymentStatus", "DoctorID", "_payer"]
+    g = cut_lineage(rows.groupingSets([[c] for c in by] + [[]], *by).agg(
+        F.grouping_id().alias("_set"), F.count("BillingID").alias("_bills"),
+        *[cents_sum(F.col(c)).alias(f"_c_{c}") for c in money],
+        cents_sum(F.col("AmountOwed") - F.col("AmountPaid")).alias("_out"),
+        F.count("TotalCost").alias("_n"), F.min("TotalCost").alias("_min"), F.max("TotalCost").alias("_max"),
+        F.count("InsuranceCoverage").alias("_n_cov"), F.min("InsuranceCoverage").alias("_min_cov"), F.max("InsuranceCoverage").alias("_max_cov"),
+        *_visits(text_key(F.col("Status"), ci)),
+        *[F.sum(c).alias(f"_t{c}") for c in ("_n_id", "_n_cost", "_sum")], F.count("_n_id").alias("_t_rows"),
+        F.min("_min").alias("_t_min"), F.max("_max").alias("_t_max")))
+    # one bit for each column that is not grouped by
+    part = lambda bits: g.filter(F.col("_set") == bits)
+    c = lambda name, to: F.col(f"_c_{name}").alias(to)
+    doctors = part(0b101).filter("DoctorID IS NOT NULL")
+    owed = [c("AmountOwed", "_owed"), c("AmountPaid", "_paid"), "_out"]
+    return {
+        "status": part(0b011).filter("_bills > 0").select("PaymentStatus", F.col("_bills").alias("TotalRecords"), c("TotalCost", "_billed"), c("InsuranceCoverage", "_covered"), *owed, "_n", "_min", "_max"),
+        "doctor_visits": doctors.select("DoctorID", "_cnt", "_completed", "_scheduled", "_canceled", "_first", "_last"),
+        "doctor_treatments": doctors.filter("_t_rows > 0").select("DoctorID", *[F.col(f"_t{x}").alias(x) for x in ("_n_id", "_n_cost", "_sum", "_min", "_max")]),
+        "doctor_bills": doctors.select("DoctorID", "_cnt", c("TotalCost", "_sum"), "_n", "_min", "_max", F.col("_first").alias("EarliestAppt"), F.col("_last").alias("LatestAppt")),
+        "patient_bills": part(0b110).filter("_bills > 0").select(F.col("_payer").alias("PatientID"), F.col("_bills").alias("_claims"), c("TotalCost", "_billed"), c("InsuranceCoverage", "_covered"),
+                                                                 c("AmountOwed", "_owed"), "_n_cov", F.col("_min_cov").alias("_min"), F.col("_max_cov").alias("_max")),
+        "total": part(0b111).select(F.col("_bills").alias("TotalBillings"), c("TotalCost", "_billed"), "_n", "_min", "_max", c("InsuranceCoverage", "_cov"), *owed),
+    }
+
+
+def billing_by_status(T: Tables, ci: bool = False, folds: Folds | None = None) -> DataFrame:
     """Bills grouped by PaymentStatus, largest total billed first.
     With ``ci`` spellings that differ only in case, accents or trailing
     spaces form one group, shown by their smallest spelling."""
-    b = T["BillingRecord"]
+    b = None if folds else T["BillingRecord"]
     # folded by the raw spelling first: the buffers are of fixed width, so no task sorts its bills
     sums = ["_billed", "_covered", "_owed", "_paid", "_out"]
-    g = b.groupBy("PaymentStatus").agg(
+    g = folds["status"] if folds else b.groupBy("PaymentStatus").agg(
         F.count(F.lit(1)).alias("TotalRecords"),
         cents_sum(F.col("TotalCost")).alias("_billed"),
         cents_sum(F.col("InsuranceCoverage")).alias("_covered"),
@@ -75,21 +146,13 @@ def billing_by_status(T: Tables, ci: bool = False) -> DataFrame:
 
 
 def _appointments_per_doctor(T: Tables, ci: bool = False) -> DataFrame:
-    a = T["Appointment"]
-    s = text_key(F.col("Status"), ci)
-    return (a.filter(F.col("DoctorID").isNotNull()).groupBy("DoctorID").agg(
-        F.count("AppointmentID").alias("_cnt"),
-        F.sum(_count_if_known(s == "Completed", s)).alias("_completed"),
-        F.sum(_count_if_known(s.isin("Scheduled", "Requested"), s)).alias("_scheduled"),
-        F.sum(_count_if_known(s == "Canceled", s)).alias("_canceled"),
-        F.min("AppointmentDate").alias("_first"),
-        F.max("AppointmentDate").alias("_last")))
-
-
-def appointments_by_dept(T: Tables, ci: bool = False) -> DataFrame:
+    return T["Appointment"].filter(F.col("DoctorID").isNotNull()).groupBy("DoctorID").agg(*_visits(text_key(F.col("Status"), ci)))
+
+
+def appointments_by_dept(T: Tables, ci: bool = False, folds: Folds | None = None) -> DataFrame:
     """R2: every department; empty ones keep count 0 and NULL sums and dates.
     Scheduled counts Scheduled and Requested."""
-    per_doc = _appointments_per_doctor(T, ci)
+    per_doc = folds["doctor_visits"] if folds else _appointments_per_doctor(T, ci)
     docs = T["Doctor"].select("DoctorID", "DepartmentID").filter(F.col("DepartmentID").isNotNull())
     per_dept = (docs.join(per_doc, "DoctorID", "left").groupBy("DepartmentID").agg(
         F.sum("_cnt").alias("_cnt"), F.sum("_completed").alias("Completed"),
@@ -107,17 +170,17 @@ def appointments_by_dept(T: Tables, ci: bool = False) -> DataFrame:
             .drop("DepartmentID"))
 
 
-def treatment_by_dept(T: Tables) -> DataFrame:
+def _treatments_per_doctor(T: Tables) -> DataFrame:
+    return (treatment_sums(T["Treatment"]).join(T["Appointment"].select("AppointmentID", "DoctorID"), "AppointmentID")
+            .groupBy("DoctorID").agg(
+                F.sum("_n_id").alias("_n_id"), F.sum("_n_cost").alias("_n_cost"),
+                F.sum("_sum").alias("_sum"), F.min("_min").alias("_min"),
+                F.max("_max").alias("_max")))
+
+
+def treatment_by_dept(T: Tables, folds: Folds | None = None) -> DataFrame:
     """Treatments through appointment, doctor and department (inner chain)."""
-    per_appt = (T["Treatment"].groupBy("AppointmentID").agg(
-        F.count("TreatmentID").alias("_n_id"), F.count("TreatmentCost").alias("_n_cost"),
-        cents_sum(F.col("TreatmentCost")).alias("_sum"), F.min("TreatmentCost").alias("_min"),
-        F.max("TreatmentCost").alias("_max")))
-    per_doc = (per_appt.join(T["Appointment"].select("AppointmentID", "DoctorID"), "AppointmentID")
-               .groupBy("DoctorID").agg(
-                   F.sum("_n_id").alias("_n_id"), F.sum("_n_cost").alias("_n_cost"),
-                   F.sum("_sum").alias("_sum"), F.min("_min").alias("_min"),
-                   F.max("_max").alias("_max")))
+    per_doc = folds["doctor_treatments"] if folds else _treatments_per_doctor(T)
     per_dept = (per_doc.join(T["Doctor"].select("DoctorID", "DepartmentID"), "DoctorID")
                 .groupBy("DepartmentID").agg(
                     F.sum("_n_id").alias("_n_id"), F.sum("_n_cost").alias("_n_cost"),
@@ -133,19 +196,23 @@ def treatment_by_dept(T: Tables) -> DataFrame:
             .drop("DepartmentID"))
 
 
-def doctor_workload(T: Tables) -> DataFrame:
+def _bills_per_doctor(T: Tables) -> DataFrame:
+    bills = T["BillingRecord"].select("AppointmentID", "TotalCost")
+    return (T["Appointment"].select("AppointmentID", "DoctorID", "AppointmentDate")
+            .filter(F.col("DoctorID").isNotNull())
+            .join(bills, "AppointmentID", "left")
+            .groupBy("DoctorID").agg(
+                F.count("AppointmentID").alias("_cnt"), cents_sum(F.col("TotalCost")).alias("_sum"),
+                F.count("TotalCost").alias("_n"), F.min("TotalCost").alias("_min"),
+                F.max("TotalCost").alias("_max"),
+                F.min("AppointmentDate").alias("EarliestAppt"),
+                F.max("AppointmentDate").alias("LatestAppt")))
+
+
+def doctor_workload(T: Tables, folds: Folds | None = None) -> DataFrame:
     """Every doctor (namesakes stay apart); revenue from the bills of
     their appointments; AVG ignores unbilled appointments; dates not coalesced."""
-    bills = T["BillingRecord"].select("AppointmentID", "TotalCost")
-    per_doc = (T["Appointment"].select("AppointmentID", "DoctorID", "AppointmentDate")
-               .filter(F.col("DoctorID").isNotNull())
-               .join(bills, "AppointmentID", "left")
-               .groupBy("DoctorID").agg(
-                   F.count("AppointmentID").alias("_cnt"), cents_sum(F.col("TotalCost")).alias("_sum"),
-                   F.count("TotalCost").alias("_n"), F.min("TotalCost").alias("_min"),
-                   F.max("TotalCost").alias("_max"),
-                   F.min("AppointmentDate").alias("EarliestAppt"),
-                   F.max("AppointmentDate").alias("LatestAppt")))
+    per_doc = folds["doctor_bills"] if folds else _bills_per_doctor(T)
     zero = F.lit(0)
     return (T["Doctor"].select("DoctorID", "FirstName", "LastName", "Specialty", "DepartmentID")
             .join(T["Department"].select("DepartmentID", "DepartmentName"), "DepartmentID", "left")
@@ -162,20 +229,27 @@ def doctor_workload(T: Tables) -> DataFrame:
             .drop("DoctorID"))
 
 
-def insurance_analysis(T: Tables) -> DataFrame:
-    """Per provider: distinct patients, claims (a patient's bills fan out),
-    coverage totals. Uninsured patients appear nowhere.
-
-    Bills are first folded per patient; since PatientID is the Patient key,
-    counting patient rows per provider is the distinct patient count.
-    """
-    per_patient = (T["BillingRecord"].groupBy("PatientID").agg(
+def _bills_per_patient(T: Tables) -> DataFrame:
+    return (T["BillingRecord"].groupBy("PatientID").agg(
         F.count("BillingID").alias("_claims"), cents_sum(F.col("TotalCost")).alias("_billed"),
         cents_sum(F.col("InsuranceCoverage")).alias("_covered"), cents_sum(F.col("AmountOwed")).alias("_owed"),
         F.count("InsuranceCoverage").alias("_n_cov"),
         F.min("InsuranceCoverage").alias("_min"), F.max("InsuranceCoverage").alias("_max")))
+
+
+def insurance_analysis(T: Tables, folds: Folds | None = None) -> DataFrame:
+    """Per provider: distinct patients, claims (a patient's bills fan out),
+    coverage totals. Uninsured patients appear nowhere.
+
+    COUNT(DISTINCT PatientID) in two phases: provider and patient first, so that a
+    patient whose row is repeated (also under several names or addresses) is one
+    patient of a provider and has each bill once; then the count. Bills are folded per
+    patient before they join. One shuffle by PatientID serves both.
+    """
+    per_patient = folds["patient_bills"] if folds else _bills_per_patient(T)
     per_provider = (T["Patient"].select("PatientID", "ProviderID")
                     .filter(F.col("ProviderID").isNotNull())
+                    .repartition("PatientID").distinct()
                     .join(per_patient, "PatientID", "left")
                     .groupBy("ProviderID").agg(
                         F.count("PatientID").alias("_patients"),
@@ -199,15 +273,16 @@ def insurance_analysis(T: Tables) -> DataFrame:
             .drop("ProviderID"))
 
 
-def billing_summary(T: Tables) -> DataFrame:
+def billing_summary(T: Tables, folds: Folds | None = None) -> DataFrame:
     """One row over all bills; on an empty table count 0 and the rest NULL."""
-    b = T["BillingRecord"]
-    return (b.agg(F.count("BillingID").alias("TotalBillings"),
-                  cents_sum(F.col("TotalCost")).alias("_billed"), F.count("TotalCost").alias("_n"),
-                  F.min("TotalCost").alias("_min"), F.max("TotalCost").alias("_max"),
-                  cents_sum(F.col("InsuranceCoverage")).alias("_cov"), cents_sum(F.col("AmountOwed")).alias("_owed"),
-                  cents_sum(F.col("AmountPaid")).alias("_paid"),
-                  cents_sum(F.col("AmountOwed") - F.col("AmountPaid")).alias("_out"))
+    total = folds["total"] if folds else T["BillingRecord"].agg(
+        F.count("BillingID").alias("TotalBillings"),
+        cents_sum(F.col("TotalCost")).alias("_billed"), F.count("TotalCost").alias("_n"),
+        F.min("TotalCost").alias("_min"), F.max("TotalCost").alias("_max"),
+        cents_sum(F.col("InsuranceCoverage")).alias("_cov"), cents_sum(F.col("AmountOwed")).alias("_owed"),
+        cents_sum(F.col("AmountPaid")).alias("_paid"),
+        cents_sum(F.col("AmountOwed") - F.col("AmountPaid")).alias("_out"))
+    return (total
             .select("TotalBillings", _money_cents(F.col("_billed")).alias("TotalBilled"),
                     _avg_cents(F.col("_billed"), F.col("_n")).alias("AvgBill"),
                     _money(F.col("_min")).alias("MinBill"), _money(F.col("_max")).alias("MaxBill"),
@@ -228,52 +303,47 @@ def kpis(T: Tables) -> DataFrame:
     return s.select("*", share.alias("InsuredSharePct"), n_doctors.alias("ActiveDoctors"))
 
 
+def _bars(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` (``by``, label, value) is stored once; the maximum of each ``by`` joins back (a row each)."""
+    df = cut_lineage(df)
+    v = F.coalesce(F.col("value").cast("double"), F.lit(0.0))
+    rows = df.select(*by, "label", v.alias("value"))
+    top = F.greatest(F.max("value"), F.lit(1.0)).alias("_top")
+    rows = rows.join(rows.groupBy(*by).agg(top), by) if by else rows.withColumn("_top", rows.select(top).scalar())
+    return rows.select(*by, "label", "value", F.greatest(F.lit(4.0), F.round(F.col("value") / F.col("_top") * 100)).cast("long").alias("pct"))
+
+
 def bar_share(df: DataFrame, label: str, value: str) -> DataFrame:
     """Each value as a percent of the largest (NULL as 0), at least 4.
 
     The report (a row for each bar) is computed once and stored; the maximum is
     a scalar subquery over that copy.
     """
-    from wardbook.session import cut_lineage
-    df = cut_lineage(df.select(label, value))
-    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-    top = df.select(F.greatest(F.max(v), F.lit(1.0))).scalar()
-    return df.select(F.col(label).alias("label"), v.alias("value"),
-                     F.greatest(F.lit(4.0), F.round(v / top * 100)).cast("long").alias("pct"))
-
-
-def dashboard_bars(T: Tables, share_inputs: bool = False) -> DataFrame:
-    """R8 for the five charts of the reports screen: (chart, label, value, pct).
-    ``share_inputs`` as in ``all_reports``."""
-    if share_inputs:
-        from wardbook.session import cut_lineage
-        T = dict(T)
-        for name in ("BillingRecord", "Appointment"):
-            T[name] = cut_lineage(T[name])
-    charts = [("billing", billing_by_status(T), "PaymentStatus", "TotalBilled"),
-              ("appointments", appointments_by_dept(T), "DepartmentName", "TotalAppointments"),
-              ("treatments", treatment_by_dept(T), "DepartmentName", "TotalCost"),
-              ("doctors", doctor_workload(T), "DoctorName", "TotalAppointments"),
-              ("insurance", insurance_analysis(T), "ProviderName", "TotalCovered")]
+    return _bars(df.select(F.col(label).alias("label"), F.col(value).alias("value")), [])
+
+
+def dashboard_bars(T: Tables, folds: Folds | None = None) -> DataFrame:
+    """R8 for the five charts of the reports screen: (chart, label, value, pct), over
+    ``folds`` (made here in one pass if not given)."""
+    folds = folds or report_folds(T)
+    charts = [("billing", billing_by_status(T, folds=folds), "PaymentStatus", "TotalBilled"),
+              ("appointments", appointments_by_dept(T, folds=folds), "DepartmentName", "TotalAppointments"),
+              ("treatments", treatment_by_dept(T, folds), "DepartmentName", "TotalCost"),
+              ("doctors", doctor_workload(T, folds), "DoctorName", "TotalAppointments"),
+              ("insurance", insurance_analysis(T, folds), "ProviderName", "TotalCovered")]
     out = None
     for name, df, label, value in charts:
-        bars = bar_share(df, label, value).select(F.lit(name).alias("chart"), "*")
+        bars = df.select(F.lit(name).alias("chart"), F.col(label).alias("label"), F.col(value).cast("double").alias("value"))
         out = bars if out is None else out.unionByName(bars)
-    return out
-
-
-def all_reports(T: Tables, share_inputs: bool = False) -> dict[str, DataFrame]:
-    """R1-R6 together. With ``share_inputs`` the bills and appointments, which
-    most reports read, are materialized once in the checkpoint folder first
-    (worth it when they are derived rather than stored)."""
-    if share_inputs:
-        from wardbook.session import cut_lineage
-        T = dict(T)
-        for name in ("BillingRecord", "Appointment"):
-            T[name] = cut_lineage(T[name])
-    return {"billing_by_status": billing_by_status(T),
-            "appointments_by_dept": appointments_by_dept(T),
-            "treatment_by_dept": treatment_by_dept(T),
-            "doctor_workload": doctor_workload(T),
-            "insurance_analysis": insurance_analysis(T),
-            "billing_summary": billing_summary(T)}
+    return _bars(out, ["chart"])
+
+
+def all_reports(T: Tables, ci: bool = False) -> dict[str, DataFrame]:
+    """R1-R6 over one pass of the tables (``report_folds``)."""
+    folds = report_folds(T, ci)
+    return {"billing_by_status": billing_by_status(T, ci, folds),
+            "appointments_by_dept": appointments_by_dept(T, ci, folds),
+            "treatment_by_dept": treatment_by_dept(T, folds),
+            "doctor_workload": doctor_workload(T, folds),
+            "insurance_analysis": insurance_analysis(T, folds),
+            "billing_summary": billing_summary(T, folds)}

@@ -127,6 +127,27 @@ def ingest_json_props(spark, d):
     return json_io.read_json_batch(ev, "props", schema, keep=["event_id"])
 
 
+def _json_bodies(spark, d) -> tuple[DataFrame, T.StructType]:
+    """Event props as JSON bodies, some broken, of a wrong type, empty, or lists with bad items."""
+    k = F.col("event_id") % 7
+    body = (F.when(k == 1, F.expr("left(props, length(props) - 1)")).when(k == 2, F.lit('{"k": "abc"}')).when(k == 3, F.lit("[]"))
+             .when(k == 4, F.lit('[{"k": "12", "note": "x"}, {"note": "y"}, {"k": 1.5}, {"k": 7}, 8]')).otherwise(F.col("props")))
+    schema = T.StructType([T.StructField("k", T.LongType(), False), T.StructField("note", T.StringType())])
+    return _raw(spark, d, "events").select("event_id", body.alias("body")), schema
+
+
+def json_items(spark, d):
+    """S3: the sound items of bodies with one object or a list each."""
+    bodies, schema = _json_bodies(spark, d)
+    return json_io.read_json_batch(bodies, "body", schema, keep=["event_id"], position="item")
+
+
+def json_rejects(spark, d):
+    """S3: the bodies and items that can't be read, each with its reason."""
+    bodies, schema = _json_bodies(spark, d)
+    return json_io.json_rejects(bodies, "body", schema, keep=["event_id"])
+
+
 def billing_json(spark, d):
     """Every bill as one JSON object (numbers for money, ISO dates)."""
     return json_io.to_json_rows(_tables(spark, d)["BillingRecord"])
@@ -168,7 +189,9 @@ def empty_scope(spark, d):
     linked = accounts.where(F.col("record").isNotNull())
     visible = t["Appointment"].groupBy("PatientID").agg(F.count(F.lit(1)).alias("n"))
     seen = linked.join(visible, linked["record"] == visible["PatientID"], "left").select("account", F.coalesce("n", F.lit(0)).alias("n"))
-    none = accounts.where(F.col("record").isNull()).select("account", F.lit(0).cast("long").alias("n"))
+    nothing = L.empty_like(visible)
+    none = accounts.where(F.col("record").isNull())
+    none = none.join(nothing, none["account"] == nothing["PatientID"], "left").select("account", F.coalesce("n", F.lit(0)).alias("n"))
     return seen.unionByName(none)
 
 
@@ -291,7 +314,38 @@ def report_bar_share(spark, d):
 
 def report_dashboard_bars(spark, d):
     """R8 for all five charts of the reports screen."""
-    return R.dashboard_bars(_tables(spark, d))
+    t = _tables(spark, d)
+    return R.dashboard_bars(t, R.report_folds(t, paid=B.paid_per_appointment(t["Payments"])))
+
+
+def report_insurance_repeats(spark, d):
+    """R5 over a Patient table in which rows are repeated, some under another name."""
+    t = _tables(spark, d)
+    p = t["Patient"]
+    t["Patient"] = p.unionByName(p.where("PatientID % 3 = 0")).unionByName(p.where("PatientID % 5 = 0").withColumn("LastName", F.lit("moved")))
+    return R.insurance_analysis(t)
+
+
+def _moves(t: dict[str, DataFrame]) -> DataFrame:
+    """A mapping of provider keys with rows that can't be followed."""
+    p = F.col("ProviderID")
+    ip = t["InsuranceProvider"]
+    new = F.when(p % 4 == 1, p + 1).when(p % 8 == 4, F.lit(500)).otherwise(p + 100)
+    parts = [ip.select(p.alias("old_key"), new.alias("new_key")), ip.where(p % 6 == 0).select(p, p + 200),
+             ip.where(p % 7 == 0).select(p + 1000, p + 300), ip.where(p == 3).select(p, F.lit(None).cast("long"))]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+def rekey_rejects(spark, d):
+    """The rows of a key mapping that can't be followed."""
+    t = _tables(spark, d)
+    return D.rekey_rejects(t, "InsuranceProvider", _moves(t))
+
+
+def rekey_sound(spark, d):
+    """The patients after a mapping of which only the sound rows count."""
+    t = _tables(spark, d)
+    return D.cascade_rekey(t, "InsuranceProvider", _moves(t))["Patient"]
 
 
 # ---------------------------------------------------------------------------
@@ -509,6 +563,14 @@ def expand_accounts(spark, d):
     return D.expand_accounts(_account_feed(spark, d), _tables(spark, d))["Users"]
 
 
+def expand_accounts_ties(spark, d):
+    """A feed of which four rows each share a sequence number, some have none, and names recur."""
+    k = F.col("seq")
+    feed = _account_feed(spark, d).withColumn("username", F.concat(F.lit("user"), F.when(k % 9 == 4, k - 1).otherwise(k).cast("string")))
+    feed = feed.withColumn("seq", F.when(k % 11 > 0, F.floor(k / 4)))
+    return D.expand_accounts(feed, _tables(spark, d))["Users"]
+
+
 def expand_accounts_rejects(spark, d):
     """What a feed with empty and repeated usernames and unknown roles has rejected."""
     k = F.col("seq")
@@ -588,9 +650,9 @@ def add_treatments_flow(spark, d):
 
 def add_treatments_rejects(spark, d):
     """The same flow's rejected requests with their reasons."""
-    from wardbook.operators.flows import add_treatments
+    from wardbook.operators.flows import check_treatments
     t, reqs = _treatment_requests(spark, d)
-    return add_treatments(t, reqs)[1]
+    return check_treatments(t, reqs)[1]
 
 
 def remove_treatments_flow(spark, d):
