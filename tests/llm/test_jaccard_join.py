@@ -99,3 +99,39 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(None, text), (9, text), (9, "x y z"), (4, "x y z"), (7, None), (7, None)], "doc_id long, text string")
     assert sorted(map(str, (tuple(r) for r in similar_documents(df).collect()))) == sorted(map(str, [(None, 3, None), (9, 3, 4), (9, 1, 4), (4, 1, 4), (7, 0, 7), (7, 0, 7)]))
     assert similar_documents(df.limit(0)).collect() == []
+
+
+def test_texts_of_one_id_alike_in_size(spark):
+    """Two texts of one id with as many shingles and the same smallest one keep the links of both."""
+    import random
+
+    from wardbook.llm import textops
+    from wardbook.llm.jaccard_join import document_sets
+    rng = random.Random(3)
+    rows, want, extra = [], {}, 100_000
+    for group in range(20):
+        words = [f"g{group}w{i}" for i in range(40)]
+        changed = []
+        gram = None
+        for i in range(4, 36, 5):  # edits that keep the smallest shingle
+            w = list(words)
+            w[i] = f"e{group}x{i}"
+            data, offs = textops.column(__import__("pyarrow").array([" ".join(w)]))
+            g, first = document_sets(data, offs, 5)
+            if gram is None or int(g[0]) == gram:
+                gram = int(g[0])
+                changed.append(" ".join(w))
+        a, b = changed[0], changed[-1]
+        if a == b:
+            continue
+        # each of the two has a partner of its own, under another id
+        for t in (a, b):
+            rows.append((group, t))
+            extra += 1
+            rows.append((extra, t + f" tail{rng.random()}"))
+            want[extra] = group
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {}
+    for r in similar_documents(df).collect():
+        got.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert len(want) >= 20 and all(got[d] == {c} for d, c in want.items())

@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -369,7 +370,7 @@ def _links(dealt: DataFrame, partitions: int, width: int, percent: int) -> DataF
                 gram, first = document_sets(data, offs[lo:hi + 1], width)
                 for i in range(hi - lo):
                     own = gram[first[i]:first[i + 1]]
-                    key = (doc[lo + i], len(own), int(own[0]) if len(own) else 0)
+                    key = (doc[lo + i], blake2b(own.tobytes(), digest_size=16).digest())
                     if len(own) and key not in met:  # a set may come with several pairs of blocks
                         met.add(key)
                         docs.append(doc[lo + i])
