@@ -191,3 +191,18 @@ def test_language_of_odd_rows(spark, monkeypatch):
 def test_the_tokenizers_folder_is_a_parameter(monkeypatch):
     monkeypatch.setenv("TOKENIZERS_DIR", "/some/where")
     assert tokenizer_path() == os.path.join("/some/where", "byte_bpe_50k.json")
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 5])
+def test_mix_of_tied_rows(spark, ids):
+    """Rows that tie in key, id and size are drawn one by one: a target is met to within half a document."""
+    rows = [(ids(i), "w " * 10, "a", str(i)) for i in range(1000)] + [(i, "w " * 7, "b", "") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, note string").repartition(6)
+    out = mix_sources(df).collect()
+    assert len(out) == len(rows)
+    for s, size in (("a", 10), ("b", 7)):
+        own = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= size / 2 and 0 < sum(r["taken"] for r in own) != 2 * own[0]["source_size"]
+        assert all(0 <= r["taken"] <= 2 * size for r in own)
+    again = mix_sources(df.repartition(3)).collect()
+    assert sorted((r["source"], r["note"], r["taken"]) for r in out if r["source"] == "a") == sorted((r["source"], r["note"], r["taken"]) for r in again if r["source"] == "a")

@@ -96,18 +96,30 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     small = ends.count() <= BROADCAST_SOURCES
     hint = F.broadcast if small else lambda x: x
 
-    # in each source's last bucket: the last document of which at least half fits
+    # in each source's last bucket: the last document of which at least half fits; of documents
+    # in one place (equal key, id and size) as many as fit
     place = F.struct("key", F.col("id").isNotNull().alias("known"), "id", "size")
-    order = W.partitionBy("source").orderBy(place).rowsBetween(W.unboundedPreceding, -1)
-    edge = (narrow.join(hint(ends), same & (F.col("bucket") == F.col("last")))
-            .withColumn("fits", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= F.col("rest"))
-            .where("fits").groupBy("source").agg(F.max(place).alias("edge")))
+    places = (narrow.join(hint(ends), same & (F.col("bucket") == F.col("last")))
+              .groupBy("source", place.alias("place"), "before", "rest").agg(F.count("*").alias("n")))
+    order = W.partitionBy("source").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    own_size = F.col("place.size")
+    left = F.col("rest") - F.col("before") - F.coalesce(F.sum(F.col("n") * own_size).over(order), F.lit(0))
+    fit = F.when(own_size > 0, F.floor((left - own_size / 2) / own_size) + 1).when(left >= 0, F.col("n")).otherwise(F.lit(0)).cast("long")
+    edge = (places.withColumn("drawn", F.least("n", fit)).where("drawn > 0")
+            .groupBy("source").agg(F.max(F.struct("place", "drawn", "n")).alias("edge")))
     last = ends.select(F.col("s").alias("e"), "last").join(edge, F.col("e").eqNullSafe(F.col("source")), "left").select("e", "last", "edge")
     goals = cut_lineage(goals.join(last, F.col("s").eqNullSafe(F.col("e")), "left").select("s", "source_size", "target", "epochs", "last", "edge"))
 
     rows = docs.select(F.struct(*[name(c) for c in docs.columns]).alias("row"), *own.values()).select("*", bucket).join(hint(goals), same)
-    drawn = (F.col("bucket") < F.col("last")) | ((F.col("bucket") == F.col("last")) & (place <= F.col("edge")))
-    repeats = F.col("epochs") + F.coalesce(drawn, F.lit(False)).cast("long")
+    here = F.coalesce((F.col("bucket") == F.col("last")) & (place == F.col("edge.place")), F.lit(False))
+    drawn = (F.col("bucket") < F.col("last")) | ((F.col("bucket") == F.col("last")) & (place < F.col("edge.place"))) | (here & (F.col("edge.drawn") == F.col("edge.n")))
+    rows = rows.withColumn("drawn", F.coalesce(drawn, F.lit(False)))
+    if not goals.where("edge.drawn < edge.n").isEmpty():
+        # only the rows of the place that is drawn in part are numbered
+        turn = F.row_number().over(W.partitionBy("source").orderBy(F.xxhash64("row")))
+        split = here & (F.col("edge.drawn") < F.col("edge.n"))
+        rows = rows.where(~split).unionByName(rows.where(split).withColumn("drawn", turn <= F.col("edge.drawn")))
+    repeats = F.col("epochs") + F.col("drawn").cast("long")
     out = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "repeats": repeats, "taken": F.col("size") * repeats}
     return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in out], *[v.alias(k) for k, v in out.items()])
 
