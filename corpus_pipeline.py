@@ -11,8 +11,8 @@ a stage does not decide on pass through, whatever their names.
 2. line_dedup: three-line windows that occurred before are removed; documents of
    which nothing is left go.
 3. near_duplicates: of documents linked by word shingles the one with the
-   smallest id stays. Rows that repeat an id are one document; the longest text
-   (ties: the smaller crc32) stays. Null ids stay.
+   smallest id stays (null ids last, then the first as stored). Every row is judged by its own
+   text, so different texts under one id stay, and copies under a null id go.
 4. decontamination: documents with a benchmark window go.
 5. mixing: the documents of the mix by source, by the labels' quality, with
    ``size``, ``source_size``, ``target``, ``repeats`` and ``taken``; those the mix
@@ -24,7 +24,7 @@ Empty tables pass through empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardbook.llm.decontaminate import contamination
 from wardbook.llm.frames import table
@@ -67,13 +67,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = similar_documents(docs.select("doc_id", "text")).where("component_id != doc_id").select(F.col("doc_id").alias("gone")).distinct()
     rows, names = _numbered(docs)
-    key, text = F.col(names["doc_id"]), F.col(names["text"])
-    kept = rows.join(found, key.cast("long") == F.col("gone"), "left_anti")
-    order = W.partitionBy(key).orderBy(F.desc(F.length(F.coalesce(text, F.lit("")))), F.crc32(text.cast("binary")))
-    once = kept.where(key.isNotNull()).withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
-    return _named(once.unionByName(kept.where(key.isNull())), names)
+    # every row is judged by its own text: numbered and stored, so that each read sees the same numbers
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
+    found = similar_documents(rows.select("row", F.col(names["text"]).alias("text")), doc_id="row").select(F.col("doc_id").alias("row"), "component_id")
+    groups = cut_lineage(found.join(found.where("component_id != row").select("component_id").distinct(), "component_id", "left_semi"))
+    key = F.col(names["doc_id"])
+    order = F.struct(key.isNull().alias("unknown"), key.alias("id"), "row")
+    stays = groups.join(rows.select("row", names["doc_id"]), "row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    return _named(rows.join(groups.join(stays, "row", "left_anti").select("row"), "row", "left_anti"), names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
