@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wardbook.schema import FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS, VARCHAR_LIMITS
@@ -67,6 +67,34 @@ def accept_batches(df: DataFrame, batch: str, bad) -> DataFrame:
     return df.join(good, batch, "left_semi")
 
 
+def column_rules(table: str, columns: list[str]) -> dict[str, Column]:
+    """V2 and V4 of ``table`` as named conditions on a row (TRUE: broken)."""
+    rules = {f"{c} is NULL": F.col(c).isNull() for c in not_null_columns(table) if c in columns}
+    return rules | {f"{c} longer than {n}": F.char_length(F.col(c)) > n for c, n in VARCHAR_LIMITS.get(table, {}).items() if c in columns}
+
+
+def observed(df: DataFrame, table: str, more: dict[str, Column] | None = None) -> tuple[DataFrame, Observation]:
+    """``df`` unchanged, and how many of its rows break each column rule (``column_rules`` and
+    ``more``), counted while they pass to whatever sink they are written to: no job of its
+    own. ``Observation.get`` has the counts, and ``rows``, once the write is done."""
+    rules = {**column_rules(table, df.columns), **(more or {})}
+    seen = Observation(f"quality of {table}")
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(name) for name, c in rules.items()]), seen
+
+
+def quality_profile(df: DataFrame, table: str, path: str | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """V1 to V4's column rules of a table as one report: (table, rule, rows, broken), by one job that writes
+    the rows to ``path`` on the way (or nowhere)."""
+    rows, seen = observed(df, table, more)
+    if path:
+        rows.write.mode("errorifexists").parquet(path)
+    else:
+        rows.write.format("noop").mode("overwrite").save()
+    counts = dict(seen.get)
+    total = counts.pop("rows")
+    return df.sparkSession.createDataFrame([(table, rule, total, n) for rule, n in counts.items()], "table_name string, rule string, rows long, broken long")
+
+
 def validate(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     """Split rows for ``table`` into (good, rejected with reason) by V2 and V4."""
     nn = not_null_columns(table)

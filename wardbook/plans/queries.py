@@ -515,6 +515,17 @@ def validate_patients(spark, d):
             .unionByName(bad.select(*cols, "reason")))
 
 
+def quality_profile(spark, d):
+    """V2 and V4 of three tables, each in one job over its rows, some of which break the rules."""
+    t = _tables(spark, d)
+    k = F.col("PatientID")
+    patients = (t["Patient"].withColumn("FirstName", F.when(k % 13 > 0, F.col("FirstName"))).withColumn("Phone", F.when(k % 17 == 0, F.repeat(F.lit("5"), F.lit(16))).otherwise(F.lit("555")))
+                .withColumn("Address", F.repeat(F.lit("é"), (k % 120).cast("int"))))
+    bills = t["BillingRecord"].withColumn("PaymentStatus", F.when(F.col("BillingID") % 19 > 0, F.col("PaymentStatus")))
+    out = V.quality_profile(patients, "Patient").unionByName(V.quality_profile(bills, "BillingRecord", more={"AmountPaid beyond TotalCost": F.col("AmountPaid") > F.col("TotalCost")}))
+    return out.unionByName(V.quality_profile(t["Appointment"], "Appointment"))
+
+
 def batch_reject(spark, d):
     """V7: line items batched by order; a batch with any quantity below 2 is rejected."""
     li = _raw(spark, d, "lineitem")
