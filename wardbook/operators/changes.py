@@ -19,11 +19,12 @@ from wardbook.session import cut_lineage
 # D1 key assignment
 # ---------------------------------------------------------------------------
 
-def assign_ids(df: DataFrame, target: DataFrame | None, id_col: str, order: list[str],
+def assign_ids(df: DataFrame, target: DataFrame | int | None, id_col: str, order: list[str],
                num_partitions: int | None = None) -> DataFrame:
     """Give rows whose ``id_col`` is NULL the keys MAX(target)+1, +2, ...
 
-    Rows that already carry a key keep it. New keys follow ``order``.
+    Rows that already carry a key keep it. New keys follow ``order``. ``target`` may be the
+    largest key itself (``sources.tables.max_key`` takes it from stored files' footers).
     Both halves read ``df``; when it is costly to compute, pass it
     materialized (``session.cut_lineage``), as ``merge_billing`` does.
     """
@@ -32,7 +33,7 @@ def assign_ids(df: DataFrame, target: DataFrame | None, id_col: str, order: list
     return keep.unionByName(number_new_rows(need, target, id_col, order, num_partitions))
 
 
-def number_new_rows(need: DataFrame, target: DataFrame | None, id_col: str, order: list[str],
+def number_new_rows(need: DataFrame, target: DataFrame | int | None, id_col: str, order: list[str],
                     num_partitions: int | None = None) -> DataFrame:
     """Number every row of ``need`` as MAX(target.id_col) + its rank in ``order``.
 
@@ -57,7 +58,9 @@ def number_new_rows(need: DataFrame, target: DataFrame | None, id_col: str, orde
                 F.sum("_n").over(Window.orderBy("_pid")
                                  .rowsBetween(Window.unboundedPreceding, -1)),
                 F.lit(0)).alias("_off")))
-    if target is not None:
+    if isinstance(target, int):
+        base = F.lit(target).cast("long")
+    elif target is not None:
         base = target.select(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()
     else:
         base = F.lit(0).cast("long")

@@ -75,6 +75,57 @@ def search_rows(df: DataFrame, q: str, cols: list[str] | None = None, sep: str =
     return df.filter(F.lower(row_text(cols, sep)).contains(q.lower()))
 
 
+def _pieces(text: Column) -> Column:
+    """The distinct runs of one, two and three characters of a text, and the empty run."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))
+
+    def runs(n: int) -> Column:
+        starts = F.slice(chars, F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(0)))
+        return F.transform(starts, lambda _, i: F.array_join(F.slice(chars, i + 1, F.lit(n)), ""))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), chars, runs(2), runs(3)))
+
+
+def search_many(df: DataFrame, searches: DataFrame, term: str, cols: list[str] | None = None,
+                sep: str = "", name: str = "search") -> DataFrame:
+    """P10 for a table of searches: each distinct text in ``term`` (as ``name``) with every row
+    that ``search_rows`` finds for it, as an equi-join.
+
+    A search is looked up by one run of its characters: three of them (all of a shorter
+    search), and of those the run that the fewest rows have. Rows meet their searches on
+    that run, once each, and the whole text is compared then. The runs are counted by a
+    partial aggregate over those that some search has. The empty search finds every row,
+    as in ``search_rows``; a NULL search finds none; repeated rows are all found.
+    """
+    text = F.lower(row_text(cols or df.columns, sep))
+    asked = (searches.select(F.col(term).cast("string").alias("_term")).where(F.col("_term").isNotNull()).distinct()
+             .withColumn("_q", F.lower("_term")))
+    size = F.least(F.lit(3), F.char_length("_q"))
+    runs = asked.select("*", F.explode(F.filter(_pieces(F.col("_q")), lambda x: F.char_length(x) == size)).alias("_run"))
+    counts = (df.select(F.explode(_pieces(text)).alias("_run"))
+              .join(runs.select("_run").distinct(), "_run", "left_semi").groupBy("_run").agg(F.count("*").alias("_n")))
+    rarest = (runs.join(counts, "_run", "left").groupBy("_term", "_q")
+              .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_run").alias("run")))["run"].alias("_run")))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), text.alias("_text"))
+    found = (rows.select("*", F.explode(_pieces(F.col("_text"))).alias("_run")).join(rarest, "_run")
+             .where(F.contains("_text", "_q")))
+    return found.select(F.col("_term").alias(name), "_row.*")
+
+
+def by_days(appts: DataFrame, days: DataFrame, col: str = "AppointmentDate", month: str = "AppointmentMonth") -> DataFrame:
+    """P4 by date for a table stored in folders by month (``sources.tables.with_month``): rows
+    whose ``col`` is one of the dates in the first column of ``days``.
+
+    The join is on month and date, so Spark reads only the folders of the months that the
+    dates fall in (dynamic partition pruning, where the dates pass its broadcast size
+    check; beyond it the whole table is read and joined). NULL dates find nothing.
+    """
+    keys = days.select(F.col(f"`{days.columns[0]}`").cast("date").alias(col)).where(F.col(col).isNotNull())
+    # Spark prunes by a key set only if a predicate restricts it: this one lets all dates pass
+    keys = keys.withColumn(month, F.trunc(col, "month")).where(F.col(month) > F.lit("-9999-01-01").cast("date"))
+    return appts.join(keys, [month, col], "left_semi").select(*appts.columns)
+
+
 # ---------------------------------------------------------------------------
 # Joins
 # ---------------------------------------------------------------------------

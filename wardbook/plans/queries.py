@@ -24,7 +24,7 @@ from wardbook.operators import reports as R
 from wardbook.operators import scope as X
 from wardbook.sources import json_io
 from wardbook.session import cut_lineage, scratch_path
-from wardbook.sources.tables import from_testdata, load_tables, payments_from_events, save_tables
+from wardbook.sources.tables import from_testdata, load_tables, max_key, payments_from_events, save_tables, with_month
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -174,6 +174,15 @@ def appts_sorted(spark, d):
     return L.appointments_sorted(_tables(spark, d)["Appointment"])
 
 
+def appts_of_days(spark, d):
+    """P4 + O1 over folders by month: all appointments on the dates of doctor 1's canceled ones."""
+    appts, root = _tables(spark, d)["Appointment"], scratch_path(spark, "months")
+    save_tables({"Appointment": with_month(appts)}, root, partition_by={"Appointment": ["AppointmentMonth"]})
+    stored = load_tables(spark, root, ["Appointment"])["Appointment"]
+    days = appts.where((F.col("DoctorID") == 1) & (F.col("Status") == "Canceled")).select("AppointmentDate")
+    return L.appointments_sorted(L.by_days(stored, days).select(*appts.columns))
+
+
 def treatments_list(spark, d):
     """J1 + P5: the treatments of appointment 1 with diagnosis names."""
     return _out(L.treatments_with_diagnosis(_tables(spark, d), appointment_id=1))
@@ -210,6 +219,16 @@ def search_customers(spark, d):
     return L.search_rows(_raw(spark, d, "customer"), "build", ["c_name", "c_mktsegment"])
 
 
+def search_customers_many(spark, d):
+    """P10 for many searches: customers found by regions, the nations' first two letters, the
+    suppliers' last four digits and the market segments' last five letters."""
+    searches = (_raw(spark, d, "region").select(F.col("r_name").alias("q"))
+                .union(_raw(spark, d, "nation").select(F.substring("n_name", 1, 2)))
+                .union(_raw(spark, d, "supplier").select(F.substring("s_name", -4, 4)))
+                .union(_raw(spark, d, "customer").select(F.substring("c_mktsegment", -5, 5))))
+    return L.search_many(_raw(spark, d, "customer"), searches, "q", ["c_name", "c_mktsegment"])
+
+
 # ---------------------------------------------------------------------------
 # joins and lookups
 # ---------------------------------------------------------------------------
@@ -268,6 +287,14 @@ def assign_ids(spark, d):
     return D.assign_ids(new, target, "new_key", order=["o_orderdate", "o_orderkey"])
 
 
+def assign_ids_stored(spark, d):
+    """D1 + A9 from the footers: as ``assign_ids``, the largest key taken from the file's statistics."""
+    new = (_raw(spark, d, "orders").filter(F.col("o_orderstatus") == "P")
+           .select(F.lit(None).cast("long").alias("new_key"), "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"))
+    top = max_key(spark, f"{d.rstrip('/')}/orders.parquet", "o_orderkey")
+    return D.assign_ids(new, top, "new_key", order=["o_orderdate", "o_orderkey"])
+
+
 # ---------------------------------------------------------------------------
 # reports
 # ---------------------------------------------------------------------------

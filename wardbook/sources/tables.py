@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,6 +144,45 @@ def save_tables(tables: Tables, directory: str | None = None, spark: SparkSessio
     return paths
 
 
+def with_month(df: DataFrame, col: str = "AppointmentDate", month: str = "AppointmentMonth") -> DataFrame:
+    """The first day of ``col``'s month as a further column, for ``save_tables(partition_by=...)``
+    and ``listings.by_days``: folders by month stay few and large where those by date don't."""
+    return df.withColumn(month, F.trunc(col, "month"))
+
+
+def max_key(spark: SparkSession, path: str, col: str, writes: int = 64) -> int:
+    """A9 over stored Parquet files: the largest ``col`` (0 without any), from the files' footers.
+
+    The aggregate is pushed into Spark's V2 reader, which reads no rows then. That reader
+    takes a column by its place, so files are read together only where one write
+    made them (their names say so); other layouts are plans of their own. It runs in a session
+    of its own, so the caller's settings stay. Files without statistics, and tables of more than
+    ``writes`` writes, are scanned instead, that column only.
+    """
+    parts: dict[str, list[str]] = {}
+    for f in map(unquote, spark.read.parquet(path).inputFiles()):
+        made = re.fullmatch(r"part-\d+-([0-9a-f-]{36})\b.*", f.rsplit("/", 1)[-1])
+        parts.setdefault(made[1] if made else f, []).append(f)
+    if len(parts) <= writes:
+        own = spark.newSession()
+        own.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+        own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+        try:
+            found = [m for m in (max_plan(own.read.parquet(*files), col) for files in parts.values()) if m is not None]
+            return reduce(DataFrame.union, found).agg(F.max("key")).first()[0] or 0 if found else 0
+        except (Py4JJavaError, PySparkException) as e:
+            if "aggregatePushdown" not in str(e):  # Spark's advice where a file has no statistics
+                raise
+    layout = stored_layout(spark, path)
+    reader = spark.read.schema(layout) if layout else spark.read.option("mergeSchema", "true")
+    return reader.parquet(path).agg(F.max(col)).first()[0] or 0
+
+
+def max_plan(df: DataFrame, col: str) -> DataFrame | None:
+    """The largest ``col`` of a scan, None where it has no such column."""
+    return df.agg(F.max(col).cast("long").alias("key")) if col.lower() in map(str.lower, df.columns) else None
+
+
 # The column by which a table's rows meet others most, for ``save_bucketed``.
 BUCKET_KEYS = {"Appointment": "AppointmentID", "Treatment": "AppointmentID", "Diagnosis": "AppointmentID", "BillingRecord": "AppointmentID",
                "Patient": "PatientID", "Doctor": "DoctorID", "Nurse": "NurseID"}
