@@ -78,12 +78,11 @@ def search_rows(df: DataFrame, q: str, cols: list[str] | None = None, sep: str =
 def _pieces(text: Column) -> Column:
     """The distinct runs of one, two and three characters of a text, and the empty run."""
     chars = F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))
-
-    def runs(n: int) -> Column:
-        starts = F.slice(chars, F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(0)))
-        return F.transform(starts, lambda _, i: F.array_join(F.slice(chars, i + 1, F.lit(n)), ""))
-
-    return F.array_distinct(F.concat(F.array(F.lit("")), chars, runs(2), runs(3)))
+    # each character with those behind it; NULL where the text ends before
+    two, three = (F.slice(chars, F.lit(n), F.size(chars)) for n in (2, 3))
+    pairs = F.zip_with(chars, two, lambda a, b: F.concat(a, b))
+    runs = F.concat(F.array(F.lit("")), chars, pairs, F.zip_with(pairs, three, lambda a, b: F.concat(a, b)))
+    return F.array_distinct(F.array_compact(runs))
 
 
 def search_many(df: DataFrame, searches: DataFrame, term: str, cols: list[str] | None = None,
