@@ -13,7 +13,7 @@ from wardbook.llm.decontaminate import contamination, hit_words
 from wardbook.llm.language_id import Model, fit, identify, label, train
 from wardbook.llm.mixing import mix_sources, targets
 from wardbook.llm.queries import QUERIES, tokenizer_path
-from wardbook.llm.token_counts import token_counts
+from wardbook.llm.token_counts import LONGEST, Lengths, frequent_pre_tokens, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,6 +44,18 @@ def test_token_counts_of_odd_texts(spark, library):
     assert token_counts(df.limit(0), tokenizer_path()).collect() == []
 
 
+def test_long_pre_tokens_are_counted_but_not_kept(spark, library):
+    """Texts without spaces: neither the broadcast table nor a worker's cache holds their bytes."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdefgh", k=n)) + " the end" for n in (LONGEST - 1, LONGEST, LONGEST + 1, 20_000, 20_000) for _ in range(10)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    top = frequent_pre_tokens(df, "text", 1000, 1000)
+    assert {len(w) for w in top} == {3, LONGEST - 1, LONGEST}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts(df, tokenizer_path()).collect()} == {i: library(t) for i, t in enumerate(texts)}
+    lengths = Lengths(tokenizer_path(), {}, 1000)
+    assert lengths.counts(texts) == [library(t) for t in texts] and max(map(len, lengths)) <= LONGEST
+
+
 # -- mixing -------------------------------------------------------------------------------
 
 def water(sizes, weights, total, cap):

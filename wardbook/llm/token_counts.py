@@ -4,11 +4,13 @@ A pre-token here is what stands between two spaces, with the space before it:
 the vocabulary's own pre-tokens never reach over such a border (see ``_safe``),
 so a text's number of tokens is the sum over its pre-tokens. A first pass over
 all texts counts pre-tokens inside each task and sends only each task's
-commonest ones (``per_task``); their merged top ``frequent`` and their numbers
-of tokens make a table of bounded size, which is broadcast. The second pass
-sums lengths of pre-tokens: from that table, else from the worker's own cache
-of about ``cache`` entries, which the tokenizer's library fills in batches. No
-pre-token is ever shuffled, and no count is cut off: the first tier only decides
+commonest ones (``per_task``), as counts; their merged top ``frequent`` and their
+numbers of tokens make a table of bounded size, which is broadcast. The second
+pass sums lengths of pre-tokens: from that table, else from the worker's own cache
+of about ``cache`` entries, which the tokenizer's library fills in batches. Both
+hold pre-tokens of at most ``LONGEST`` characters, so their bytes are bounded as
+well; a longer one is encoded again wherever some texts are read together. No
+other pre-token is shuffled, and no count is cut off: the first tier only decides
 what is looked up where.
 
 Texts with runs of spaces are divided by the vocabulary's own pattern instead.
@@ -42,6 +44,8 @@ PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 PLAIN = r"[\t\n\r\x20-\x7E¡-ɏΑ-ΡΣ-ϿЀ-џ–-…]*"
 
 
+LONGEST = 64  # characters of a pre-token that is kept for later texts
+
 _PLAIN_LATIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
 _plain = regex.compile(PLAIN).fullmatch
 
@@ -123,7 +127,11 @@ class Lengths(dict):
         met = set().union(*(k for k in keys if k)).difference(self)
         if met:
             self.learn(met)
-        return [sum(map(self.__getitem__, k)) if k is not None else self.whole([t])[0] for k, t in zip(keys, texts)]
+        out = [sum(map(self.__getitem__, k)) if k is not None else self.whole([t])[0] for k, t in zip(keys, texts)]
+        for x in met:
+            if len(x) > LONGEST:
+                del self[x]
+        return out
 
 
 def frequent_pre_tokens(docs: DataFrame, text: str, frequent: int, per_task: int) -> list[str]:
@@ -134,9 +142,10 @@ def frequent_pre_tokens(docs: DataFrame, text: str, frequent: int, per_task: int
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t and _is_plain(t) and _safe(t):
-                    total.update(t.split(" "))
-            if len(total) > 64 * per_task:  # a bounded summary: the rarest go
-                total = Counter(dict(total.most_common(16 * per_task)))
+                    words = t.split(" ")
+                    total.update(words if max(map(len, words)) <= LONGEST else [w for w in words if len(w) <= LONGEST])
+                if len(total) > 64 * per_task:  # a bounded summary: the rarest go
+                    total = Counter(dict(total.most_common(16 * per_task)))
         top = [(k, n) for k, n in total.most_common(per_task) if k]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["p", "n"])
 
