@@ -56,6 +56,18 @@ def test_clusters_copies_and_lengths(spark, scaled):
     assert recall(got, brute(ids, x, np.flatnonzero(ids % 20 == 0), 10)) >= 0.9
 
 
+def test_large_components_and_many_shards(spark):
+    """Products of some 1e11: no neighbour is lost to rounding, and every query gets all its k."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(rng.normal(size=(20, 24)), 30, axis=0), rng.normal(size=(200, 24))]) * 1e5
+    x[:600:2] += rng.normal(size=(300, 24)) * 1e3
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = results(nearest(df, df.where("vec_id % 20 = 0"), k=10, shard=30))
+    assert {len(v) for v in got.values()} == {10}
+    assert recall(got, brute(ids, x, np.flatnonzero(ids % 20 == 0), 10)) >= 0.9
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, []), (20, [0.5, 0.5]), (None, [1.0, 1.0]), (40, [1.0, 2.0, 3.0])]

@@ -9,8 +9,8 @@ together. Queries come in blocks of at most ``block``, each broadcast to all
 shards, twice:
 
 1. Descent: in each tree, the strings around a query's own place are those with
-   the longest common prefixes. Their vectors give a first list, and the score of
-   its k-th, over all shards, is a bound.
+   the longest common prefixes. Their vectors give a first list, which a task merges
+   over its shards, and the score of its k-th, over all shards, is a bound.
 2. Ascent: all trees go up together to the level at which a vector of the
    bounding score would be missed by all trees with a chance of ``miss`` at most.
    All vectors with a common prefix of that level in some tree are scored
@@ -124,11 +124,12 @@ class Shard:
         hi = np.stack([np.searchsorted(lab, own | free, "right") for lab, own in zip(self.labels, label)])
         return lo, hi
 
-    def best(self, q: np.ndarray, own_id: int, some: np.ndarray | None, scores: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best of ``some`` (all if None), not below the bound."""
-        keep = np.flatnonzero(scores >= bound)
+    def best(self, q: np.ndarray, own_id: int, some: np.ndarray | None, scores: np.ndarray, bound: float, slack: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact scores of the k best of ``some`` (all if None), not below the bound;
+        ``slack`` is what two ways to add up a product may differ by."""
+        keep = np.flatnonzero(scores >= bound - slack)
         if len(keep) > k + 1:  # the query's own vector may be one
-            keep = keep[scores[keep] >= np.partition(scores[keep], -(k + 1))[-(k + 1)] - 1e-9]
+            keep = keep[scores[keep] >= np.partition(scores[keep], -(k + 1))[-(k + 1)] - slack]
         rows = keep if some is None else some[keep]
         score = np.repeat(exact_scores(q, self.x[rows]), self.copies[rows])
         ids = blobs.take(self.ids, self.at[rows], self.copies[rows])
@@ -184,15 +185,20 @@ def _search(spark, index: DataFrame, ids: np.ndarray, rows: list, k: int, longes
     sent = spark.sparkContext.broadcast((ids, by))
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, by = sent.value
+        ids, by = sent.value
+        top = np.full((len(ids), k + 1), -np.inf)  # one more: the query itself may be among them
         for b in batches:
             for r in b.to_pylist():
                 if r["dim"] in by:
                     at, x, label = by[r["dim"]]
-                    top = Shard(r, trees).around(x, label, k + 1, width)  # one more: the query itself may be among them
-                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * (k + 1)), pa.array(top.ravel()))], names=["at", "top"])
-
-    tops = frames.arrow(index, descend, "at long, top array<double>").select("at", F.explode("top").alias("s")).where(F.col("s") > float("-inf"))
+                    both = np.concatenate([top[at], Shard(r, trees).around(x, label, k + 1, width)], axis=1)
+                    top[at] = np.sort(both, axis=1)[:, :-(k + 2):-1]
+        n = np.isfinite(top).sum(axis=1)
+        if n.any():
+            to = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids))), pa.ListArray.from_arrays(to, pa.array(top[np.isfinite(top)]))], names=["at", "top"])
+
+    tops = frames.arrow(index, descend, "at long, top array<double>").select("at", F.explode("top").alias("s"))
     kth = tops.withColumn("r", F.row_number().over(W.partitionBy("at").orderBy(F.desc("s")))).where(F.col("r") == k + 1).select("at", "s").toPandas()
     bound = np.full(len(ids), -np.inf)
     bound[kth["at"].to_numpy(np.int64)] = kth["s"].to_numpy(np.float64)
@@ -207,18 +213,20 @@ def _search(spark, index: DataFrame, ids: np.ndarray, rows: list, k: int, longes
                     continue
                 at, x, label = by[r["dim"]]
                 own, out = Shard(r, trees), []
-                level = levels(bound[at], np.sqrt((x * x).sum(axis=1)), longest, trees, miss)
+                length = np.sqrt((x * x).sum(axis=1))
+                slack = 1e-9 * length * longest
+                level = levels(bound[at], length, longest, trees, miss)
                 root = np.flatnonzero(level == 0)
                 for lo in range(0, len(root), 256):
                     some = root[lo:lo + 256]
                     for j, scores in zip(some, x[some] @ own.x.T):
-                        out.append((j, *own.best(x[j], ids[at[j]], None, scores, bound[at[j]] - 1e-9, k)))
+                        out.append((j, *own.best(x[j], ids[at[j]], None, scores, bound[at[j]], slack[j], k)))
                 rest = np.flatnonzero(level > 0)
                 lo, hi = own.ranges(label[:, rest], level[rest])
                 for c, j in enumerate(rest):
                     some = np.unique(np.concatenate([o[a:z] for o, a, z in zip(own.order, lo[:, c], hi[:, c])]))
                     if len(some):
-                        out.append((j, *own.best(x[j], ids[at[j]], some, own.x[some] @ x[j], bound[at[j]] - 1e-9, k)))
+                        out.append((j, *own.best(x[j], ids[at[j]], some, own.x[some] @ x[j], bound[at[j]], slack[j], k)))
                 n = [len(i) for _, i, _ in out]
                 cat = lambda c: np.concatenate(c) if c else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at[[j for j, _, _ in out]]], n) if out else np.zeros(0, np.int64)), pa.array(cat([i for _, i, _ in out]).astype(np.int64)), pa.array(cat([s for _, _, s in out]))], names=["query_id", "vec_id", "score"])
