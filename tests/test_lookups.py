@@ -92,3 +92,20 @@ def test_largest_key_without_statistics(spark, tmp_path, case):
 def test_keys_after_a_given_maximum(spark):
     new = spark.createDataFrame([(None, "b"), (None, "a"), (4, "c")], "id long, t string")
     assert {(r["id"], r["t"]) for r in D.assign_ids(new, 40, "id", ["t"]).collect()} == {(41, "a"), (42, "b"), (4, "c")}
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_rows_of_a_search_are_never_broadcast(spark, monkeypatch, most):
+    """A stored table looks small, but each of its rows stands once for every run of its text."""
+    if most is not None:
+        monkeypatch.setattr(L, "BROADCAST_SEARCHES", most)
+    path = scratch_path(spark, "test-search")
+    spark.range(3000).select("id", F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name")).write.parquet(path)
+    df = spark.read.parquet(path)
+    got = L.search_many(df, df.where("id % 100 = 0").select(F.substring("name", -4, 4).alias("q")).union(df.limit(1).select(F.lit("STOMER#"))), "q", ["name"])
+    want = df.where("id % 100 = 0").select(F.substring("name", -4, 4).alias("q")).collect()
+    found = {(r["search"], r["id"]) for r in got.collect()}
+    names = {i: f"customer#{i:09d}" for i in range(3000)}
+    assert found == {(q, i) for q in {r["q"] for r in want} | {"STOMER#"} for i in names if q.lower() in names[i]}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) == (most is None) == ("SortMergeJoin" not in plan)

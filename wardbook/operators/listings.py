@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.functions.scalars import DASH, hhmm, text_key
+from wardbook.session import cut_lineage
 
 Tables = dict[str, DataFrame]
 
+#: characters of searches up to which ``search_many`` sends them to every task; more are shuffled
+BROADCAST_SEARCHES = 1 << 21
+
 
 # ---------------------------------------------------------------------------
 # Projections and filters
@@ -95,16 +99,25 @@ def search_many(df: DataFrame, searches: DataFrame, term: str, cols: list[str] |
     that run, once each, and the whole text is compared then. The runs are counted by a
     partial aggregate over those that some search has. The empty search finds every row,
     as in ``search_rows``; a NULL search finds none; repeated rows are all found.
+
+    The searches with their runs are stored, so that their size is known: they are
+    broadcast if they are few (``BROADCAST_SEARCHES``), else both sides are shuffled by run.
+    The rows are never broadcast: each stands once for every run of its text, which Spark's
+    estimate of their size leaves out.
     """
     text = F.lower(row_text(cols or df.columns, sep))
     asked = (searches.select(F.col(term).cast("string").alias("_term")).where(F.col("_term").isNotNull()).distinct()
              .withColumn("_q", F.lower("_term")))
     size = F.least(F.lit(3), F.char_length("_q"))
-    runs = asked.select("*", F.explode(F.filter(_pieces(F.col("_q")), lambda x: F.char_length(x) == size)).alias("_run"))
+    runs = cut_lineage(asked.select("*", F.explode(F.filter(_pieces(F.col("_q")), lambda x: F.char_length(x) == size)).alias("_run")))
     counts = (df.select(F.explode(_pieces(text)).alias("_run"))
               .join(runs.select("_run").distinct(), "_run", "left_semi").groupBy("_run").agg(F.count("*").alias("_n")))
     rarest = (runs.join(counts, "_run", "left").groupBy("_term", "_q")
               .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_run").alias("run")))["run"].alias("_run")))
+    rarest = cut_lineage(rarest)
+    # some 100 bytes a search besides its text, which stands there twice
+    few = (rarest.agg(F.sum(F.lit(50) + F.char_length("_q"))).first()[0] or 0) <= BROADCAST_SEARCHES
+    rarest = F.broadcast(rarest) if few else rarest.hint("merge")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), text.alias("_text"))
     found = (rows.select("*", F.explode(_pieces(F.col("_text"))).alias("_run")).join(rarest, "_run")
              .where(F.contains("_text", "_q")))
