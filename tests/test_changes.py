@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wardbook.functions.scalars import split_full_name
 from wardbook.operators import changes as D
 from wardbook.operators import checks as V
+from wardbook.session import cut_lineage
 
 
 def test_assign_ids_matches_global_row_number(spark):
@@ -199,3 +200,19 @@ def test_account_feeds_with_tied_and_missing_numbers(spark, seed):
     assert [doctors.get(r["linked_record_id"]) for r in users if r["role"] == "doctor"] == ["Ann", "Cyd"] and len(doctors) == 2
     assert len(out["Nurse"]) == len(out["Patient"]) == 1
     assert sorted((r["username"], r["reason"]) for r in out["Rejected"]) == [("a", D.NAME_TAKEN), ("c", D.NAME_TAKEN)]
+
+
+def test_references_are_checked_by_stored_keys(spark, seed):
+    """Parents are read when the keys are checked; what follows joins the few keys without one."""
+    few = [(i % 40 if i % 7 else None, i) for i in range(400)]
+    batch = spark.createDataFrame(few, "DiagnosisID int, n int").select("DiagnosisID", F.lit(5).alias("AppointmentID"), F.lit("x").alias("TreatmentName"),
+                                                                      F.lit(None).cast("string").alias("Description"), F.lit("1.00").cast("decimal(10,2)").alias("TreatmentCost"), "n")
+    known = {r[0] for r in seed["Diagnosis"].select("DiagnosisID").collect()}
+    stored = {**seed, "Diagnosis": cut_lineage(seed["Diagnosis"].withColumn("mark_of_parents", F.lit(1)))}
+    good, bad = V.validate_insert(batch, "Treatment", stored, generated_key=True)
+    assert {r["n"]: r["reason"] for r in bad.collect()} == {n: "DiagnosisID has no Diagnosis" for d, n in few if d is not None and d not in known}
+    assert {r["n"] for r in good.collect()} == {n for d, n in few if d is None or d in known}
+    [path] = {f.rsplit("/", 1)[0] for f in stored["Diagnosis"].inputFiles()}
+    assert path.rsplit("/", 1)[1] not in {f.rsplit("/", 2)[-2] for f in bad.inputFiles()}
+    missing = V.missing_parents(batch, "DiagnosisID", stored["Diagnosis"], "DiagnosisID")
+    assert sorted(r[0] for r in missing.collect()) == sorted({d for d, _ in few if d is not None} - known)

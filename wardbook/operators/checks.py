@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wardbook.schema import FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS, VARCHAR_LIMITS
+from wardbook.session import cut_lineage
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,6 +109,21 @@ def validate(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
             tagged.filter(F.col("reason").isNotNull()))
 
 
+def missing_parents(df: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
+    """V3 by key: the distinct non-NULL values of ``column`` that no parent row has, stored.
+
+    The keys are dealt over twice the shuffle partitions, a number that stays: they are a few
+    bytes each, and partitions that are put together by their bytes hold millions of them in
+    one task. A task keeps a repeated key once. What is stored has its real size, so the
+    join that follows is a broadcast only where the missing keys are few.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mentioned = df.select(column).filter(F.col(column).isNotNull()).repartition(2 * parts, column).distinct()
+    # only the parents that the batch mentions: a small batch is broadcast and never shuffles a large table
+    known = parent.select(F.col(parent_column).alias(column)).join(mentioned, column, "left_semi")
+    return cut_lineage(mentioned.join(known, column, "left_anti"))
+
+
 def validate_insert(df: DataFrame, table: str, T: dict[str, DataFrame],
                     generated_key: bool = False) -> tuple[DataFrame, DataFrame]:
     """Split rows to insert into ``table`` into (good, rejected with reason),
@@ -121,7 +137,8 @@ def validate_insert(df: DataFrame, table: str, T: dict[str, DataFrame],
     mentions (the target and parent tables are semi-joined to them first, so
     a small batch never shuffles a large table); duplicates are found by a
     per-key count (a partial aggregate), so a hot key costs one row per map
-    task before the shuffle.
+    task before the shuffle. References are checked as soon as this is called:
+    the keys without a parent are stored (``missing_parents``).
     """
     pk = PRIMARY_KEYS[table]
     keys = ([] if generated_key else [pk]) + UNIQUE_KEYS.get(table, [])
@@ -149,13 +166,9 @@ def validate_insert(df: DataFrame, table: str, T: dict[str, DataFrame],
     for fk in FOREIGN_KEYS:
         if fk.child != table or fk.column not in df.columns or fk.parent not in T:
             continue
-        mentioned = df.select(fk.column).filter(F.col(fk.column).isNotNull())
-        parents = (T[fk.parent].select(F.col(fk.parent_column).alias(fk.column))
-                   .join(mentioned, fk.column, "left_semi").distinct()
-                   .withColumn(f"_has_{fk.column}", F.lit(True)))
-        x = x.join(parents, fk.column, "left")
-        reasons.append(F.when(F.col(fk.column).isNotNull() & F.col(f"_has_{fk.column}").isNull(),
-                              F.lit(f"{fk.column} has no {fk.parent}")))
+        missing = missing_parents(df, fk.column, T[fk.parent], fk.parent_column).withColumn(f"_no_{fk.column}", F.lit(True))
+        x = x.join(missing, fk.column, "left")
+        reasons.append(F.when(F.col(f"_no_{fk.column}"), F.lit(f"{fk.column} has no {fk.parent}")))
     reason = F.coalesce(*reasons) if reasons else F.lit(None).cast("string")
     tagged = x.select(*df.columns, reason.alias("reason"))
     return (tagged.filter(F.col("reason").isNull()).drop("reason"),
