@@ -24,7 +24,8 @@ Empty tables pass through empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from wardbook.llm.decontaminate import contamination
 from wardbook.llm.frames import table
@@ -66,10 +67,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _named(done.where(~changed | text.rlike(r"[^\x09-\x0D\x20]")), names, **new)
 
 
+def _placed(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with ``row``, a number that each read sees again: a row's file, in the order of their
+    names, and its place in it. None if the rows are not those of stored files, one by one."""
+    try:
+        place = docs.select("*", docs.metadataColumn("_metadata")["file_path"].alias("__file"), docs.metadataColumn("_metadata")["row_index"].alias("__at"))
+    except AnalysisException:
+        return None
+    files = place.select("__file").distinct().withColumn("__no", F.row_number().over(W.orderBy("__file")) - 1)
+    files = F.broadcast(cut_lineage(files))
+    # a file has fewer than 2^40 rows
+    placed = place.join(files, "__file").select(*[f"`{c}`" for c in docs.columns], (F.shiftleft(F.col("__no").cast("long"), 40) + F.col("__at")).alias("row"))
+    once = placed.groupBy("row").count().where("count > 1 OR row IS NULL").isEmpty()
+    return placed if once else None
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, names = _numbered(docs)
-    # every row is judged by its own text: numbered and stored, so that each read sees the same numbers
-    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
+    # every row is judged by its own text; each read sees the same numbers: places in the files
+    # that hold the documents, or, if they are no stored table, numbers that are stored with them
+    rows = _placed(rows)
+    if rows is None:
+        rows = cut_lineage(_numbered(docs)[0].withColumn("row", F.monotonically_increasing_id()))
     found = similar_documents(rows.select("row", F.col(names["text"]).alias("text")), doc_id="row").select(F.col("doc_id").alias("row"), "component_id")
     groups = cut_lineage(found.join(found.where("component_id != row").select("component_id").distinct(), "component_id", "left_semi"))
     key = F.col(names["doc_id"])

@@ -94,3 +94,17 @@ def test_rows_are_judged_by_their_own_texts(spark):
 def test_run(spark):
     out = cp.run(spark, SF)
     assert out.columns[-5:] == ["size", "source_size", "target", "repeats", "taken"] and 0 < out.count() < 200
+
+
+def test_stored_rows_are_numbered_by_their_places(spark, monkeypatch):
+    """near_duplicates makes no copy of a stored table; rows that are not a file's rows one by one are stored."""
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abc"}
+    rows = [(7, texts["a"]), (7, texts["b"]), (3, texts["a"] + " more"), (None, texts["c"]), (None, texts["c"]), (7, texts["b"])]
+    stored = cut_lineage(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    kept, cut = [], cp.cut_lineage
+    monkeypatch.setattr(cp, "cut_lineage", lambda df: kept.append(df.columns) or cut(df))
+    want = sorted([(0, texts["c"]), (3, texts["a"] + " more"), (7, texts["b"])])
+    got = lambda df: sorted((r["doc_id"] or 0, r["text"]) for r in cp.near_duplicates(spark, df, SF).collect())
+    assert got(stored) == want and all(len(c) < 3 and "__1" not in c for c in kept)
+    assert cp._placed(stored.union(stored)) is None and cp._placed(stored.select("*", F.explode(F.array(F.lit(1), F.lit(2))))) is None
+    assert got(stored.union(stored)) == want
